@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from berthline.functions import scoring
 from berthline.functions.numeric import coalesce_zero
+from berthline.operators.skew import salted_join, spread
 from berthline.schemas import (
     DEFAULT_CPU_POWER_W, DEFAULT_GPU_POWER_W, FEATURE_COLUMNS, MACHINE_COLUMNS, REMAINING, REQUEST_COLUMNS,
     REQUESTS, RESOURCES, require_columns,
@@ -63,9 +64,10 @@ def capable_pairs(
     An inequality join would scan all classes for each shape. Here a class is listed under
     every size step it can serve and a shape under its own step, so Spark sees an equi-join
     that only meets classes large enough in the blocking resources; the exact test follows.
-    Shapes of a crowded step are spread by salt.
+    Shapes of a crowded step are spread by salt. The short shape list is dealt out over all
+    tasks explicitly: judged by its bytes alone it would end up in one, with all the pairs.
     """
-    asked = shapes
+    asked = spread(shapes, REQUEST_COLUMNS)
     offered = classes
     keys = []
     for r in BLOCK_RESOURCES:
@@ -85,8 +87,6 @@ def capable_pairs(
 
 def feasible_counts(tasks: DataFrame, machines: DataFrame, eps: float = scoring.EPS) -> DataFrame:
     """Per task, the number of machines whose remaining capacity covers its request."""
-    from berthline.operators.skew import salted_join
-
     shapes = request_shapes(tasks).drop("n_tasks")
     counts = (
         capable_pairs(shapes, machine_classes(machines), eps)

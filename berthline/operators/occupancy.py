@@ -16,11 +16,14 @@ from berthline.functions.numeric import coalesce_zero, ratio
 from berthline.operators.skew import running_totals, salted_join
 from berthline.schemas import REQUESTS, RESOURCES, TOTALS, USED
 
-HOUR_MS = 3_600_000
+# Width of the time buckets in which running totals are formed: wide enough that a machine's
+# buckets stay far fewer than its changes, narrow enough that the busiest machine's bucket
+# fits one task. Dense ledgers want it narrower, sparse ones wider.
+BUCKET_MS = 86_400_000
 COVER_BITS = 32
 
 
-def time_bucket(name: str, width_ms: int = HOUR_MS) -> Column:
+def time_bucket(name: str, width_ms: int = BUCKET_MS) -> Column:
     return F.floor(F.col(name) / F.lit(width_ms)).cast("bigint")
 
 
@@ -50,18 +53,19 @@ def allocation_events(allocations: DataFrame) -> DataFrame:
 _TOTALS = {"active_tasks": "d_active", **{USED[r]: f"d_{r}" for r in RESOURCES}}
 
 
-def usage_steps(allocations: DataFrame, bucket_ms: int = HOUR_MS) -> DataFrame:
+def usage_steps(allocations: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Usage of each machine from every instant at which it changes until the next one."""
     steps = running_totals(
-        allocation_events(allocations), ["machine_id"], "time_ms", _TOTALS, time_bucket("time_ms", bucket_ms)
+        allocation_events(allocations), ["machine_id"], "time_ms", _TOTALS, time_bucket("time_ms", bucket_ms),
+        following="until_ms",
     )
     return steps.select(
-        "machine_id", "time_ms", "active_tasks", *[F.round(USED[r], 6).alias(USED[r]) for r in RESOURCES]
+        "machine_id", "time_ms", "until_ms", "active_tasks", *[F.round(USED[r], 6).alias(USED[r]) for r in RESOURCES]
     )
 
 
 def usage_at(
-    points: DataFrame, allocations: DataFrame, strict_start: bool = False, bucket_ms: int = HOUR_MS
+    points: DataFrame, allocations: DataFrame, strict_start: bool = False, bucket_ms: int = BUCKET_MS
 ) -> DataFrame:
     """Usage at given (machine_id, time_ms) points.
 
@@ -102,29 +106,24 @@ def usage_at(
     )
 
 
-def usage_spans(allocations: DataFrame, machines: DataFrame, bucket_ms: int = HOUR_MS) -> DataFrame:
+def usage_spans(allocations: DataFrame, machines: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Stretches [from_ms, to_ms) of unchanged usage for every machine; open ends are null."""
-    steps = usage_steps(allocations, bucket_ms).withColumn("_bucket", time_bucket("time_ms", bucket_ms))
-    firsts = steps.groupBy("machine_id", "_bucket").agg(F.min("time_ms").alias("_first"))
-    per_machine = W.partitionBy("machine_id").orderBy("_bucket")
-    following = firsts.select("machine_id", "_bucket", F.lead("_first").over(per_machine).alias("_next_first"))
-    within = W.partitionBy("machine_id", "_bucket").orderBy("time_ms")
-    spans = steps.join(following, ["machine_id", "_bucket"]).select(
-        "machine_id",
-        F.col("time_ms").alias("from_ms"),
-        F.coalesce(F.lead("time_ms").over(within), "_next_first").alias("to_ms"),
-        "active_tasks",
-        *USED.values(),
+    spans = usage_steps(allocations, bucket_ms).withColumnsRenamed({"time_ms": "from_ms", "until_ms": "to_ms"})
+    return _unused_before(allocations, machines).unionByName(spans)
+
+
+def _unused_before(allocations: DataFrame, machines: DataFrame) -> DataFrame:
+    """The stretch before a machine's first allocation; all time for a machine without any."""
+    begins = allocations.filter(F.col("finish_ms") > F.col("start_ms")).groupBy("machine_id").agg(
+        F.min("start_ms").alias("to_ms")
     )
-    begins = firsts.groupBy("machine_id").agg(F.min("_first").alias("to_ms"))
-    before = machines.select("machine_id").join(begins, "machine_id", "left").select(
+    return machines.select("machine_id").join(begins, "machine_id", "left").select(
         "machine_id", F.lit(None).cast("bigint").alias("from_ms"), "to_ms",
         F.lit(0).cast("bigint").alias("active_tasks"), *[F.lit(0.0).alias(c) for c in USED.values()],
     )
-    return before.unionByName(spans)
 
 
-def idle_spans(allocations: DataFrame, machines: DataFrame, bucket_ms: int = HOUR_MS) -> DataFrame:
+def idle_spans(allocations: DataFrame, machines: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Stretches in which a machine has no active task."""
     return usage_spans(allocations, machines, bucket_ms).filter("active_tasks = 0").select(
         "machine_id", "from_ms", "to_ms"
@@ -227,13 +226,13 @@ def busy_counts(
     )
 
 
-def free_pairs(pairs: DataFrame, allocations: DataFrame, bucket_ms: int = HOUR_MS) -> DataFrame:
+def free_pairs(pairs: DataFrame, allocations: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Keep the (machine_id, time_ms) rows whose machine has no active task then."""
     busy = usage_at(pairs.select("machine_id", "time_ms").distinct(), allocations, bucket_ms=bucket_ms)
     return pairs.join(busy.filter("active_tasks > 0"), ["machine_id", "time_ms"], "left_anti")
 
 
-def busy_pairs(pairs: DataFrame, allocations: DataFrame, bucket_ms: int = HOUR_MS) -> DataFrame:
+def busy_pairs(pairs: DataFrame, allocations: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Keep the (machine_id, time_ms) rows whose machine is at work then."""
     busy = usage_at(pairs.select("machine_id", "time_ms").distinct(), allocations, bucket_ms=bucket_ms)
     return pairs.join(busy.filter("active_tasks > 0"), ["machine_id", "time_ms"], "left_semi")
@@ -255,6 +254,6 @@ def with_utilization(usage: DataFrame, machines: DataFrame) -> DataFrame:
     )
 
 
-def utilization_timeline(allocations: DataFrame, machines: DataFrame, bucket_ms: int = HOUR_MS) -> DataFrame:
+def utilization_timeline(allocations: DataFrame, machines: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Utilisation and active tasks of each machine at every change."""
     return with_utilization(usage_steps(allocations, bucket_ms), machines)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,7 +42,12 @@ def with_scores(pairs: DataFrame, alpha: float = 0.5, profile: str = "floored")
 
 def score_order(tie_break: str) -> list:
     """Best first; scores that differ only by rounding noise fall to the smaller id."""
-    return [F.round("final_score", 9), F.round("watts", 9), F.round("fit_score", 9), F.col(tie_break)]
+    return [_ninth_decimal(c) for c in ("final_score", "watts", "fit_score")] + [F.col(tie_break)]
+
+
+def _ninth_decimal(c: str) -> Column:
+    """A value in units of 1e-9, by plain arithmetic (``round`` on doubles goes through decimals)."""
+    return F.floor(F.col(c) * F.lit(1e9) + F.lit(0.5))
 
 
 def class_members(machines: DataFrame, k: int) -> DataFrame:

@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 DEFAULT_SALTS = 8
 
 
+def spread(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Deal a short frame out over all tasks, for steps that multiply its rows.
+
+    Keyed by a hash of the columns: partitioning by the columns themselves would count as
+    given after a grouping, and that grouping's exchange may be merged into one partition.
+    """
+    spark = df.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(width, F.xxhash64(*[F.col(c) for c in columns]))
+
+
 def salted_join(
     left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner",
     salts: int = DEFAULT_SALTS,
@@ -26,36 +37,43 @@ def salted_join(
 
 
 def running_totals(
-    df: DataFrame, keys: list[str], order: str, totals: dict[str, str], bucket: Column,
+    df: DataFrame, keys: list[str], order: str, totals: dict[str, str], bucket: Column, following: str | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``totals`` (new name -> column) per key along ``order``.
 
     Two levels: sums per bucket are accumulated first, then rows within each bucket. One
     key may hold any share of the rows; a single task only sees one bucket, or the short
     list of a key's buckets. ``df`` is unique on (keys, order) and ``bucket`` is
-    non-decreasing in ``order``.
+    non-decreasing in ``order``. ``following`` names a column for the next row's order value.
     """
-    rows = df.withColumn("_bucket", bucket)
-    by_bucket = rows.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in totals.items()])
+    # declared non-null, so that the join below adds no filter that would keep the two uses
+    # of the rows from sharing one exchange
+    rows = df.withColumn("_bucket", F.coalesce(bucket.cast("bigint"), F.lit(0).cast("bigint")))
+    by_bucket = rows.groupBy(*keys, "_bucket").agg(
+        *[F.sum(c).alias(f"_sum_{n}") for n, c in totals.items()], F.min(order).alias("_first")
+    )
     partition = [F.col(k) for k in keys] or [F.lit(0)]
-    before = W.partitionBy(*partition).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    along = W.partitionBy(*partition).orderBy("_bucket")
+    before = along.rowsBetween(W.unboundedPreceding, -1)
     offsets = by_bucket.select(
         *keys,
         "_bucket",
         *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in totals],
+        *([F.lead("_first").over(along).alias("_next_first")] if following else []),
     )
-    within = W.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy(*keys, "_bucket").orderBy(order)
+    within = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     joined = rows.join(offsets, keys + ["_bucket"])
-    summed = joined.select(
+    return joined.select(
         *df.columns,
         *[(F.col(f"_before_{n}") + F.sum(c).over(within)).alias(n) for n, c in totals.items()],
+        *([F.coalesce(F.lead(order).over(inside), "_next_first").alias(following)] if following else []),
     )
-    return summed
 
 
 def ordered_rank(df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str = "rank") -> DataFrame:
     """1-based rank per key by ``order``, counted bucket by bucket; ``bucket`` follows the order."""
-    rows = df.withColumn("_bucket", bucket)
+    rows = df.withColumn("_bucket", F.coalesce(bucket.cast("bigint"), F.lit(0).cast("bigint")))
     counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     partition = [F.col(k) for k in keys] or [F.lit(0)]
     before = W.partitionBy(*partition).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
