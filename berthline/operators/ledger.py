@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from berthline.functions.numeric import coalesce_zero, ratio
-from berthline.operators.occupancy import usage_at
+from berthline.operators.occupancy import BUCKET_MS, usage_at, with_utilization
+from berthline.operators.skew import ordered_rank
 
 from berthline.schemas import REQUEST_COLUMNS, REQUESTS, RESOURCES, SPEC_COLUMNS, TOTALS, USED
 
@@ -122,17 +123,15 @@ def latest_sample(samples: DataFrame, time: str = "time_ms") -> DataFrame:
     )
 
 
-def sample_ticks(ticks: DataFrame, allocations: DataFrame, machines: DataFrame) -> DataFrame:
+def sample_ticks(
+    ticks: DataFrame, allocations: DataFrame, machines: DataFrame, bucket_ms: int = BUCKET_MS
+) -> DataFrame:
     """One utilisation sample per requested (machine, tick), before the tick's own allocations."""
-    from berthline.operators.occupancy import with_utilization
-
-    return with_utilization(usage_at(ticks, allocations, strict_start=True), machines)
+    return with_utilization(usage_at(ticks, allocations, strict_start=True, bucket_ms=bucket_ms), machines)
 
 
 def task_ordinal(tasks: DataFrame, order: list[str], bucket, keys: list[str] = ()) -> DataFrame:
     """1-based position of each task; ``bucket`` is any coarse, order-preserving part of the order."""
-    from berthline.operators.skew import ordered_rank
-
     return ordered_rank(tasks, list(keys), order, bucket, "task_ord")
 
 

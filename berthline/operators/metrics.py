@@ -139,10 +139,10 @@ def average_precision(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     )
 
 
-def log_loss_of(y: Column, p: Column, weight: Column = F.lit(1)) -> Column:
+def log_loss_of(y: Column, p: Column) -> Column:
     q = F.greatest(F.lit(LOG_LOSS_CLIP), F.least(F.lit(1.0 - LOG_LOSS_CLIP), p))
     loss = F.when(y == 1, -F.log(q)).otherwise(-F.log(F.lit(1.0) - q))
-    return F.sum(loss * weight) / F.sum(weight)
+    return F.avg(loss)
 
 
 def log_loss(df: DataFrame, keys: list[str] = ()) -> DataFrame:

@@ -64,7 +64,10 @@ def _fleet_states(machines: DataFrame, allocations: DataFrame, rules: PlacementR
         classes = machine_classes(idle)
     else:
         classes = machine_classes(states)
-    return classes, states
+    named = classes.select(*MACHINE_COLUMNS, "class_id")
+    return classes, salted_join(states, named, MACHINE_COLUMNS, ["machine_id", "from_ms"]).select(
+        "machine_id", "class_id", "from_ms", "to_ms"
+    )
 
 
 def class_candidates(
@@ -79,12 +82,8 @@ def class_candidates(
     scoring.check_alpha(rules.alpha)
     classes, states = _fleet_states(machines, allocations, rules)
     free = free_by_class(
-        tasks.select(F.col("arrival_ms").alias("time_ms")), states, MACHINE_COLUMNS, rules.quantum_ms,
-        rules.cover_bits,
-    )
-    keyed = free.join(classes.select(*MACHINE_COLUMNS, "class_id"), MACHINE_COLUMNS).select(
-        F.col("time_ms").alias("arrival_ms"), "class_id", "n_free", "first_free_id"
-    )
+        tasks.select(F.col("arrival_ms").alias("time_ms")), states, ["class_id"], rules.quantum_ms, rules.cover_bits
+    ).withColumnRenamed("time_ms", "arrival_ms")
     shapes = request_shapes(tasks).drop("n_tasks")
     pairs = capable_pairs(shapes, classes, eps=0.0)
     judged = scorer(assemble_features(pairs, rules.constant_power)).select(*REQUEST_COLUMNS, "class_id", "p")
@@ -94,7 +93,7 @@ def class_candidates(
     facts = ranked.join(judged, [*REQUEST_COLUMNS, "class_id"])
     asked = fill_requests(tasks).select("arrival_ms", *REQUEST_COLUMNS).distinct()
     met = salted_join(asked, facts, REQUEST_COLUMNS, ["arrival_ms"])
-    return salted_join(met, keyed, ["arrival_ms", "class_id"], REQUEST_COLUMNS)
+    return salted_join(met, free, ["arrival_ms", "class_id"], REQUEST_COLUMNS)
 
 
 def rank_candidates(candidates: DataFrame, rules: PlacementRules) -> DataFrame:
@@ -229,11 +228,10 @@ def _name_machines(
     """The n-th asker of a class gets its n-th free machine; only shared classes list their machines."""
     taken = won.groupBy("arrival_ms", "class_id").agg(F.max("slot").alias("n_taken"))
     shared = store(taken.filter("n_taken > 1"), "shared")
-    classes, states = _fleet_states(machines, allocations, rules)
+    _, states = _fleet_states(machines, allocations, rules)
     listed = free_members(
-        shared.select(F.col("arrival_ms").alias("time_ms")), states, MACHINE_COLUMNS, rules.quantum_ms,
-        rules.cover_bits,
-    ).join(classes.select(*MACHINE_COLUMNS, "class_id"), MACHINE_COLUMNS)
+        shared.select(F.col("arrival_ms").alias("time_ms")), states, ["class_id"], rules.quantum_ms, rules.cover_bits
+    )
     nth = F.row_number().over(W.partitionBy("arrival_ms", "class_id").orderBy("machine_id"))
     slots = (
         listed.select(F.col("time_ms").alias("arrival_ms"), "class_id", "machine_id")
