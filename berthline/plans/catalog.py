@@ -942,3 +942,25 @@ def place_snapshot(spark, sf):
 @query(_OCC + _PLACE + " SELECT status, count(*) AS n_tasks FROM placed GROUP BY status")
 def placement_status(spark, sf):
     return _placed(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("n_tasks"))
+
+
+_SNAP_MACHINES = _SNAP + """, machines_at AS (SELECT machine_id, cpu_cores_total, cpu_watts, gpu_cores_total, gpu_watts,
+    ram_total_gb, gpu_vram_total_gb, cpu_cores_used, gpu_cores_used, gpu_vram_used_gb, ram_used_gb FROM snap JOIN
+    (SELECT machine_id, gpu_vram_total_gb FROM machines) USING (machine_id)), """
+
+
+@query(
+    _SNAP_MACHINES + op.TASKS_CTE + ", " + op.ranked(0.5, "floored", 1).replace("JOIN machines m", "JOIN machines_at m")
+    + _RANKED
+)
+def rank_snapshot(spark, sf):
+    """Ranking beside the tasks that already run: usage from the ledger at one instant."""
+    fleet = ld.machine_snapshot(fx.machines(spark, sf), fx.allocations(spark, sf), SNAPSHOT_MS)
+    best = ranking.rank_placements(fx.tasks(spark, sf), fleet)
+    return best.select("task_id", F.col("rank").cast("bigint").alias("rank"), "machine_id", *r6(*_SCORES))
+
+
+@query()
+def batch_assign(spark, sf):
+    out = pm.batch_assign(fx.tasks(spark, sf), fx.machines(spark, sf), fx.allocations(spark, sf), load_share, RULES)
+    return out.select("task_id", "arrival_ms", "status", "machine_id", *r6("sla_probability", "final_score"))

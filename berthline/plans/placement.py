@@ -13,12 +13,12 @@ from berthline.functions import scoring
 from berthline.functions.numeric import coalesce_zero
 from berthline.operators.candidates import assemble_features, capable_pairs, fill_requests, machine_classes
 from berthline.operators.candidates import request_shapes
-from berthline.operators.occupancy import COVER_BITS, free_by_class, free_members, usage_spans
+from berthline.operators.occupancy import COVER_BITS, free_by_class, free_members, idle_spans
 from berthline.operators.ranking import score_order, with_raw_scores, with_scores
 from berthline.operators.skew import ordered_rank, salted_join
 from berthline.schemas import (
     ALL_VIOLATE, FAILED, MACHINE_COLUMNS, NO_FREE, NO_SUITABLE, REQUEST_COLUMNS, SCHEDULED, SCORE_ERROR,
-    SPEC_COLUMNS, USED,
+    SPEC_COLUMNS,
 )
 from berthline.session import cut_lineage, store
 
@@ -34,66 +34,52 @@ class PlacementRules:
     profile: str = "floored"
     overrides: scoring.PowerOverrides = scoring.PowerOverrides()
     model_used: str = "model"
-    exclusive: bool = True
     constant_power: bool = True
     quantum_ms: int = 1000
     cover_bits: int = COVER_BITS
     bucket_ms: int = 86_400_000
 
 
-def _fleet_states(machines: DataFrame, allocations: DataFrame, rules: PlacementRules) -> tuple[DataFrame, DataFrame]:
-    """(classes, spans): machine classes and when each machine belongs to one.
+def _idle_classes(machines: DataFrame, allocations: DataFrame, rules: PlacementRules) -> tuple[DataFrame, DataFrame]:
+    """(classes, spans): machine specs, and when each machine is idle, by class.
 
-    Exclusive: only idle machines take part, so a class is a spec. Otherwise a class is a
-    spec with its usage at the time.
+    Only a machine without active tasks takes a task, so a class is a spec and its members
+    differ in nothing but their idle times.
     """
     specs = machines.select("machine_id", *[coalesce_zero(c).alias(c) for c in SPEC_COLUMNS if c != "cost_per_hour"])
-    spans = usage_spans(allocations, machines, rules.bucket_ms)
-    if rules.exclusive:
-        spans = spans.filter("active_tasks = 0")
-    states = salted_join(spans, specs, ["machine_id"], ["from_ms", "to_ms"])
-    power = {
-        "current_cpu_power_w": F.col("cpu_watts")
-        * F.coalesce(F.try_divide(F.col(USED["cpu"]), F.col("cpu_cores_total")), F.lit(0.0)),
-        "current_gpu_power_w": F.col("gpu_watts")
-        * F.col(USED["gpu"]) / F.greatest(F.lit(1.0), F.col("gpu_cores_total")),
-    }
-    states = states.withColumns(power)
-    if rules.exclusive:
-        idle = specs.withColumns({c: F.lit(0.0) for c in MACHINE_COLUMNS if c not in specs.columns})
-        classes = machine_classes(idle)
-    else:
-        classes = machine_classes(states)
-    named = classes.select(*MACHINE_COLUMNS, "class_id")
-    return classes, salted_join(states, named, MACHINE_COLUMNS, ["machine_id", "from_ms"]).select(
-        "machine_id", "class_id", "from_ms", "to_ms"
-    )
+    idle = specs.withColumns({c: F.lit(0.0) for c in MACHINE_COLUMNS if c not in specs.columns})
+    classes = machine_classes(idle)
+    members = idle.join(classes.select(*MACHINE_COLUMNS, "class_id"), MACHINE_COLUMNS).select("machine_id", "class_id")
+    spans = idle_spans(allocations, machines, rules.bucket_ms)
+    return classes, salted_join(spans, members, ["machine_id"], ["from_ms"])
 
 
 def class_candidates(
     tasks: DataFrame, machines: DataFrame, allocations: DataFrame, scorer: Scorer, rules: PlacementRules
-) -> DataFrame:
-    """Per distinct (arrival, request): the classes with a free machine that can hold it.
+) -> tuple[DataFrame, DataFrame]:
+    """(candidates, free): per distinct (arrival, request) the classes with a free machine that can
+    hold it, and per arrival the free machines of every class.
 
     Carries the class's free count and smallest free id, its violation probability ``p``
     and raw scores. Feasibility, the model and the power estimate see each (request, class)
-    pair once, whatever the number of tasks; the model runs after the feasibility test.
+    pair once, whatever the number of tasks; the model runs after the feasibility test. The
+    scorer adds ``p`` and keeps the other columns.
     """
     scoring.check_alpha(rules.alpha)
-    classes, states = _fleet_states(machines, allocations, rules)
+    classes, spans = _idle_classes(machines, allocations, rules)
     free = free_by_class(
-        tasks.select(F.col("arrival_ms").alias("time_ms")), states, ["class_id"], rules.quantum_ms, rules.cover_bits
+        tasks.select(F.col("arrival_ms").alias("time_ms")), spans, ["class_id"], rules.quantum_ms, rules.cover_bits
     ).withColumnRenamed("time_ms", "arrival_ms")
     shapes = request_shapes(tasks).drop("n_tasks")
     pairs = capable_pairs(shapes, classes, eps=0.0)
-    judged = scorer(assemble_features(pairs, rules.constant_power)).select(*REQUEST_COLUMNS, "class_id", "p")
-    ranked = with_raw_scores(pairs, rules.profile, rules.overrides).select(
-        *REQUEST_COLUMNS, "class_id", "fit_raw", "watts"
+    # scores for the ranking come first: the model may be fed other power values than the snapshot's
+    scored = with_raw_scores(pairs, rules.profile, rules.overrides)
+    facts = scorer(assemble_features(scored, rules.constant_power)).select(
+        *REQUEST_COLUMNS, "class_id", "fit_raw", "watts", "p"
     )
-    facts = ranked.join(judged, [*REQUEST_COLUMNS, "class_id"])
     asked = fill_requests(tasks).select("arrival_ms", *REQUEST_COLUMNS).distinct()
     met = salted_join(asked, facts, REQUEST_COLUMNS, ["arrival_ms"])
-    return salted_join(met, free, ["arrival_ms", "class_id"], REQUEST_COLUMNS)
+    return salted_join(met, free, ["arrival_ms", "class_id"], REQUEST_COLUMNS), free
 
 
 def rank_candidates(candidates: DataFrame, rules: PlacementRules) -> DataFrame:
@@ -133,17 +119,6 @@ def placement_status(n_free: str, n_fit: str, n_safe: str, n_unscored: str, mach
     )
 
 
-def _any_free(tasks: DataFrame, machines: DataFrame, allocations: DataFrame, rules: PlacementRules) -> DataFrame:
-    """Free machines at each arrival, whatever their size."""
-    spans = usage_spans(allocations, machines, rules.bucket_ms)
-    if rules.exclusive:
-        spans = spans.filter("active_tasks = 0")
-    counted = free_by_class(
-        tasks.select(F.col("arrival_ms").alias("time_ms")), spans, [], rules.quantum_ms, rules.cover_bits
-    )
-    return counted.select(F.col("time_ms").alias("arrival_ms"), F.col("n_free").alias("n_free_all"))
-
-
 def place_snapshot(
     tasks: DataFrame, machines: DataFrame, allocations: DataFrame, scorer: Scorer,
     rules: PlacementRules = PlacementRules(),
@@ -152,16 +127,17 @@ def place_snapshot(
 
     Tasks are judged against the given ledger; placements made here are not fed back.
     """
-    ranked = rank_candidates(class_candidates(tasks, machines, allocations, scorer, rules), rules)
+    candidates, free = class_candidates(tasks, machines, allocations, scorer, rules)
+    ranked = rank_candidates(candidates, rules)
     best = ranked.filter("pref = 1").withColumn("machine_id", F.when(F.col("safe"), F.col("first_free_id")))
     outcome = best.select(
         "arrival_ms", *REQUEST_COLUMNS, "machine_id", "n_fit", "n_safe", "n_unscored",
         *[F.when(F.col("safe"), F.col(c)).alias(c) for c in ("p", "watts", "energy_score", "fit_score", "final_score")],
     )
-    free = _any_free(tasks, machines, allocations, rules)
+    free_all = free.groupBy("arrival_ms").agg(F.sum("n_free").alias("n_free_all"))
     full = fill_requests(tasks)
     joined = salted_join(full, outcome, ["arrival_ms", *REQUEST_COLUMNS], ["task_id"], "left")
-    with_free = salted_join(joined, free, ["arrival_ms"], ["task_id"], "left")
+    with_free = salted_join(joined, free_all, ["arrival_ms"], ["task_id"], "left")
     return with_free.select(
         "task_id",
         placement_status("n_free_all", "n_fit", "n_safe", "n_unscored", "machine_id").alias("status"),
@@ -188,7 +164,7 @@ def batch_assign(
     snapshot. Instants without refusals leave the loop after their round.
     """
     prefs = store(
-        rank_candidates(class_candidates(tasks, machines, allocations, scorer, rules), rules)
+        rank_candidates(class_candidates(tasks, machines, allocations, scorer, rules)[0], rules)
         .filter("safe")
         .select("arrival_ms", *REQUEST_COLUMNS, "pref", "class_id", "n_free", "first_free_id", "p", "final_score"),
         "prefs",
@@ -228,9 +204,9 @@ def _name_machines(
     """The n-th asker of a class gets its n-th free machine; only shared classes list their machines."""
     taken = won.groupBy("arrival_ms", "class_id").agg(F.max("slot").alias("n_taken"))
     shared = store(taken.filter("n_taken > 1"), "shared")
-    _, states = _fleet_states(machines, allocations, rules)
+    _, spans = _idle_classes(machines, allocations, rules)
     listed = free_members(
-        shared.select(F.col("arrival_ms").alias("time_ms")), states, ["class_id"], rules.quantum_ms, rules.cover_bits
+        shared.select(F.col("arrival_ms").alias("time_ms")), spans, ["class_id"], rules.quantum_ms, rules.cover_bits
     )
     nth = F.row_number().over(W.partitionBy("arrival_ms", "class_id").orderBy("machine_id"))
     slots = (
