@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from berthline.functions.numeric import apply_temperature, binarize, lehmer_sql
 from berthline.functions.scoring import PowerOverrides
+from berthline.ml.learners import search_forest
+from berthline.ml.serving import external_scorer
 from berthline.operators import candidates as cd
 from berthline.operators import intake, ledger as ld, metrics as mt, occupancy as oc, pool, ranking, reports as rp
 from berthline.operators import splits
@@ -19,7 +22,10 @@ from berthline.plans.placement import PlacementRules
 from berthline.schemas import (
     FEATURE_COLUMNS, MACHINE_COLUMNS, REQUEST_COLUMNS, SPEC_COLUMNS, SPEC_RANGES, USED, presets,
 )
+from berthline.plans.training import evaluate, train_evaluate
+from berthline.session import scratch_path, store
 from berthline.sources import files, workload
+from berthline.streaming import jobs as st
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -964,3 +970,161 @@ def rank_snapshot(spark, sf):
 def batch_assign(spark, sf):
     out = pm.batch_assign(fx.tasks(spark, sf), fx.machines(spark, sf), fx.allocations(spark, sf), load_share, RULES)
     return out.select("task_id", "arrival_ms", "status", "machine_id", *r6("sla_probability", "final_score"))
+
+
+# ---- streams: run to the end of the table, then read what was written ------------------------
+
+
+def _run(spark: SparkSession, name: str, result: DataFrame, mode: str = "append") -> str:
+    path = scratch_path(spark, name)
+    st.start(result, st.append_to(path), scratch_path(spark, f"{name}-state"), mode).awaitTermination()
+    return path
+
+
+@query(ORACLES["place_snapshot"])
+def stream_place(spark, sf):
+    path = scratch_path(spark, "stream_place")
+    machines, ledger = fx.machines(spark, sf), fx.allocations(spark, sf)
+    st.place_stream(
+        fx.tasks_of(fx.table_stream(spark, sf, "orders")), machines, lambda: ledger, load_share, RULES, path,
+        scratch_path(spark, "stream_place-state"),
+    ).awaitTermination()
+    placed = spark.read.parquet(path).drop("batch_id")
+    return placed.withColumns({c: F.round(c, 6) for c in ("sla_probability", *_SCORES)})
+
+
+@query(
+    _PL + """SELECT status, count(*) AS n_tasks, count(*) FILTER (WHERE status = 'scheduled') AS n_scheduled
+    FROM placements GROUP BY status"""
+)
+def stream_kpis(spark, sf):
+    live = st.live_kpis(fx.with_status(fx.scored_of(fx.table_stream(spark, sf, "orders"))))
+    return st.read_newest(spark, _run(spark, "stream_kpis", live, "update"), live.schema, ["status"])
+
+
+_SAMPLES = """WITH samples AS (SELECT user_id AS machine_id, epoch_us(ts) // 1000 AS ms,
+    CAST(event_id % 101 AS DOUBLE) / CAST(100 AS DOUBLE) AS cpu_util FROM events)"""
+
+
+@query(
+    _SAMPLES
+    + """SELECT machine_id, ms // 3600000 * 3600000 AS window_start_ms, count(*) AS n, round(avg(cpu_util), 6) AS avg_cpu,
+    max(cpu_util) AS max_cpu FROM samples GROUP BY 1, 2
+    HAVING window_start_ms + 3600000 <= (SELECT max(ms) FROM samples) - 600000"""
+)
+def stream_windows(spark, sf):
+    samples = fx.utilization_events(fx.table_stream(spark, sf, "events"))
+    windows = st.utilization_windows(samples).select(
+        "machine_id", F.unix_millis("window_start").alias("window_start_ms"), "n",
+        F.round("avg_cpu", 6).alias("avg_cpu"), "max_cpu",
+    )
+    path = _run(spark, "stream_windows", windows)
+    return st.read_appended(spark, path, windows.schema)
+
+
+@query(
+    _SAMPLES
+    + """SELECT machine_id, ms // 900000 * 900000 - off * 900000 AS window_start_ms, count(*) AS n,
+    max(cpu_util) AS max_cpu FROM samples CROSS JOIN (SELECT unnest(range(4)) AS off) GROUP BY 1, 2
+    HAVING window_start_ms + 3600000 <= (SELECT max(ms) FROM samples) - 600000"""
+)
+def stream_windows_sliding(spark, sf):
+    samples = fx.utilization_events(fx.table_stream(spark, sf, "events"))
+    windows = st.utilization_windows(samples, slide="15 minutes").select(
+        "machine_id", F.unix_millis("window_start").alias("window_start_ms"), "n", "max_cpu"
+    )
+    path = _run(spark, "stream_sliding", windows)
+    return st.read_appended(spark, path, windows.schema)
+
+
+@query(
+    _SAMPLES
+    + """SELECT machine_id, ms AS ts_ms, cpu_util FROM samples
+    QUALIFY row_number() OVER (PARTITION BY machine_id ORDER BY ms DESC) = 1"""
+)
+def stream_latest(spark, sf):
+    live = st.live_latest(fx.utilization_events(fx.table_stream(spark, sf, "events"))).select(
+        "machine_id", F.unix_millis("ts").alias("ts_ms"), "cpu_util"
+    )
+    return st.read_newest(spark, _run(spark, "stream_latest", live, "update"), live.schema, ["machine_id"])
+
+
+@query(
+    with_ctes(op.ALLOCATIONS_CTE)
+    + """SELECT machine_id, task_id, finish_ms AS released_ms FROM allocations
+    WHERE finish_ms <= (SELECT max(start_ms) FROM allocations)"""
+)
+def stream_occupancy(spark, sf):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", st.ROCKSDB)
+    stream = fx.allocations_of(fx.table_stream(spark, sf, "lineitem")).select(
+        "machine_id", "task_id", F.timestamp_millis("start_ms").alias("start"), "finish_ms"
+    )
+    path = _run(spark, "stream_occupancy", st.occupancy_state(stream))
+    return st.read_appended(spark, path, st.RELEASE_SCHEMA)
+
+
+# ---- classifiers ---------------------------------------------------------------------------
+
+
+def _train_test(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = splits.random_split(fx.features(spark, sf), "row_id", 1 / 3, seed=7)
+    return rows.filter("NOT is_val").drop("is_val"), rows.filter("is_val").drop("is_val")
+
+
+def _trained(spark: SparkSession, sf: str, kind: str, **kwargs) -> DataFrame:
+    return train_evaluate(kind, *_train_test(spark, sf), **kwargs).metrics
+
+
+@query()
+def train_lr(spark, sf):
+    return _trained(spark, sf, "lr")
+
+
+@query()
+def train_rf(spark, sf):
+    rows, test = _train_test(spark, sf)
+    kept = store(splits.stratified_split(rows, "sla_violation", "row_id"), "forest")
+    model, _ = search_forest(
+        kept.filter("NOT is_val").drop("is_val"), draws=2,
+        grid={"numTrees": [20], "maxDepth": [5, 8], "minInstancesPerNode": [1, 2], "featureSubsetStrategy": ["sqrt", "all"]},
+    )
+    return evaluate("rf", model, kept.filter("is_val"), test).metrics
+
+
+@query()
+def train_gbt(spark, sf):
+    """The boosted preset with early stopping, with fewer rounds than the preset's default."""
+    return _trained(spark, sf, "xgb", overrides={"maxIter": 15})
+
+
+@query()
+def train_ada(spark, sf):
+    return _trained(spark, sf, "ada", rounds=8)
+
+
+@query()
+def train_mlp(spark, sf):
+    return _trained(spark, sf, "mlp")
+
+
+EXTERNAL_WEIGHTS = {"req_cpu_cores": 0.4, "cpu_cores_total": -0.1, "req_ram_gb": 0.05, "ram_total_gb": -0.01}
+
+
+def _load_external():
+    return {"weights": EXTERNAL_WEIGHTS, "bias": -0.5}
+
+
+def _predict_external(model, batch):
+    z = sum(batch[c] * w for c, w in model["weights"].items()) + model["bias"]
+    return 1.0 / (1.0 + np.exp(-z))
+
+
+@query(
+    _FT
+    + "SELECT row_id, round(1 / (1 + exp(-("
+    + " + ".join(f"{c} * CAST({w} AS DOUBLE)" for c, w in EXTERNAL_WEIGHTS.items())
+    + " + CAST(-0.5 AS DOUBLE)))), 6) AS p FROM features"
+)
+def score_external(spark, sf):
+    scored = external_scorer(_load_external, _predict_external)(fx.features(spark, sf))
+    return scored.select("row_id", F.round("p", 6).alias("p"))

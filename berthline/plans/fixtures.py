@@ -50,7 +50,11 @@ def request_values(key: str) -> dict:
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One task per order."""
-    o = table(spark, sf_dir, "orders").select(
+    return tasks_of(table(spark, sf_dir, "orders"))
+
+
+def tasks_of(orders: DataFrame) -> DataFrame:
+    o = orders.select(
         F.col("o_orderkey").alias("task_id"), epoch_ms("o_orderdate").alias("arrival_ms")
     )
     seconds = F.lit(5.0) + ((F.col("task_id") * 13) % 5501).cast("double") / F.lit(100.0)
@@ -59,7 +63,11 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One allocation per line item: quantity hours from the ship date."""
-    li = table(spark, sf_dir, "lineitem").select(
+    return allocations_of(table(spark, sf_dir, "lineitem"))
+
+
+def allocations_of(lineitem: DataFrame) -> DataFrame:
+    li = lineitem.select(
         F.col("l_orderkey").alias("task_id"), F.col("l_suppkey").alias("machine_id"),
         epoch_ms("l_shipdate").alias("start_ms"), "l_quantity",
     )
@@ -69,7 +77,11 @@ def allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels and probabilities per order, with ties on purpose."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return scored_of(table(spark, sf_dir, "orders"))
+
+
+def scored_of(orders: DataFrame) -> DataFrame:
+    o = orders.select("o_orderkey", "o_orderpriority")
     y = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int")
     p = ((F.col("o_orderkey") * 7919) % 1000).cast("double") / F.lit(1000.0) * F.lit(0.5) + F.lit(0.4) * F.col(
         "y"
@@ -98,20 +110,25 @@ def raw_tasks(spark: SparkSession, sf_dir: str, with_time: bool = True) -> DataF
     return raw if with_time else raw.drop("execution_time")
 
 
-def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placement results derived from the scored rows, for the reports."""
-    s = scored(spark, sf_dir)
+def with_status(scored_rows: DataFrame) -> DataFrame:
     k = F.col("row_id")
-    machine_count = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1))).scalar()
     status = (
         F.when(k % 10 == 0, F.lit("no_free_machine"))
         .when(k % 10 == 1, F.lit("no_suitable_free_machine"))
         .when(F.col("p") >= F.lit(0.8), F.lit("all_predict_violation"))
         .otherwise(F.lit("scheduled"))
     )
+    return scored_rows.withColumn("status", status)
+
+
+def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placement results derived from the scored rows, for the reports."""
+    s = with_status(scored(spark, sf_dir))
+    k = F.col("row_id")
+    machine_count = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1))).scalar()
     done = F.col("status") == "scheduled"
     return (
-        s.withColumn("status", status)
+        s
         .select(
             k.alias("task_id"),
             "status",
@@ -147,8 +164,12 @@ def utilization_events(events: DataFrame) -> DataFrame:
     """Event rows read as utilisation samples of machine ``user_id``."""
     return events.select(
         F.col("user_id").alias("machine_id"),
-        F.col("ts"),
-        (F.col("event_id") % 101).cast("double").alias("_pct"),
-        "event_id",
-    ).withColumn("cpu_util", F.col("_pct") / F.lit(100.0)).drop("_pct")
+        F.timestamp_millis(epoch_ms("ts")).alias("ts"),
+        ((F.col("event_id") % 101).cast("double") / F.lit(100.0)).alias("cpu_util"),
+    )
+
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's file as a stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)

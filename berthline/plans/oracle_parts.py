@@ -6,7 +6,7 @@ from berthline.schemas import PRESET_SCHEMA, PRESETS
 
 
 def epoch(name: str) -> str:
-    return f"epoch_ms({name})"
+    return f"(epoch_us({name}) // 1000)"
 
 
 _PRESET_ROWS = ", ".join(

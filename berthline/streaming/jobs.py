@@ -15,13 +15,13 @@ from berthline.plans.placement import PlacementRules, place_snapshot
 from berthline.schemas import SCHEDULED
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_SHARDS = 16
 
 RELEASE_SCHEMA = T.StructType(
     [
         T.StructField("machine_id", T.LongType()),
         T.StructField("task_id", T.LongType()),
-        T.StructField("released_at", T.TimestampType()),
-        T.StructField("still_active", T.LongType()),
+        T.StructField("released_ms", T.LongType()),
     ]
 )
 
@@ -42,14 +42,9 @@ def append_to(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def replace_at(path: str) -> Callable[[DataFrame, int], None]:
-    """Write the whole result table of a complete-mode query once per batch; the newest folder counts."""
-    return append_to(path)
-
-
 def read_appended(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All batches of ``append_to``."""
-    return spark.read.schema(schema).option("basePath", path).parquet(path)
+    return spark.read.schema(schema).option("basePath", path).parquet(path).select(*schema.fieldNames())
 
 
 def read_newest(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
@@ -101,68 +96,47 @@ def live_latest(samples: DataFrame, time: str = "ts", values: tuple[str, ...] =
 
 
 class ReleaseProcessor(StatefulProcessor):
-    """Holds each machine's active tasks and reports every one when its finish time has passed.
+    """Holds active tasks and reports every one when its finish time has passed.
 
-    Tasks sit in a map from finish time and task id; one timer per distinct finish time is
-    registered in event time. A task whose finish is already behind the watermark is
-    released at once.
+    One list per group, and an event-time timer for the earliest finish in it: each wake-up
+    releases everything due and sets the next one. A task whose finish is already behind
+    the watermark is released at once.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.active = handle.getMapState("active", "finish_ms long, task_id long", "held int")
-        self.count = handle.getValueState("count", "n long")
-
-    def _active_now(self) -> int:
-        return self.count.get()[0] if self.count.exists() else 0
+        self.active = handle.getListState("active", "finish_ms long, task_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        count = self._active_now()
-        late = []
-        for batch in rows:
-            finishes = (batch["finish"].astype("datetime64[ns]").astype("int64") // 1_000_000).tolist()
-            for task_id, finish_ms in zip(batch["task_id"].tolist(), finishes):
-                if finish_ms <= now:
-                    late.append((int(task_id), finish_ms))
-                    continue
-                held = self.active.getValue((finish_ms, int(task_id))) if self.active.containsKey(
-                    (finish_ms, int(task_id))) else (0,)
-                self.active.updateValue((finish_ms, int(task_id)), (held[0] + 1,))
-                self.handle.registerTimer(finish_ms)
-                count += 1
-        self.count.update((count,))
-        if late:
-            yield self._rows(key, late, [count] * len(late))
+        arrived = pd.concat([batch[["finish_ms", "task_id"]] for batch in rows])
+        over = arrived["finish_ms"] <= now
+        if over.any():
+            yield self._released(key, arrived[over])
+        held = arrived[~over]
+        if len(held):
+            self.active.appendList(list(zip(held["finish_ms"].tolist(), held["task_id"].tolist())))
+            self.handle.registerTimer(int(held["finish_ms"].min()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        released = [(entry[0], value[0]) for entry, value in self.active.iterator() if entry[0][0] == due] \
-            if False else self._due(due)
-        count = self._active_now()
-        out = []
-        for (finish_ms, task_id), held in released:
-            self.active.removeKey((finish_ms, task_id))
-            out += [(task_id, finish_ms)] * held
-        count -= len(out)
-        self.count.update((count,))
-        if out:
-            yield self._rows(key, out, [count] * len(out))
-
-    def _due(self, due: int) -> list:
-        found = []
-        for key, value in self.active.iterator():
-            if key[0] <= due:
-                found.append(((key[0], key[1]), value[0]))
-        return found
-
-    def _rows(self, key, released: list, counts: list[int]) -> pd.DataFrame:
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        held = pd.DataFrame(list(self.active.get()), columns=["finish_ms", "task_id"])
+        due = held["finish_ms"] <= now
+        rest = held[~due]
+        if len(rest):
+            self.active.put(list(zip(rest["finish_ms"].tolist(), rest["task_id"].tolist())))
+            self.handle.registerTimer(int(rest["finish_ms"].min()))
+        else:
+            self.active.clear()
+        if due.any():
+            yield self._released(key, held[due])
+
+    def _released(self, key, tasks: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(
             {
-                "machine_id": [key[0]] * len(released),
-                "task_id": [t for t, _ in released],
-                "released_at": pd.to_datetime([ms for _, ms in released], unit="ms"),
-                "still_active": counts,
+                "machine_id": [int(key[0])] * len(tasks),
+                "task_id": tasks["task_id"].astype("int64").tolist(),
+                "released_ms": tasks["finish_ms"].astype("int64").tolist(),
             }
         )
 
@@ -170,14 +144,17 @@ class ReleaseProcessor(StatefulProcessor):
         pass
 
 
-def occupancy_state(allocations: DataFrame, late: str = "0 seconds", time: str = "start") -> DataFrame:
-    """Release events of a stream of allocations (machine_id, task_id, start, finish).
+def occupancy_state(allocations: DataFrame, late: str = "0 seconds", shards: int = STATE_SHARDS) -> DataFrame:
+    """Release events of a stream of allocations (machine_id, task_id, start timestamp, finish_ms).
 
-    Needs the RocksDB state store: ``spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)``.
+    Releases of one machine do not depend on each other, so its tasks are dealt out over
+    ``shards`` state groups and a busy machine does not hold up one task. Needs the RocksDB
+    state store: ``spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)``.
     """
     return (
-        allocations.withWatermark(time, late)
-        .groupBy("machine_id")
+        allocations.withColumn("shard", F.pmod(F.xxhash64("task_id"), F.lit(shards)).cast("int"))
+        .withWatermark("start", late)
+        .groupBy("machine_id", "shard")
         .transformWithStateInPandas(
             statefulProcessor=ReleaseProcessor(), outputStructType=RELEASE_SCHEMA, outputMode="Append",
             timeMode="EventTime",
