@@ -28,6 +28,8 @@ def numeric_or_null(name: str) -> Column:
 
 
 def coalesce_zero(c: Column | str) -> Column:
+    if isinstance(c, str):
+        return F.expr(f"coalesce(CAST(`{c}` AS DOUBLE), 0.0D)")
     return F.coalesce(col(c).cast("double"), F.lit(0.0))
 
 

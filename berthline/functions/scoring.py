@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from berthline.schemas import REMAINING, REQUESTS, RESOURCES, TOTALS, USED
+from berthline.schemas import REMAINING, REQUESTS, RESOURCES, TOTALS
 
 # Fixed values of the two scoring profiles.
 EPS = 1e-9
@@ -45,84 +45,87 @@ def check_alpha(alpha: float) -> float:
     return float(alpha)
 
 
-def remaining(resource: str) -> Column:
-    return F.col(TOTALS[resource]) - F.col(USED[resource])
+# The expressions are written as SQL text: each becomes one call to the JVM instead of dozens.
+
+
+def number(value: float) -> str:
+    """A double literal."""
+    return f"{float(value)!r}D"
 
 
 def fits(eps: float = EPS) -> Column:
     """Remaining capacity covers the request on all four resources."""
-    result = F.lit(True)
-    for r in RESOURCES:
-        result = result & (F.col(REMAINING[r]) + F.lit(eps) >= F.col(REQUESTS[r]))
-    return result
+    return F.expr(" AND ".join(f"{REMAINING[r]} + {number(eps)} >= {REQUESTS[r]}" for r in RESOURCES))
 
 
 def raw_fit() -> Column:
     """Mean leftover share of a machine's totals once the request is in place."""
-    shares = [
-        F.abs(F.col(REMAINING[r]) - F.col(REQUESTS[r])) / F.greatest(F.col(TOTALS[r]), F.lit(EPS)) for r in RESOURCES
-    ]
-    return (shares[0] + shares[1] + shares[2] + shares[3]) / F.lit(4.0)
+    shares = (f"abs({REMAINING[r]} - {REQUESTS[r]}) / greatest({TOTALS[r]}, {number(EPS)})" for r in RESOURCES)
+    return F.expr(f"({' + '.join(shares)}) / 4.0D")
+
+
+def _derived_floored() -> dict[str, str]:
+    def unit(watts: str, total: str, floor: float) -> str:
+        return f"greatest({number(floor)}, {watts} / greatest({total}, 1.0D))"
+
+    def unit_if_any(watts: str, total: str, floor: float) -> str:
+        return f"CASE WHEN {total} > 0 THEN {unit(watts, total, floor)} ELSE 0.0D END"
+
+    return {
+        "cpu": unit("cpu_watts", TOTALS["cpu"], CPU_FLOOR_W),
+        "gpu": unit_if_any("gpu_watts", TOTALS["gpu"], GPU_FLOOR_W),
+        "vram": unit_if_any("gpu_watts", TOTALS["vram"], VRAM_FLOOR_W),
+        "ram": number(RAM_DEFAULT_W),
+    }
+
+
+def _derived_plain() -> dict[str, str]:
+    low, high = (number(v) for v in RAM_CLAMP_W)
+    draw = "coalesce(current_cpu_power_w, 0.0D) + coalesce(current_gpu_power_w, 0.0D)"
+    per_gb = f"({draw}) * {number(RAM_SHARE)} / greatest({TOTALS['ram']}, 1.0D)"
+    return {
+        "cpu": f"cpu_watts / greatest({TOTALS['cpu']}, {number(EPS)})",
+        "gpu": f"gpu_watts / greatest({TOTALS['gpu']}, {number(EPS)})",
+        "vram": f"gpu_watts / greatest({TOTALS['vram']}, {number(EPS)})",
+        "ram": f"greatest({low}, least({high}, {per_gb}))",
+    }
 
 
 def incremental_watts(profile: str = "floored", overrides: PowerOverrides = PowerOverrides()) -> Column:
     """Estimated extra draw of a machine that takes the request."""
-    cpu_w, gpu_w = F.col("cpu_watts"), F.col("gpu_watts")
-    cores, gpus, vram, ram = (F.col(TOTALS[r]) for r in RESOURCES)
-    if check_profile(profile) == "floored":
-        one = F.lit(1.0)
-        derived = {
-            "cpu": F.greatest(F.lit(CPU_FLOOR_W), cpu_w / F.greatest(cores, one)),
-            "gpu": F.when(gpus > 0, F.greatest(F.lit(GPU_FLOOR_W), gpu_w / F.greatest(gpus, one))).otherwise(0.0),
-            "vram": F.when(vram > 0, F.greatest(F.lit(VRAM_FLOOR_W), gpu_w / F.greatest(vram, one))).otherwise(0.0),
-            "ram": F.lit(RAM_DEFAULT_W),
-        }
-    else:
-        low, high = RAM_CLAMP_W
-        draw = F.coalesce(F.col("current_cpu_power_w"), F.lit(0.0)) + F.coalesce(
-            F.col("current_gpu_power_w"), F.lit(0.0)
-        )
-        derived = {
-            "cpu": cpu_w / F.greatest(cores, F.lit(EPS)),
-            "gpu": gpu_w / F.greatest(gpus, F.lit(EPS)),
-            "vram": gpu_w / F.greatest(vram, F.lit(EPS)),
-            "ram": F.greatest(
-                F.lit(low), F.least(F.lit(high), draw * F.lit(RAM_SHARE) / F.greatest(ram, F.lit(1.0)))
-            ),
-        }
+    per_unit = _derived_floored() if check_profile(profile) == "floored" else _derived_plain()
     given = {
         "cpu": overrides.cpu_power_per_core,
         "gpu": overrides.gpu_power_per_core,
         "vram": overrides.gpu_vram_power_per_gb,
         "ram": overrides.ram_power_per_gb,
     }
-    parts = [
-        (derived[r] if given[r] is None else F.lit(float(given[r]))) * F.col(REQUESTS[r]) for r in RESOURCES
-    ]
-    watts = parts[0] + parts[1] + parts[2] + parts[3]
-    return F.greatest(F.lit(TOTAL_FLOOR_W), watts) if profile == "floored" else watts
+    per_unit.update({r: number(v) for r, v in given.items() if v is not None})
+    watts = " + ".join(f"({per_unit[r]}) * {REQUESTS[r]}" for r in RESOURCES)
+    return F.expr(f"greatest({number(TOTAL_FLOOR_W)}, {watts})" if profile == "floored" else watts)
 
 
 def fit_score(profile: str = "floored") -> Column:
     """Min-max over the request's candidates, from columns fit_raw, fit_min and fit_max."""
-    span = F.col("fit_max") - F.col("fit_min")
-    flat = F.col("fit_raw") if check_profile(profile) == "floored" else F.lit(0.0)
-    return F.when(span < FLAT_FIT, flat).otherwise(F.try_divide(F.col("fit_raw") - F.col("fit_min"), span))
+    flat = "fit_raw" if check_profile(profile) == "floored" else "0.0D"
+    return F.expr(
+        f"CASE WHEN fit_max - fit_min < {number(FLAT_FIT)} THEN {flat} "
+        "ELSE try_divide(fit_raw - fit_min, fit_max - fit_min) END"
+    )
 
 
 def energy_score(profile: str = "floored") -> Column:
     """Min-max over the request's candidates, from columns watts, watts_min and watts_max."""
-    span = F.col("watts_max") - F.col("watts_min")
+    flat = "0.0D"
     if check_profile(profile) == "floored":
-        flat = F.when(F.col("watts_max") > 0, F.try_divide(F.col("watts"), F.col("watts_max"))).otherwise(0.0)
-    else:
-        flat = F.lit(0.0)
-    return F.when(span < FLAT_WATTS[profile], flat).otherwise(
-        F.try_divide(F.col("watts") - F.col("watts_min"), span)
+        flat = "CASE WHEN watts_max > 0 THEN try_divide(watts, watts_max) ELSE 0.0D END"
+    return F.expr(
+        f"CASE WHEN watts_max - watts_min < {number(FLAT_WATTS[profile])} THEN {flat} "
+        "ELSE try_divide(watts - watts_min, watts_max - watts_min) END"
     )
 
 
 def final_score(alpha: float) -> Column:
     """Weighted energy and fit, from columns energy_score and fit_score; lower is better."""
     a = check_alpha(alpha)
-    return F.lit(a) * F.col("energy_score") + F.lit(1.0 - a) * F.col("fit_score")
+    return F.expr(f"{number(a)} * energy_score + {number(1.0 - a)} * fit_score")

@@ -7,7 +7,7 @@ whose number depends on the variety of the data and not on its volume.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from berthline.functions import scoring
@@ -15,7 +15,7 @@ from berthline.functions.numeric import coalesce_zero
 from berthline.operators.skew import salted_join, spread
 from berthline.schemas import (
     DEFAULT_CPU_POWER_W, DEFAULT_GPU_POWER_W, FEATURE_COLUMNS, MACHINE_COLUMNS, REMAINING, REQUEST_COLUMNS,
-    REQUESTS, RESOURCES, require_columns,
+    REQUESTS, RESOURCES, TOTALS, USED, require_columns,
 )
 
 BLOCK_RESOURCES = ("gpu", "ram")
@@ -24,7 +24,7 @@ BLOCK_SALTS = 8
 
 def with_remaining(machines: DataFrame) -> DataFrame:
     """Total minus used for the four resources."""
-    return machines.withColumns({REMAINING[r]: scoring.remaining(r) for r in RESOURCES})
+    return machines.withColumns({REMAINING[r]: F.expr(f"{TOTALS[r]} - {USED[r]}") for r in RESOURCES})
 
 
 def fill_requests(tasks: DataFrame) -> DataFrame:
@@ -49,11 +49,9 @@ def machine_classes(machines: DataFrame) -> DataFrame:
     return with_remaining(grouped)
 
 
-def _level(amount: Column) -> Column:
+def _step(amount: str) -> str:
     """Coarse size step of an amount: 0 for nothing, then one step per factor of four."""
-    return F.when(amount <= 0, F.lit(0)).otherwise(
-        F.greatest(F.lit(1), F.lit(1) + F.ceil(F.log(4.0, amount)).cast("int"))
-    )
+    return f"CASE WHEN {amount} <= 0 THEN 0 ELSE greatest(1, 1 + CAST(ceil(log(4.0D, {amount})) AS INT)) END"
 
 
 def capable_pairs(
@@ -67,22 +65,16 @@ def capable_pairs(
     Shapes of a crowded step are spread by salt. The short shape list is dealt out over all
     tasks explicitly: judged by its bytes alone it would end up in one, with all the pairs.
     """
-    asked = spread(shapes, REQUEST_COLUMNS)
+    keys = {f"_step_{r}": r for r in BLOCK_RESOURCES}
+    asked = spread(shapes, REQUEST_COLUMNS).withColumns({k: F.expr(_step(REQUESTS[r])) for k, r in keys.items()})
     offered = classes
-    keys = []
-    for r in BLOCK_RESOURCES:
-        key = f"_step_{r}"
-        keys.append(key)
-        asked = asked.withColumn(key, _level(F.col(REQUESTS[r])))
-        top = _level(F.col(REMAINING[r]) + F.lit(eps))
-        offered = offered.withColumn(key, F.explode(F.sequence(F.lit(0), top)))
+    for k, r in keys.items():
+        offered = offered.withColumn(k, F.expr(f"explode(sequence(0, {_step(f'({REMAINING[r]} + {eps!r}D)')}))"))
     if salts > 1:
-        keys.append("_salt")
-        asked = asked.withColumn(
-            "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in REQUEST_COLUMNS]), F.lit(salts)).cast("int")
-        )
-        offered = offered.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return asked.join(offered, keys).filter(scoring.fits(eps)).drop(*keys)
+        asked = asked.withColumn("_salt", F.expr(f"CAST(pmod(xxhash64({', '.join(REQUEST_COLUMNS)}), {salts}) AS INT)"))
+        offered = offered.withColumn("_salt", F.expr(f"explode(sequence(0, {salts - 1}))"))
+        keys["_salt"] = ""
+    return asked.join(offered, list(keys)).filter(scoring.fits(eps)).drop(*keys)
 
 
 def feasible_counts(tasks: DataFrame, machines: DataFrame, eps: float = scoring.EPS) -> DataFrame:

@@ -21,14 +21,18 @@ from berthline.schemas import REQUESTS, RESOURCES, TOTALS, USED
 # fits one task. Dense ledgers want it narrower, sparse ones wider.
 BUCKET_MS = 86_400_000
 COVER_BITS = 32
+BEGINNING_MS = -(1 << 60)
 
 
 def time_bucket(name: str, width_ms: int = BUCKET_MS) -> Column:
     return F.floor(F.col(name) / F.lit(width_ms)).cast("bigint")
 
 
-def allocation_events(allocations: DataFrame) -> DataFrame:
-    """One row per (machine, instant): tasks and resources taken at, and given back at, that instant."""
+def allocation_events(allocations: DataFrame, machines: DataFrame | None = None) -> DataFrame:
+    """One row per (machine, instant): tasks and resources taken at, and given back at, that instant.
+
+    With ``machines``, each of them also gets an empty row at the beginning of time.
+    """
     held = allocations.filter(F.col("finish_ms") > F.col("start_ms")).select(
         "machine_id", "start_ms", "finish_ms", *[coalesce_zero(REQUESTS[r]).alias(r) for r in RESOURCES]
     )
@@ -41,9 +45,16 @@ def allocation_events(allocations: DataFrame) -> DataFrame:
             )
         ).alias("edge"),
         *RESOURCES,
-    )
-    sign = F.col("edge.sign")
-    return edges.groupBy("machine_id", F.col("edge.time_ms").alias("time_ms")).agg(
+    ).select("machine_id", "edge.time_ms", "edge.sign", *RESOURCES)
+    if machines is not None:
+        edges = edges.unionByName(
+            machines.select(
+                "machine_id", F.lit(BEGINNING_MS).alias("time_ms"), F.lit(0).cast("bigint").alias("sign"),
+                *[F.lit(0.0).alias(r) for r in RESOURCES],
+            )
+        )
+    sign = F.col("sign")
+    return edges.groupBy("machine_id", "time_ms").agg(
         F.sum(sign).alias("d_active"),
         F.sum(F.when(sign > 0, F.lit(1)).otherwise(0)).cast("bigint").alias("started"),
         *[F.sum(sign * F.col(r)).alias(f"d_{r}") for r in RESOURCES],
@@ -53,11 +64,13 @@ def allocation_events(allocations: DataFrame) -> DataFrame:
 _TOTALS = {"active_tasks": "d_active", **{USED[r]: f"d_{r}" for r in RESOURCES}}
 
 
-def usage_steps(allocations: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+def usage_steps(
+    allocations: DataFrame, bucket_ms: int = BUCKET_MS, machines: DataFrame | None = None
+) -> DataFrame:
     """Usage of each machine from every instant at which it changes until the next one."""
     steps = running_totals(
-        allocation_events(allocations), ["machine_id"], "time_ms", _TOTALS, time_bucket("time_ms", bucket_ms),
-        following="until_ms",
+        allocation_events(allocations, machines), ["machine_id"], "time_ms", _TOTALS,
+        time_bucket("time_ms", bucket_ms), following="until_ms",
     )
     return steps.select(
         "machine_id", "time_ms", "until_ms", "active_tasks", *[F.round(USED[r], 6).alias(USED[r]) for r in RESOURCES]
@@ -107,20 +120,12 @@ def usage_at(
 
 
 def usage_spans(allocations: DataFrame, machines: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
-    """Stretches [from_ms, to_ms) of unchanged usage for every machine; open ends are null."""
-    spans = usage_steps(allocations, bucket_ms).withColumnsRenamed({"time_ms": "from_ms", "until_ms": "to_ms"})
-    return _unused_before(allocations, machines).unionByName(spans)
-
+    """Stretches [from_ms, to_ms) of unchanged usage for every machine, from the beginning of time.
 
-def _unused_before(allocations: DataFrame, machines: DataFrame) -> DataFrame:
-    """The stretch before a machine's first allocation; all time for a machine without any."""
-    begins = allocations.filter(F.col("finish_ms") > F.col("start_ms")).groupBy("machine_id").agg(
-        F.min("start_ms").alias("to_ms")
-    )
-    return machines.select("machine_id").join(begins, "machine_id", "left").select(
-        "machine_id", F.lit(None).cast("bigint").alias("from_ms"), "to_ms",
-        F.lit(0).cast("bigint").alias("active_tasks"), *[F.lit(0.0).alias(c) for c in USED.values()],
-    )
+    The last stretch of a machine has no end (null).
+    """
+    steps = usage_steps(allocations, bucket_ms, machines)
+    return steps.withColumnsRenamed({"time_ms": "from_ms", "until_ms": "to_ms"})
 
 
 def idle_spans(allocations: DataFrame, machines: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
@@ -145,7 +150,7 @@ def cover_blocks(spans: DataFrame, quantum_ms: int = 1000, bits: int = COVER_BIT
     the grid. A span yields at most two blocks per block size.
     """
     grid = float(quantum_ms)
-    low = F.coalesce(F.greatest(F.ceil(F.col("from_ms") / grid).cast("bigint"), F.lit(0)), F.lit(0))
+    low = F.greatest(F.ceil(F.col("from_ms") / grid).cast("bigint"), F.lit(0))
     high = F.coalesce(
         F.greatest(F.lit(0), F.least(F.ceil(F.col("to_ms") / grid).cast("bigint"), F.lit(1 << bits))),
         F.lit(1 << bits),
