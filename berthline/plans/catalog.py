@@ -1052,7 +1052,7 @@ def stream_latest(spark, sf):
 @query(
     with_ctes(op.ALLOCATIONS_CTE)
     + """SELECT machine_id, task_id, finish_ms AS released_ms FROM allocations
-    WHERE finish_ms <= (SELECT max(start_ms) FROM allocations)"""
+    WHERE finish_ms <= (SELECT max(start_ms) FROM allocations) - 600000"""
 )
 def stream_occupancy(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", st.ROCKSDB)

@@ -144,11 +144,12 @@ class ReleaseProcessor(StatefulProcessor):
         pass
 
 
-def occupancy_state(allocations: DataFrame, late: str = "0 seconds", shards: int = STATE_SHARDS) -> DataFrame:
+def occupancy_state(allocations: DataFrame, late: str = "10 minutes", shards: int = STATE_SHARDS) -> DataFrame:
     """Release events of a stream of allocations (machine_id, task_id, start timestamp, finish_ms).
 
     Releases of one machine do not depend on each other, so its tasks are dealt out over
-    ``shards`` state groups and a busy machine does not hold up one task. Needs the RocksDB
+    ``shards`` state groups and a busy machine does not hold up one task. Allocations that
+    start more than ``late`` before the newest one seen are dropped. Needs the RocksDB
     state store: ``spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)``.
     """
     return (

@@ -27,7 +27,7 @@ def test_releases_follow_the_watermark(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", st.ROCKSDB)
     source = tmp_path / "in"
     day = 86_400_000
-    batches = [[(1, 10, 0, 2 * day), (1, 11, 0, 3 * day), (2, 12, day, day + 5)], [(1, 13, 2 * day, 9 * day)], [(2, 14, 4 * day, 5 * day)]]
+    batches = [[(1, 10, 1, 2 * day), (1, 11, 1, 3 * day), (2, 12, day, day + 5)], [(1, 13, 2 * day, 9 * day)], [(2, 14, 4 * day, 5 * day)]]
     for part in batches:
         spark.createDataFrame(part, "machine_id long, task_id long, s long, finish_ms long").select(
             "machine_id", "task_id", F.timestamp_millis("s").alias("start"), "finish_ms"
