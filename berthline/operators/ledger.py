@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from berthline.functions.numeric import coalesce_zero, ratio
 from berthline.operators.occupancy import BUCKET_MS, usage_at, with_utilization
-from berthline.operators.skew import ordered_rank
+from berthline.operators.skew import integer_bucket, ordered_rank
 
 from berthline.schemas import REQUEST_COLUMNS, REQUESTS, RESOURCES, SPEC_COLUMNS, TOTALS, USED
 
@@ -115,12 +115,12 @@ def unpivot_utilization(samples: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def latest_sample(samples: DataFrame, time: str = "time_ms") -> DataFrame:
-    """The last sample of each machine."""
+    """The last sample of each machine; a machine has one sample per time.
+
+    One ``max_by`` per column, because plain numbers aggregate by hash and a struct would sort.
+    """
     values = [c for c in samples.columns if c not in ("machine_id", time)]
-    newest = F.max_by(F.struct(*values), F.col(time))
-    return samples.groupBy("machine_id").agg(F.max(time).alias(time), newest.alias("s")).select(
-        "machine_id", time, "s.*"
-    )
+    return samples.groupBy("machine_id").agg(F.max(time).alias(time), *[F.max_by(c, time).alias(c) for c in values])
 
 
 def sample_ticks(
@@ -130,9 +130,16 @@ def sample_ticks(
     return with_utilization(usage_at(ticks, allocations, strict_start=True, bucket_ms=bucket_ms), machines)
 
 
-def task_ordinal(tasks: DataFrame, order: list[str], bucket, keys: list[str] = ()) -> DataFrame:
-    """1-based position of each task; ``bucket`` is any coarse, order-preserving part of the order."""
-    return ordered_rank(tasks, list(keys), order, bucket, "task_ord")
+def task_ordinal(
+    tasks: DataFrame, arrival: str = "arrival_ms", task: str = "task_id", per_bucket: int = 100_000
+) -> DataFrame:
+    """1-based position of each task by arrival, then id.
+
+    Counted per (instant, id range) within a day, so neither a busy day nor a busy instant
+    ends up in one task.
+    """
+    fine = F.struct(F.col(arrival), integer_bucket(F.col(task), per_bucket).alias("part"))
+    return ordered_rank(tasks, [], [arrival, task], [fine, integer_bucket(F.col(arrival), BUCKET_MS)], "task_ord")
 
 
 def logical_arrival(tasks: DataFrame, interval_s: float = 1.0) -> DataFrame:

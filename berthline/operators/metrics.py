@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from berthline.functions.numeric import apply_temperature, binarize, ratio
-from berthline.operators.skew import running_totals
+from berthline.operators.skew import running_totals, score_buckets
 
 # Threshold grid, temperature grid, clip of the log loss, and rule names.
 N_THRESHOLDS = 99
@@ -20,7 +20,6 @@ TEMPERATURE_LOW, TEMPERATURE_HIGH = 0.5, 5.0
 LOG_LOSS_CLIP = 2.220446049250313e-16
 RULE_RECALL = "max_precision_given_recall"
 RULE_F1 = "best_F1_fallback"
-SCORE_BUCKETS = 4096
 
 
 def counts(actual: Column, predicted: Column) -> list[Column]:
@@ -102,8 +101,9 @@ def score_counts(df: DataFrame, keys: list[str] = ()) -> DataFrame:
 def cumulative_confusion(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     """True and false positives when everything from a score upward counts as positive."""
     scored = score_counts(df, keys).withColumn("_down", -F.col("p"))
-    bucket = F.floor(F.col("_down") * F.lit(SCORE_BUCKETS))
-    return running_totals(scored, list(keys), "_down", {"tp": "pos", "fp": "neg"}, bucket).drop("_down")
+    return running_totals(
+        scored, list(keys), "_down", {"tp": "pos", "fp": "neg"}, score_buckets(F.col("_down"))
+    ).drop("_down")
 
 
 def _curve(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from berthline.functions.numeric import coalesce_zero, ratio
-from berthline.operators.skew import running_totals, salted_join
+from berthline.operators.skew import integer_bucket, running_totals, salted_join
 from berthline.schemas import REQUESTS, RESOURCES, TOTALS, USED
 
 # Width of the time buckets in which running totals are formed: wide enough that a machine's
@@ -21,11 +21,13 @@ from berthline.schemas import REQUESTS, RESOURCES, TOTALS, USED
 # fits one task. Dense ledgers want it narrower, sparse ones wider.
 BUCKET_MS = 86_400_000
 COVER_BITS = 32
+LARGE_BLOCK_BITS = 10
+BLOCK_SALTS = 16
 BEGINNING_MS = -(1 << 60)
 
 
 def time_bucket(name: str, width_ms: int = BUCKET_MS) -> Column:
-    return F.floor(F.col(name) / F.lit(width_ms)).cast("bigint")
+    return integer_bucket(F.col(name), width_ms)
 
 
 def allocation_events(allocations: DataFrame, machines: DataFrame | None = None) -> DataFrame:
@@ -183,6 +185,20 @@ def enclosing_blocks(instants: DataFrame, tick: str, bits: int = COVER_BITS) ->
     )
 
 
+def _join_blocks(ticks: DataFrame, blocks: DataFrame, bits: int) -> DataFrame:
+    """Match ticks with the blocks around them.
+
+    Every tick lies in the few largest blocks, so those sizes are salted; small blocks hold
+    a bounded number of ticks and need no copies.
+    """
+    large = F.col("block_size") >= F.lit(bits - LARGE_BLOCK_BITS)
+    asked = enclosing_blocks(ticks, "tick", bits).withColumn(
+        "_salt", F.when(large, F.pmod(F.xxhash64("tick"), F.lit(BLOCK_SALTS)).cast("int")).otherwise(0)
+    )
+    copies = F.when(large, F.sequence(F.lit(0), F.lit(BLOCK_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return asked.join(blocks.withColumn("_salt", F.explode(copies)), ["block_size", "block", "_salt"])
+
+
 def free_by_class(
     instants: DataFrame, spans: DataFrame, classes: list[str], quantum_ms: int = 1000, bits: int = COVER_BITS
 ) -> DataFrame:
@@ -197,8 +213,7 @@ def free_by_class(
         F.count(F.lit(1)).alias("n"), F.min("machine_id").alias("first_id")
     )
     return (
-        enclosing_blocks(ticks, "tick", bits)
-        .join(blocks, ["block_size", "block"])
+        _join_blocks(ticks, blocks, bits)
         .groupBy("time_ms", *classes)
         .agg(F.sum("n").alias("n_free"), F.min("first_id").alias("first_free_id"))
     )
@@ -210,9 +225,7 @@ def free_members(
     """The machines in a span at each instant, one row per (instant, machine)."""
     ticks = instants.select("time_ms").distinct().withColumn("tick", instant_tick("time_ms", quantum_ms))
     blocks = cover_blocks(spans, quantum_ms, bits).select(*classes, "machine_id", "block_size", "block")
-    return enclosing_blocks(ticks, "tick", bits).join(blocks, ["block_size", "block"]).select(
-        "time_ms", *classes, "machine_id"
-    )
+    return _join_blocks(ticks, blocks, bits).select("time_ms", *classes, "machine_id")
 
 
 def busy_counts(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from berthline.operators.skew import ordered_rank
+from berthline.operators.skew import integer_bucket, ordered_rank
 from berthline.schemas import SPEC_COLUMNS, SPEC_RANGES, presets
 
 
@@ -27,7 +27,7 @@ def build_pool(requests: DataFrame, order: str = "request_id", per_bucket: int =
     units = preset_lookup(requests).filter("count >= 1").withColumn(
         "unit", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))
     )
-    bucket = F.floor(F.col(order) / F.lit(per_bucket))
+    bucket = integer_bucket(F.col(order), per_bucket)
     numbered = pool_sequence(units, [order, "unit"], bucket)
     return numbered.select(
         F.col("seq").cast("bigint").alias("machine_id"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from berthline.functions.numeric import numeric_or_null, ratio
-from berthline.operators.skew import running_totals, salted_join
+from berthline.operators.skew import running_totals, salted_join, score_buckets
 from berthline.schemas import SCHEDULED
 
 HISTOGRAM_BINS = 20
@@ -93,15 +93,14 @@ def sla_histogram(placements: DataFrame, bins: int = HISTOGRAM_BINS, p: str = "s
     )
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float], buckets: int = 4096) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
     """Exact interpolated quantiles per key of values in [0, 1].
 
     Equal values are counted first; running counts then show which value sits at the wanted
     ranks, so no task ever holds a key's whole distribution.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    bucket = F.floor(F.col(value) * F.lit(buckets))
-    upto = running_totals(counted, keys, value, {"_upto": "_n"}, bucket)
+    upto = running_totals(counted, keys, value, {"_upto": "_n"}, score_buckets(F.col(value)))
     sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     ranked = salted_join(upto, sizes, keys, [value])
 

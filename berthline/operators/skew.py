@@ -37,50 +37,86 @@ def salted_join(
 
 
 def running_totals(
-    df: DataFrame, keys: list[str], order: str, totals: dict[str, str], bucket: Column, following: str | None = None,
+    df: DataFrame, keys: list[str], order: str, totals: dict[str, str], buckets: Column | list[Column],
+    following: str | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``totals`` (new name -> column) per key along ``order``.
 
-    Two levels: sums per bucket are accumulated first, then rows within each bucket. One
-    key may hold any share of the rows; a single task only sees one bucket, or the short
-    list of a key's buckets. ``df`` is unique on (keys, order) and ``bucket`` is
-    non-decreasing in ``order``. ``following`` names a column for the next row's order value.
+    Sums per bucket are accumulated first, then rows within each bucket. One key may hold
+    any share of the rows; a single task only sees one bucket, or the short list of a key's
+    buckets. ``df`` is unique on (keys, order). ``buckets`` are non-decreasing in ``order``
+    and never null, from fine to coarse; each must follow from the one before it. Several
+    levels keep every list short when values crowd into a few coarse buckets.
+    ``following`` names a column for the next row's order value.
     """
-    # declared non-null, so that the join below adds no filter that would keep the two uses
-    # of the rows from sharing one exchange
-    rows = df.withColumn("_bucket", F.coalesce(bucket.cast("bigint"), F.lit(0).cast("bigint")))
-    by_bucket = rows.groupBy(*keys, "_bucket").agg(
-        *[F.sum(c).alias(f"_sum_{n}") for n, c in totals.items()], F.min(order).alias("_first")
+    levels = buckets if isinstance(buckets, list) else [buckets]
+    lead = (following, order) if following else None
+    before = _totals_before(df, keys, order, {f"_before_{n}": c for n, c in totals.items()}, levels, lead)
+    return before.select(
+        *df.columns,
+        *[(F.col(f"_before_{n}") + F.col(c)).alias(n) for n, c in totals.items()],
+        *([following] if following else []),
     )
-    partition = [F.col(k) for k in keys] or [F.lit(0)]
-    along = W.partitionBy(*partition).orderBy("_bucket")
-    before = along.rowsBetween(W.unboundedPreceding, -1)
-    offsets = by_bucket.select(
-        *keys,
-        "_bucket",
-        *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in totals],
-        *([F.lead("_first").over(along).alias("_next_first")] if following else []),
+
+
+def _totals_before(
+    df: DataFrame, keys: list[str], order: str, totals: dict[str, str], levels: list[Column],
+    lead: tuple[str, str] | None,
+) -> DataFrame:
+    """Sums over the rows before each row, and the next row's value of a column."""
+    depth = len(levels)
+    bucket = f"_bucket{depth}"
+    rows = df.withColumn(bucket, levels[0]) if levels else df
+    partition = [F.col(k) for k in keys] + ([F.col(bucket)] if levels else [])
+    along = W.partitionBy(*(partition or [F.lit(0)])).orderBy(order)
+    earlier = along.rowsBetween(W.unboundedPreceding, -1)
+    within = {n: F.coalesce(F.sum(c).over(earlier), F.lit(0)) for n, c in totals.items()}
+    if not levels:
+        columns = [c.alias(n) for n, c in within.items()]
+        return df.select("*", *columns, *([F.lead(lead[1]).over(along).alias(lead[0])] if lead else []))
+    rows = rows.withColumns({f"_up{depth}_{i}": c for i, c in enumerate(levels[1:])})
+    upper = [f"_up{depth}_{i}" for i in range(depth - 1)]
+    sums = rows.groupBy(*keys, bucket, *upper).agg(
+        *[F.sum(c).alias(f"_sum{depth}_{n}") for n, c in totals.items()],
+        *([F.min(lead[1]).alias(f"_first{depth}")] if lead else []),
     )
-    inside = W.partitionBy(*keys, "_bucket").orderBy(order)
-    within = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    joined = rows.join(offsets, keys + ["_bucket"])
-    return joined.select(
+    offsets = _totals_before(
+        sums, keys, bucket, {f"_offset{depth}_{n}": f"_sum{depth}_{n}" for n in totals},
+        [F.col(u) for u in upper], (f"_next{depth}", f"_first{depth}") if lead else None,
+    ).select(*keys, bucket, *[f"_offset{depth}_{n}" for n in totals], *([f"_next{depth}"] if lead else []))
+    return rows.join(offsets, [*keys, bucket]).select(
         *df.columns,
-        *[(F.col(f"_before_{n}") + F.sum(c).over(within)).alias(n) for n, c in totals.items()],
-        *([F.coalesce(F.lead(order).over(inside), "_next_first").alias(following)] if following else []),
+        *[(F.col(f"_offset{depth}_{n}") + c).alias(n) for n, c in within.items()],
+        *([F.coalesce(F.lead(lead[1]).over(along), F.col(f"_next{depth}")).alias(lead[0])] if lead else []),
     )
 
 
-def ordered_rank(df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str = "rank") -> DataFrame:
-    """1-based rank per key by ``order``, counted bucket by bucket; ``bucket`` follows the order."""
-    rows = df.withColumn("_bucket", F.coalesce(bucket.cast("bigint"), F.lit(0).cast("bigint")))
-    counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    partition = [F.col(k) for k in keys] or [F.lit(0)]
-    before = W.partitionBy(*partition).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+def ordered_rank(
+    df: DataFrame, keys: list[str], order: list[str], buckets: Column | list[Column], name: str = "rank"
+) -> DataFrame:
+    """1-based rank per key by ``order``, counted bucket by bucket; ``buckets`` as in running_totals."""
+    levels = buckets if isinstance(buckets, list) else [buckets]
+    rows = df.withColumn("_bucket", levels[0]).withColumns({f"_up_{i}": c for i, c in enumerate(levels[1:])})
+    upper = [f"_up_{i}" for i in range(len(levels) - 1)]
+    counts = rows.groupBy(*keys, "_bucket", *upper).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = _totals_before(counts, keys, "_bucket", {"_before": "_n"}, [F.col(u) for u in upper], None)
     within = W.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
-        rows.join(offsets, keys + ["_bucket"])
+        rows.join(offsets.select(*keys, "_bucket", "_before"), [*keys, "_bucket"])
         .withColumn(name, F.col("_before") + F.row_number().over(within))
-        .drop("_bucket", "_before")
+        .select(*df.columns, name)
     )
+
+
+def integer_bucket(value: Column, width: float) -> Column:
+    """Index of a value among buckets of a width.
+
+    Declared non-null, so that joins on it add no filter that would keep the two uses of
+    the rows in a running total from sharing one exchange.
+    """
+    return F.coalesce(F.floor(value / F.lit(float(width))).cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def score_buckets(value: Column) -> list[Column]:
+    """Two nested bucket levels for scores: crowded scores still spread over the fine one."""
+    return [integer_bucket(value, 2.0**-30), integer_bucket(value, 2.0**-15)]

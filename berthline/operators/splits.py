@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from berthline.functions.numeric import LEHMER_MODULUS, lehmer
-from berthline.operators.skew import ordered_rank, running_totals
+from berthline.operators.skew import integer_bucket, ordered_rank, running_totals
 
 SPLIT_BUCKETS = 65536
 
@@ -21,9 +21,9 @@ def stratified_split(
     single bucket in which the cut falls has its rows ranked.
     """
     width = LEHMER_MODULUS // buckets + 1
-    keyed = df.withColumn("_h", lehmer(F.col(row_id), seed)).withColumn("_b", F.floor(F.col("_h") / F.lit(width)))
+    keyed = df.withColumn("_h", lehmer(F.col(row_id), seed)).withColumn("_b", integer_bucket(F.col("_h"), width))
     counted = keyed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    upto = running_totals(counted, [label], "_b", {"_upto": "_n"}, F.floor(F.col("_b") / F.lit(256)))
+    upto = running_totals(counted, [label], "_b", {"_upto": "_n"}, integer_bucket(F.col("_b"), 256))
     wanted = counted.groupBy(label).agg(F.round(F.sum("_n") * F.lit(share)).cast("bigint").alias("_want"))
     cut = upto.join(wanted, label).filter(F.col("_upto") >= F.col("_want")).groupBy(label).agg(
         F.min_by(F.struct("_b", (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_left")), F.col("_b")).alias("_c")
@@ -46,7 +46,7 @@ def assign_folds(df: DataFrame, label: str, row_id: str, folds: int = 3, seed: i
     """Fold number that deals the rows of each class out evenly, in hash order of their ids."""
     keyed = df.withColumn("_h", lehmer(F.col(row_id), seed))
     width = LEHMER_MODULUS // SPLIT_BUCKETS + 1
-    dealt = ordered_rank(keyed, [label], ["_h", row_id], F.floor(F.col("_h") / F.lit(width)), "_deal")
+    dealt = ordered_rank(keyed, [label], ["_h", row_id], integer_bucket(F.col("_h"), width), "_deal")
     return dealt.withColumn("fold", F.pmod(F.col("_deal"), F.lit(folds)).cast("int")).select(*df.columns, "fold")
 
 

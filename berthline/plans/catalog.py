@@ -367,8 +367,7 @@ def pool_view(spark, sf):
 )
 def logical_arrival(spark, sf):
     tasks = fx.tasks(spark, sf).select("task_id", F.col("arrival_ms").alias("came_ms"))
-    day = F.floor(F.col("came_ms") / F.lit(86_400_000))
-    return ld.logical_arrival(ld.task_ordinal(tasks, ["came_ms", "task_id"], day), 2.5).select(
+    return ld.logical_arrival(ld.task_ordinal(tasks, "came_ms"), 2.5).select(
         "task_id", "task_ord", "arrival_ms"
     )
 

@@ -15,7 +15,7 @@ from berthline.operators.candidates import assemble_features, capable_pairs, fil
 from berthline.operators.candidates import request_shapes
 from berthline.operators.occupancy import COVER_BITS, free_by_class, free_members, idle_spans
 from berthline.operators.ranking import score_order, with_raw_scores, with_scores
-from berthline.operators.skew import ordered_rank, salted_join
+from berthline.operators.skew import integer_bucket, ordered_rank, salted_join
 from berthline.schemas import (
     ALL_VIOLATE, FAILED, MACHINE_COLUMNS, NO_FREE, NO_SUITABLE, REQUEST_COLUMNS, SCHEDULED, SCORE_ERROR,
     SPEC_COLUMNS,
@@ -178,7 +178,7 @@ def batch_assign(
         placed = cut_lineage(
             ordered_rank(
                 asking, ["arrival_ms", "class_id"], ["task_id"],
-                F.floor(F.col("task_id") / F.lit(per_bucket)), "slot",
+                integer_bucket(F.col("task_id"), per_bucket), "slot",
             )
         )
         refused = placed.filter("slot > n_free")

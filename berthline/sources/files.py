@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,11 +46,17 @@ def read_model_meta(spark: SparkSession, path: str) -> DataFrame:
 def number_rows(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Row numbers in file order, for sources that offer nothing else to join on.
 
-    Only meaningful for one ordered file or a directory whose file names carry the order;
-    counts per partition come first, so no row moves.
+    Only meaningful for one ordered file. Rows are numbered within their partition and
+    shifted by the sizes of the partitions before it; nothing but those sizes is shuffled.
     """
-    schema = T.StructType([T.StructField(name, T.LongType()), *df.schema.fields])
-    return df.rdd.zipWithIndex().map(lambda pair: (pair[1], *pair[0])).toDF(schema)
+    marked = df.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_seq"))
+    sizes = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # one row per partition of the scan: a list of sizes, safe to broadcast
+    inside = F.col("_seq") - F.shiftleft(F.col("_part").cast("bigint"), 33)
+    numbered = marked.join(F.broadcast(offsets), "_part")
+    return numbered.select((F.col("_before") + inside).alias(name), *df.columns)
 
 
 def attach_labels(features: DataFrame, labels: DataFrame, row_id: str = "row_id") -> DataFrame:

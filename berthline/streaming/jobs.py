@@ -91,8 +91,7 @@ def utilization_windows(
 
 def live_latest(samples: DataFrame, time: str = "ts", values: tuple[str, ...] = ("cpu_util",)) -> DataFrame:
     """Newest sample per machine (update mode)."""
-    newest = F.max_by(F.struct(*values), F.col(time)).alias("s")
-    return samples.groupBy("machine_id").agg(F.max(time).alias(time), newest).select("machine_id", time, "s.*")
+    return samples.groupBy("machine_id").agg(F.max(time).alias(time), *[F.max_by(c, time).alias(c) for c in values])
 
 
 class ReleaseProcessor(StatefulProcessor):

@@ -105,7 +105,7 @@ def test_quantiles_are_exact_for_a_hot_key(spark):
     import numpy as np
 
     values = [(("a" if i % 3 else "b"), RNG.random()) for i in range(300)]
-    out = rp.quantiles(spark.createDataFrame(values, "k string, v double"), ["k"], "v", {"q1": 0.25, "m": 0.5}, 16)
+    out = rp.quantiles(spark.createDataFrame(values, "k string, v double"), ["k"], "v", {"q1": 0.25, "m": 0.5})
     for r in out.collect():
         own = [v for k, v in values if k == r.k]
         assert (r.q1, r.m) == pytest.approx(tuple(np.quantile(own, [0.25, 0.5])))
