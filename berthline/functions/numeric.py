@@ -38,6 +38,12 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(F.try_divide(numerator.cast("double"), denominator.cast("double")), F.lit(0.0))
 
 
+def rounded(c: Column | str, decimals: int = 6) -> Column:
+    """Half-up rounding by plain arithmetic; ``round`` on doubles goes through decimals row by row."""
+    scale = F.lit(float(10**decimals))
+    return F.floor(col(c) * scale + F.lit(0.5)) / scale
+
+
 def epoch_ms(name: str) -> Column:
     """Milliseconds since 1970 of a TIMESTAMP_NTZ column, whatever the session time zone."""
     gap = f"(`{name}` - TIMESTAMP_NTZ'1970-01-01 00:00:00')"
@@ -96,8 +102,3 @@ def lehmer_sql(key: str, stream: int = 0) -> str:
 def unit_interval(key: Column, stream: int = 0) -> Column:
     """Pseudo-random double in [0, 1)."""
     return lehmer(key, stream).cast("double") / F.lit(float(LEHMER_MODULUS))
-
-
-def mixed_key(*columns: str) -> Column:
-    """Non-negative hash for salting; deterministic, so a retried task salts alike."""
-    return F.xxhash64(*[F.col(c) for c in columns])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from berthline.functions.numeric import coalesce_zero, ratio
+from berthline.functions.numeric import coalesce_zero, ratio, rounded
 from berthline.operators.skew import integer_bucket, running_totals, salted_join
 from berthline.schemas import REQUESTS, RESOURCES, TOTALS, USED
 
@@ -30,36 +30,34 @@ def time_bucket(name: str, width_ms: int = BUCKET_MS) -> Column:
     return integer_bucket(F.col(name), width_ms)
 
 
-def allocation_events(allocations: DataFrame, machines: DataFrame | None = None) -> DataFrame:
+def allocation_events(
+    allocations: DataFrame, machines: DataFrame | None = None, points: DataFrame | None = None
+) -> DataFrame:
     """One row per (machine, instant): tasks and resources taken at, and given back at, that instant.
 
-    With ``machines``, each of them also gets an empty row at the beginning of time.
+    With ``machines``, each of them also gets an empty row at the beginning of time. With
+    ``points`` (machine_id, time_ms), their instants get a row too, marked ``asked``.
     """
     held = allocations.filter(F.col("finish_ms") > F.col("start_ms")).select(
         "machine_id", "start_ms", "finish_ms", *[coalesce_zero(REQUESTS[r]).alias(r) for r in RESOURCES]
     )
-    edges = held.select(
-        "machine_id",
-        F.explode(
-            F.array(
-                F.struct(F.col("start_ms").alias("time_ms"), F.lit(1).cast("bigint").alias("sign")),
-                F.struct(F.col("finish_ms").alias("time_ms"), F.lit(-1).cast("bigint").alias("sign")),
-            )
-        ).alias("edge"),
-        *RESOURCES,
-    ).select("machine_id", "edge.time_ms", "edge.sign", *RESOURCES)
+    edge = "explode(array(struct(start_ms AS time_ms, 1L AS sign), struct(finish_ms AS time_ms, -1L AS sign))) AS edge"
+    edges = held.select("machine_id", F.expr(edge), *RESOURCES).select(
+        "machine_id", "edge.time_ms", "edge.sign", *RESOURCES, F.lit(0).alias("asked")
+    )
+    nothing = [F.lit(0).cast("bigint").alias("sign"), *[F.lit(0.0).alias(r) for r in RESOURCES]]
     if machines is not None:
-        edges = edges.unionByName(
-            machines.select(
-                "machine_id", F.lit(BEGINNING_MS).alias("time_ms"), F.lit(0).cast("bigint").alias("sign"),
-                *[F.lit(0.0).alias(r) for r in RESOURCES],
-            )
-        )
-    sign = F.col("sign")
+        first = F.lit(BEGINNING_MS).alias("time_ms")
+        edges = edges.unionByName(machines.select("machine_id", first, *nothing, F.lit(0).alias("asked")))
+    if points is not None:
+        edges = edges.unionByName(points.select("machine_id", "time_ms", *nothing, F.lit(1).alias("asked")))
+    taken = {r: f"sum(CASE WHEN sign > 0 THEN {r} ELSE 0.0D END)" for r in RESOURCES}
     return edges.groupBy("machine_id", "time_ms").agg(
-        F.sum(sign).alias("d_active"),
-        F.sum(F.when(sign > 0, F.lit(1)).otherwise(0)).cast("bigint").alias("started"),
-        *[F.sum(sign * F.col(r)).alias(f"d_{r}") for r in RESOURCES],
+        F.max("asked").alias("asked"),
+        F.sum("sign").alias("d_active"),
+        F.expr("sum(CASE WHEN sign > 0 THEN 1L ELSE 0L END)").alias("s_active"),
+        *[F.expr(f"sum(sign * {r})").alias(f"d_{r}") for r in RESOURCES],
+        *[F.expr(taken[r]).alias(f"s_{r}") for r in RESOURCES],
     )
 
 
@@ -75,7 +73,7 @@ def usage_steps(
         time_bucket("time_ms", bucket_ms), following="until_ms",
     )
     return steps.select(
-        "machine_id", "time_ms", "until_ms", "active_tasks", *[F.round(USED[r], 6).alias(USED[r]) for r in RESOURCES]
+        "machine_id", "time_ms", "until_ms", "active_tasks", *[rounded(USED[r]).alias(USED[r]) for r in RESOURCES]
     )
 
 
@@ -88,36 +86,17 @@ def usage_at(
     totals answer them directly. ``strict_start`` leaves out tasks that start at the very
     instant (a sample taken before the instant's own allocations).
     """
-    asked = points.select("machine_id", "time_ms").withColumns(
-        {"d_active": F.lit(0).cast("bigint"), "started": F.lit(0).cast("bigint"), "asked": F.lit(1)}
-        | {f"d_{r}": F.lit(0.0) for r in RESOURCES}
-    )
-    events = allocation_events(allocations)
-    if strict_start:
-        opened = allocations.filter(F.col("finish_ms") > F.col("start_ms")).groupBy(
-            "machine_id", F.col("start_ms").alias("time_ms")
-        ).agg(*[F.sum(coalesce_zero(REQUESTS[r])).alias(f"s_{r}") for r in RESOURCES])
-        events = events.join(opened, ["machine_id", "time_ms"], "left")
-        asked = asked.withColumns({f"s_{r}": F.lit(0.0) for r in RESOURCES})
-    extra = [f"s_{r}" for r in RESOURCES] if strict_start else []
-    merged = (
-        events.withColumn("asked", F.lit(0))
-        .unionByName(asked)
-        .groupBy("machine_id", "time_ms")
-        .agg(
-            F.max("asked").alias("asked"),
-            F.sum("started").alias("started"),
-            F.sum("d_active").alias("d_active"),
-            *[F.sum(f"d_{r}").alias(f"d_{r}") for r in RESOURCES],
-            *[F.sum(F.coalesce(c, F.lit(0.0))).alias(c) for c in extra],
-        )
-    )
-    totals = running_totals(merged, ["machine_id"], "time_ms", _TOTALS, time_bucket("time_ms", bucket_ms))
-    active = F.col("active_tasks") - F.col("started") if strict_start else F.col("active_tasks")
-    used = {r: F.col(USED[r]) - F.col(f"s_{r}") if strict_start else F.col(USED[r]) for r in RESOURCES}
-    return totals.filter("asked = 1").select(
-        "machine_id", "time_ms", active.alias("active_tasks"),
-        *[F.round(used[r], 6).alias(USED[r]) for r in RESOURCES],
+    totals = running_totals(
+        allocation_events(allocations, points=points), ["machine_id"], "time_ms", _TOTALS,
+        time_bucket("time_ms", bucket_ms),
+    ).filter("asked = 1")
+
+    def before_starts(total: str, started: str):
+        return F.col(total) - F.col(started) if strict_start else F.col(total)
+
+    return totals.select(
+        "machine_id", "time_ms", before_starts("active_tasks", "s_active").alias("active_tasks"),
+        *[rounded(before_starts(USED[r], f"s_{r}")).alias(USED[r]) for r in RESOURCES],
     )
 
 
@@ -246,13 +225,13 @@ def busy_counts(
 
 def free_pairs(pairs: DataFrame, allocations: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Keep the (machine_id, time_ms) rows whose machine has no active task then."""
-    busy = usage_at(pairs.select("machine_id", "time_ms").distinct(), allocations, bucket_ms=bucket_ms)
+    busy = usage_at(pairs, allocations, bucket_ms=bucket_ms)
     return pairs.join(busy.filter("active_tasks > 0"), ["machine_id", "time_ms"], "left_anti")
 
 
 def busy_pairs(pairs: DataFrame, allocations: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Keep the (machine_id, time_ms) rows whose machine is at work then."""
-    busy = usage_at(pairs.select("machine_id", "time_ms").distinct(), allocations, bucket_ms=bucket_ms)
+    busy = usage_at(pairs, allocations, bucket_ms=bucket_ms)
     return pairs.join(busy.filter("active_tasks > 0"), ["machine_id", "time_ms"], "left_semi")
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from berthline.functions.numeric import apply_temperature, binarize, lehmer_sql
+from berthline.functions.numeric import apply_temperature, binarize, lehmer_sql, rounded
 from berthline.functions.scoring import PowerOverrides
 from berthline.ml.learners import search_forest
 from berthline.ml.serving import external_scorer
@@ -50,7 +50,7 @@ def query(sql: str | None = None):
 
 def r6(*names: str) -> list[Column]:
     """Columns at six decimals, by arithmetic that any engine repeats exactly."""
-    return [(F.floor(F.col(n) * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)).alias(n) for n in names]
+    return [rounded(n).alias(n) for n in names]
 
 
 def q6(*names: str) -> str:
