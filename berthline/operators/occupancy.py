@@ -86,10 +86,12 @@ def usage_at(
     totals answer them directly. ``strict_start`` leaves out tasks that start at the very
     instant (a sample taken before the instant's own allocations).
     """
+    # counting the questions as well keeps their flag in both uses of the events inside the
+    # running totals, which can then share one exchange
     totals = running_totals(
-        allocation_events(allocations, points=points), ["machine_id"], "time_ms", _TOTALS,
-        time_bucket("time_ms", bucket_ms),
-    ).filter("asked = 1")
+        allocation_events(allocations, points=points), ["machine_id"], "time_ms",
+        {**_TOTALS, "asked_so_far": "asked"}, time_bucket("time_ms", bucket_ms),
+    ).filter("asked = 1 AND asked_so_far > 0")
 
     def before_starts(total: str, started: str):
         return F.col(total) - F.col(started) if strict_start else F.col(total)

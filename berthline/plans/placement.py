@@ -79,7 +79,9 @@ def class_candidates(
     )
     asked = fill_requests(tasks).select("arrival_ms", *REQUEST_COLUMNS).distinct()
     met = salted_join(asked, facts, REQUEST_COLUMNS, ["arrival_ms"])
-    return salted_join(met, free, ["arrival_ms", "class_id"], REQUEST_COLUMNS), free
+    # both sides grow with the arrivals: copies for salting would outweigh the skew, which
+    # adaptive execution splits at run time
+    return met.join(free, ["arrival_ms", "class_id"]), free
 
 
 def rank_candidates(candidates: DataFrame, rules: PlacementRules) -> DataFrame:
@@ -136,9 +138,9 @@ def place_snapshot(
     )
     free_all = free.groupBy("arrival_ms").agg(F.sum("n_free").alias("n_free_all"))
     full = fill_requests(tasks)
-    joined = salted_join(full, outcome, ["arrival_ms", *REQUEST_COLUMNS], ["task_id"], "left")
-    with_free = salted_join(joined, free_all, ["arrival_ms"], ["task_id"], "left")
-    return with_free.select(
+    asked = full.select("arrival_ms", *REQUEST_COLUMNS).distinct()
+    answers = asked.join(free_all, "arrival_ms", "left").join(outcome, ["arrival_ms", *REQUEST_COLUMNS], "left")
+    return full.join(answers, ["arrival_ms", *REQUEST_COLUMNS], "left").select(
         "task_id",
         placement_status("n_free_all", "n_fit", "n_safe", "n_unscored", "machine_id").alias("status"),
         "machine_id",
@@ -174,7 +176,7 @@ def batch_assign(
     )
     settled: list[DataFrame] = []
     while True:
-        asking = salted_join(state, prefs, ["arrival_ms", *REQUEST_COLUMNS, "pref"], ["task_id"])
+        asking = state.join(prefs, ["arrival_ms", *REQUEST_COLUMNS, "pref"])
         placed = cut_lineage(
             ordered_rank(
                 asking, ["arrival_ms", "class_id"], ["task_id"],

@@ -52,8 +52,7 @@ def read_newest(spark: SparkSession, path: str, schema: T.StructType, keys: list
     with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
     rows = spark.read.schema(with_batch).option("basePath", path).parquet(path)
     values = [f.name for f in schema.fields if f.name not in keys]
-    newest = F.max_by(F.struct(*values), F.col("batch_id")).alias("v")
-    return rows.groupBy(*keys).agg(newest).select(*keys, "v.*")
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in values])
 
 
 def place_stream(
