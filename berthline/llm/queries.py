@@ -1,4 +1,4 @@
-"""Named queries of the operators over the given tables."""
+"""Named queries of the operators over the given tables, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -6,18 +6,73 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from berthline.llm import super_minhash
+from berthline.llm import (
+    byte_cnn, content_sort, decontaminate, fair_queue, interleave, pii_bootstrap, quality_gam, super_minhash, url_filter,
+)
+from corpus_pipeline import ORACLE_SQL, run
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op4_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interleave.shard_slots(_table(spark, sf_dir, "documents"))
+
+
+def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.identify(_table(spark, sf_dir, "documents"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return super_minhash.near_duplicates(_documents(spark, sf_dir))
+    return super_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_bootstrap.personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op10_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fair_queue.mix(_table(spark, sf_dir, "documents"))
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_content_sort": op3_content_sort,
+    "op4_interleave": op4_interleave,
+    "op6_quality_gam": op6_quality_gam,
+    "op7_byte_cnn": op7_byte_cnn,
     "op8_near_dedup": op8_near_dedup,
+    "op9_personal_data": op9_personal_data,
+    "op10_fair_queue": op10_fair_queue,
+    "pipeline": run,
+}
+
+LLM_ORACLES: dict[str, str] = {
+    "op3_content_sort": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t,
+                   regexp_replace(coalesce(text, ''), '[\x09-\x0D\x20]', '', 'g') AS norm
+            FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+               row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
+        FROM d WINDOW w AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id ASC NULLS LAST)""",
+    **({"pipeline": ORACLE_SQL} if ORACLE_SQL else {}),
 }
-LLM_ORACLES: dict[str, str] = {}
