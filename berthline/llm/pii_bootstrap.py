@@ -237,12 +237,15 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ).select("_id", "_base", F.concat("_base", F.coalesce("_added", empty)).alias("_spans"))
 
 
+def _of_kind(k: int):
+    return lambda x: x["k"] == k
+
+
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the strict matches of each kind, their digest, and all spans of every row."""
     found = find_personal_data(docs, id_col, text_col)
     counts = [
-        F.size(F.filter("_base", lambda x, k=k: x["k"] == k)).cast("bigint").alias(f"n_{name}")
-        for k, name in enumerate(KINDS)
+        F.size(F.filter("_base", _of_kind(k))).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS)
     ]
     return found.select(
         F.col("_id").alias("doc_id"), *counts, F.sha2(_format(F.col("_base")), 256).alias("base_sha256"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from berthline.llm import (
-    byte_cnn, content_sort, decontaminate, fair_queue, interleave, pii_bootstrap, quality_gam, super_minhash, url_filter,
+    byte_cnn, content_sort, decontaminate, fair_queue, fuzzy_lines, interleave, pii_bootstrap, quality_gam, super_minhash, url_filter,
 )
 from corpus_pipeline import ORACLE_SQL, run
 
@@ -32,6 +32,10 @@ def op4_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave.shard_slots(_table(spark, sf_dir, "documents"))
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.fuzzy_lines(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -57,6 +61,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_content_sort": op3_content_sort,
     "op4_interleave": op4_interleave,
+    "op5_fuzzy_lines": op5_fuzzy_lines,
     "op6_quality_gam": op6_quality_gam,
     "op7_byte_cnn": op7_byte_cnn,
     "op8_near_dedup": op8_near_dedup,

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from berthline.session import scratch_path
+
 #: Buckets of an order for each shuffle partition.
 BUCKETS = 4
 
@@ -22,6 +24,13 @@ def with_row_key(df: DataFrame) -> DataFrame:
     return keyed.withColumn("_copy", F.row_number().over(W.partitionBy("_row").orderBy(*df.columns)))
 
 
+def store_text(df: DataFrame, name: str) -> DataFrame:
+    """Like ``berthline.session.store`` for tables that are mostly text: compressed harder."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bucket_count(df: DataFrame) -> int:
     return BUCKETS * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
