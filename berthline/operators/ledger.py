@@ -115,12 +115,12 @@ def unpivot_utilization(samples: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def latest_sample(samples: DataFrame, time: str = "time_ms") -> DataFrame:
-    """The last sample of each machine; a machine has one sample per time.
-
-    One ``max_by`` per column, because plain numbers aggregate by hash and a struct would sort.
-    """
+    """The last sample of each machine; of several at one time, the one with the largest values."""
     values = [c for c in samples.columns if c not in ("machine_id", time)]
-    return samples.groupBy("machine_id").agg(F.max(time).alias(time), *[F.max_by(c, time).alias(c) for c in values])
+    last = F.max(F.struct(time, *values)).alias("_last")
+    return samples.groupBy("machine_id").agg(last).select(
+        "machine_id", *[F.col(f"_last.{c}").alias(c) for c in samples.columns if c != "machine_id"]
+    )
 
 
 def sample_ticks(

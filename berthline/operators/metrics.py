@@ -1,6 +1,8 @@
 """Quality of a binary classifier from (label, probability) rows.
 
-Frames carry ``y`` (0/1) and ``p`` (double). Curves are built from one row per distinct
+Frames carry ``y`` (0/1) and ``p`` (double). A row without a probability or a label is
+unscored: it is left out of every count, and ``unscored_counts`` tells how many there are. A
+null key is a key of its own. Curves are built from one row per distinct
 score, so their cost follows the number of scores and not of rows.
 """
 
@@ -10,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from berthline.functions.numeric import apply_temperature, binarize, ratio
-from berthline.operators.skew import running_totals, score_buckets
+from berthline.operators.skew import free_nulls, hold_nulls, running_totals, score_buckets
+from berthline.session import store
 
 # Threshold grid, temperature grid, clip of the log loss, and rule names.
 N_THRESHOLDS = 99
@@ -22,6 +25,17 @@ RULE_RECALL = "max_precision_given_recall"
 RULE_F1 = "best_F1_fallback"
 
 
+def scored(df: DataFrame) -> DataFrame:
+    """The rows that have a probability and a label."""
+    return df.filter("p IS NOT NULL AND y IS NOT NULL")
+
+
+def unscored_counts(df: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Rows that the metrics leave out, next to those they count."""
+    missing = F.col("p").isNull() | F.col("y").isNull()
+    return df.groupBy(*keys).agg(F.count_if(missing).alias("n_unscored"), F.count_if(~missing).alias("n_scored"))
+
+
 def counts(actual: Column, predicted: Column) -> list[Column]:
     return [
         F.count_if((actual == 0) & (predicted == 0)).alias("tn"),
@@ -93,50 +107,53 @@ def classification_report(df: DataFrame, threshold: float = 0.5, strict: bool =
 
 def score_counts(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Positives and negatives at each distinct score."""
-    return df.groupBy(*keys, "p").agg(
+    return scored(df).groupBy(*keys, "p").agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
     )
 
 
 def cumulative_confusion(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     """True and false positives when everything from a score upward counts as positive."""
-    scored = score_counts(df, keys).withColumn("_down", -F.col("p"))
+    return free_nulls(_cumulate(score_counts(hold_nulls(df, keys), keys), list(keys)), keys)
+
+
+def _cumulate(counted: DataFrame, keys: list[str]) -> DataFrame:
+    down = counted.withColumn("_down", -F.col("p"))
     return running_totals(
-        scored, list(keys), "_down", {"tp": "pos", "fp": "neg"}, score_buckets(F.col("_down"))
+        down, keys, "_down", {"tp": "pos", "fp": "neg"}, score_buckets(F.col("_down"))
     ).drop("_down")
 
 
-def _curve(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The cumulative counts next to the class totals (one row per key)."""
-    steps = cumulative_confusion(df, keys)
-    if not keys:
-        sums = df.agg(F.count_if(F.col("y") == 1)).scalar(), df.agg(F.count_if(F.col("y") == 0)).scalar()
-        return steps.withColumns({"n_pos": sums[0], "n_neg": sums[1]})
-    totals = df.groupBy(*keys).agg(
-        F.count_if(F.col("y") == 1).alias("n_pos"), F.count_if(F.col("y") == 0).alias("n_neg")
+def _areas(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """roc_auc and average_precision per key from a stored table of score counts."""
+    # trapezoid between neighbouring scores: width = negatives here, height = mean true positives
+    area = F.sum(F.col("neg").cast("double") * (F.col("tp") - F.col("pos") / F.lit(2.0)))
+    precision = F.col("tp") / (F.col("tp") + F.col("fp"))
+    n_pos, n_neg = F.sum("pos"), F.sum("neg")
+    steps = _cumulate(counted, keys).groupBy(*keys).agg(
+        area.alias("_area"), F.sum(precision * F.col("pos")).alias("_gained"), n_pos.alias("_p"), n_neg.alias("_n")
+    )
+    return steps.select(
+        *keys,
+        F.try_divide(F.col("_area"), F.col("_p").cast("double") * F.col("_n")).alias("roc_auc"),
+        F.coalesce(F.try_divide(F.col("_gained"), F.col("_p").cast("double")), F.lit(0.0)).alias("average_precision"),
     )
-    return steps.join(totals, list(keys))
+
+
+def _counted(df: DataFrame, keys: list[str]) -> DataFrame:
+    return store(score_counts(hold_nulls(df, keys), keys), "score-counts")
 
 
 def roc_auc(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Area under the ROC curve with ties counted half; null when a class is absent."""
-    # trapezoid between neighbouring scores: width = negatives here, height = mean true positives
-    area = F.sum(F.col("neg").cast("double") * (F.col("tp") - F.col("pos") / F.lit(2.0)))
-    return (
-        _curve(df, list(keys))
-        .groupBy(*keys)
-        .agg(area.alias("_area"), F.max("n_pos").alias("_p"), F.max("n_neg").alias("_n"))
-        .select(*keys, F.try_divide(F.col("_area"), F.col("_p").cast("double") * F.col("_n")).alias("roc_auc"))
-    )
+    keys = list(keys)
+    return free_nulls(_areas(_counted(df, keys), keys).select(*keys, "roc_auc"), keys)
 
 
 def average_precision(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Step-wise area under precision-recall: sum of precision times recall gained."""
-    precision = F.col("tp") / (F.col("tp") + F.col("fp"))
-    gain = F.coalesce(F.try_divide(F.col("pos").cast("double"), F.col("n_pos").cast("double")), F.lit(0.0))
-    return (
-        _curve(df, list(keys)).groupBy(*keys).agg(F.sum(precision * gain).alias("average_precision"))
-    )
+    keys = list(keys)
+    return free_nulls(_areas(_counted(df, keys), keys).select(*keys, "average_precision"), keys)
 
 
 def log_loss_of(y: Column, p: Column) -> Column:
@@ -147,7 +164,7 @@ def log_loss_of(y: Column, p: Column) -> Column:
 
 def log_loss(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Mean negative log-likelihood."""
-    return df.groupBy(*keys).agg(log_loss_of(F.col("y"), F.col("p")).alias("log_loss"))
+    return scored(df).groupBy(*keys).agg(log_loss_of(F.col("y"), F.col("p")).alias("log_loss"))
 
 
 def threshold_grid() -> list[float]:
@@ -170,7 +187,7 @@ def threshold_sweep(df: DataFrame) -> DataFrame:
     Each row is reduced to the number of thresholds it reaches; at most 100 groups remain
     and are summed from the top.
     """
-    groups = df.withColumn("reached", thresholds_reached(F.col("p"))).groupBy("reached").agg(
+    groups = scored(df).withColumn("reached", thresholds_reached(F.col("p"))).groupBy("reached").agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
     )
     grid = F.array(*[F.lit(t) for t in threshold_grid()])
@@ -250,9 +267,24 @@ def class_balance(df: DataFrame, label: str = "y") -> DataFrame:
 
 
 def evaluate_report(df: DataFrame, threshold: float = 0.5, keys: list[str] = ()) -> DataFrame:
-    """Confusion counts, metrics, AUC and average precision, per key (for example per split)."""
+    """Confusion counts, metrics, AUC and average precision, per key (for example per split).
+
+    The rows are read once, for the counts at each distinct score; all else follows from those.
+    """
     keys = list(keys)
-    base = classification_metrics(df, threshold, keys=keys).withColumn("threshold", F.lit(float(threshold)))
-    if keys:
-        return base.join(roc_auc(df, keys), keys).join(average_precision(df, keys), keys)
-    return base.withColumns({"roc_auc": roc_auc(df).scalar(), "average_precision": average_precision(df).scalar()})
+    counted = _counted(df, keys)
+    positive = binarize("p", threshold) == 1
+
+    def total(count: str, predicted: Column) -> Column:
+        return F.coalesce(F.sum(F.when(predicted, F.col(count)).otherwise(0)), F.lit(0)).cast("bigint")
+
+    matrix = counted.groupBy(*keys).agg(
+        total("neg", ~positive).alias("tn"), total("neg", positive).alias("fp"),
+        total("pos", ~positive).alias("fn"), total("pos", positive).alias("tp"),
+    )
+    base = matrix.withColumns({**quality_columns(), "threshold": F.lit(float(threshold))})
+    areas = _areas(counted, keys)
+    joined = base.join(areas, keys) if keys else base.withColumns(
+        {c: areas.select(c).scalar() for c in ("roc_auc", "average_precision")}
+    )
+    return free_nulls(joined, keys)

@@ -20,12 +20,18 @@ from berthline.schemas import REQUESTS, RESOURCES, TOTALS, USED
 # buckets stay far fewer than its changes, narrow enough that the busiest machine's bucket
 # fits one task. Dense ledgers want it narrower, sparse ones wider.
 BUCKET_MS = 86_400_000
-COVER_BITS = 32
+# Every clock spans at least this long from time 0 (about 136 years), whatever its grid.
+CLOCK_SPAN_MS = 1000 << 32
 LARGE_BLOCK_BITS = 10
 BLOCK_SALTS = 16
 BEGINNING_MS = -(1 << 60)
 
 
+def clock_bits(quantum_ms: int, bits: int | None = None) -> int:
+    """Length of a clock in bits of ticks: as given, or enough for CLOCK_SPAN_MS."""
+    return max(1, (-(-CLOCK_SPAN_MS // quantum_ms) - 1).bit_length()) if bits is None else bits
+
+
 def time_bucket(name: str, width_ms: int = BUCKET_MS) -> Column:
     return integer_bucket(F.col(name), width_ms)
 
@@ -118,20 +124,25 @@ def idle_spans(allocations: DataFrame, machines: DataFrame, bucket_ms: int = BUC
     )
 
 
-def instant_tick(time_ms: str, quantum_ms: int) -> Column:
-    """Index of an instant on the clock grid; an instant off the grid is an error, not rounded."""
+def instant_tick(time_ms: str, quantum_ms: int, bits: int | None = None) -> Column:
+    """Index of an instant on the clock grid; an instant off the grid or beyond the clock is an error."""
     t = F.col(time_ms)
-    return F.when(
-        (F.pmod(t, F.lit(quantum_ms)) == 0) & (t >= 0), F.floor(t / F.lit(quantum_ms)).cast("bigint")
-    ).otherwise(F.raise_error(F.lit(f"{time_ms} is negative or not a multiple of {quantum_ms} ms")).cast("bigint"))
+    end = quantum_ms << clock_bits(quantum_ms, bits)
+    inside = (F.pmod(t, F.lit(quantum_ms)) == 0) & (t >= 0) & (t < F.lit(end))
+    wrong = F.raise_error(F.lit(f"{time_ms} is not a multiple of {quantum_ms} ms from 0 up to {end}")).cast("bigint")
+    return F.when(t.isNull(), F.lit(None).cast("bigint")).when(
+        inside, F.floor(t / F.lit(quantum_ms)).cast("bigint")
+    ).otherwise(wrong)
 
 
-def cover_blocks(spans: DataFrame, quantum_ms: int = 1000, bits: int = COVER_BITS) -> DataFrame:
+def cover_blocks(spans: DataFrame, quantum_ms: int = 1000, bits: int | None = None) -> DataFrame:
     """Replace [from_ms, to_ms) by the power-of-two blocks of grid ticks that tile it.
 
     A tick k lies in the span iff ceil(from) <= k < ceil(to), so spans need not start on
-    the grid. A span yields at most two blocks per block size.
+    the grid. A span yields at most two blocks per block size. What lies beyond the clock
+    needs no blocks, as no instant can be there.
     """
+    bits = clock_bits(quantum_ms, bits)
     grid = float(quantum_ms)
     low = F.greatest(F.ceil(F.col("from_ms") / grid).cast("bigint"), F.lit(0))
     high = F.coalesce(
@@ -159,7 +170,7 @@ def cover_blocks(spans: DataFrame, quantum_ms: int = 1000, bits: int = COVER_BIT
     )
 
 
-def enclosing_blocks(instants: DataFrame, tick: str, bits: int = COVER_BITS) -> DataFrame:
+def enclosing_blocks(instants: DataFrame, tick: str, bits: int) -> DataFrame:
     """Every block, of each size, that contains the instant's tick."""
     return instants.withColumn("block_size", F.explode(F.sequence(F.lit(0), F.lit(bits)))).withColumn(
         "block", F.expr(f"shiftright({tick}, block_size)")
@@ -181,7 +192,7 @@ def _join_blocks(ticks: DataFrame, blocks: DataFrame, bits: int) -> DataFrame:
 
 
 def free_by_class(
-    instants: DataFrame, spans: DataFrame, classes: list[str], quantum_ms: int = 1000, bits: int = COVER_BITS
+    instants: DataFrame, spans: DataFrame, classes: list[str], quantum_ms: int = 1000, bits: int | None = None
 ) -> DataFrame:
     """Per instant and machine class: how many members are in a span, and the smallest id.
 
@@ -189,7 +200,8 @@ def free_by_class(
     column time_ms. Counts and minima are added up over cover blocks, so neither machines
     nor tasks are listed per instant.
     """
-    ticks = instants.select("time_ms").distinct().withColumn("tick", instant_tick("time_ms", quantum_ms))
+    ticks = instants.select("time_ms").distinct().withColumn("tick", instant_tick("time_ms", quantum_ms, bits))
+    bits = clock_bits(quantum_ms, bits)
     blocks = cover_blocks(spans, quantum_ms, bits).groupBy(*classes, "block_size", "block").agg(
         F.count(F.lit(1)).alias("n"), F.min("machine_id").alias("first_id")
     )
@@ -201,16 +213,17 @@ def free_by_class(
 
 
 def free_members(
-    instants: DataFrame, spans: DataFrame, classes: list[str], quantum_ms: int = 1000, bits: int = COVER_BITS
+    instants: DataFrame, spans: DataFrame, classes: list[str], quantum_ms: int = 1000, bits: int | None = None
 ) -> DataFrame:
     """The machines in a span at each instant, one row per (instant, machine)."""
-    ticks = instants.select("time_ms").distinct().withColumn("tick", instant_tick("time_ms", quantum_ms))
+    ticks = instants.select("time_ms").distinct().withColumn("tick", instant_tick("time_ms", quantum_ms, bits))
+    bits = clock_bits(quantum_ms, bits)
     blocks = cover_blocks(spans, quantum_ms, bits).select(*classes, "machine_id", "block_size", "block")
     return _join_blocks(ticks, blocks, bits).select("time_ms", *classes, "machine_id")
 
 
 def busy_counts(
-    instants: DataFrame, allocations: DataFrame, machines: DataFrame, quantum_ms: int = 1000, bits: int = COVER_BITS
+    instants: DataFrame, allocations: DataFrame, machines: DataFrame, quantum_ms: int = 1000, bits: int | None = None
 ) -> DataFrame:
     """Per instant: machines busy and machines free."""
     spans = idle_spans(allocations, machines).withColumn("fleet", F.lit(0))

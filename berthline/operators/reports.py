@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from berthline.functions.numeric import numeric_or_null, ratio
-from berthline.operators.skew import running_totals, salted_join, score_buckets
+from berthline.operators.skew import free_nulls, hold_nulls, running_totals, salted_join, score_buckets
 from berthline.schemas import SCHEDULED
+from berthline.session import store
 
 HISTOGRAM_BINS = 20
 HIGH_RISK = 0.5
@@ -99,7 +100,13 @@ def quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float])
     Equal values are counted first; running counts then show which value sits at the wanted
     ranks, so no task ever holds a key's whole distribution.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    held = hold_nulls(df, keys).filter(F.col(value).isNotNull())
+    counted = held.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return free_nulls(_quantiles_of(store(counted, "value-counts"), keys, value, at), keys)
+
+
+def _quantiles_of(counted: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Quantiles from a stored table of how often (_n) each value occurs."""
     upto = running_totals(counted, keys, value, {"_upto": "_n"}, score_buckets(F.col(value)))
     sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     ranked = salted_join(upto, sizes, keys, [value])
@@ -122,21 +129,25 @@ def quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float])
 
 
 def sla_box_stats(placements: DataFrame, p: str = "sla_probability") -> DataFrame:
-    """Per model: extremes, quartiles and the whisker fences (last values within 1.5 IQR)."""
+    """Per model: extremes, quartiles and the whisker fences (last values within 1.5 IQR).
+
+    A null model is one of its own; rows without a probability are left out.
+    """
+    keys = ["model_used"]
     scheduled = scheduled_only(placements).select("model_used", F.col(p).alias("p")).filter("p IS NOT NULL")
-    counted = scheduled.groupBy("model_used", "p").agg(F.count(F.lit(1)).alias("n"))
-    quartiles = quantiles(scheduled, ["model_used"], "p", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    counted = store(hold_nulls(scheduled, keys).groupBy(*keys, "p").agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    quartiles = store(_quantiles_of(counted, keys, "p", {"q1": 0.25, "median": 0.5, "q3": 0.75}), "quartiles")
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     inside = F.when(F.col("p").between(F.col("q1") - reach, F.col("q3") + reach), F.col("p"))
     ends = (
-        salted_join(counted, quartiles.drop("n"), ["model_used"], ["p"])
-        .groupBy("model_used")
+        salted_join(counted, quartiles.drop("n"), keys, ["p"])
+        .groupBy(*keys)
         .agg(
             F.min("p").alias("p_min"), F.max("p").alias("p_max"),
             F.min(inside).alias("fence_low"), F.max(inside).alias("fence_high"),
         )
     )
-    return quartiles.join(ends, "model_used")
+    return free_nulls(quartiles.join(ends, keys), keys)
 
 
 def energy_vs_fit(placements: DataFrame) -> DataFrame:

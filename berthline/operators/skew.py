@@ -20,6 +20,15 @@ def spread(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.repartition(width, F.xxhash64(*[F.col(c) for c in columns]))
 
 
+def hold_nulls(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with its keys wrapped so that a null key equals itself in joins; ``free_nulls`` unwraps them."""
+    return df.withColumns({k: F.struct(F.col(k).alias("v")) for k in keys}) if keys else df
+
+
+def free_nulls(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.withColumns({k: F.col(k)["v"] for k in keys}) if keys else df
+
+
 def salted_join(
     left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner",
     salts: int = DEFAULT_SALTS,
@@ -46,7 +55,8 @@ def running_totals(
     any share of the rows; a single task only sees one bucket, or the short list of a key's
     buckets. ``df`` is unique on (keys, order). ``buckets`` are non-decreasing in ``order``
     and never null, from fine to coarse; each must follow from the one before it. Several
-    levels keep every list short when values crowd into a few coarse buckets.
+    levels keep every list short when values crowd into a few coarse buckets. Keys that may
+    be null go through ``hold_nulls`` first.
     ``following`` names a column for the next row's order value.
     """
     levels = buckets if isinstance(buckets, list) else [buckets]

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from berthline.functions.numeric import LEHMER_MODULUS, lehmer
-from berthline.operators.skew import integer_bucket, ordered_rank, running_totals
+from berthline.operators.skew import free_nulls, hold_nulls, integer_bucket, ordered_rank, running_totals
+from berthline.session import store
 
 SPLIT_BUCKETS = 65536
 
@@ -18,11 +19,14 @@ def stratified_split(
     """Mark ``round(share * n)`` rows of every class as validation (column ``is_val``).
 
     Rows are ordered by a hash of their id. Hash buckets are counted per class; only the
-    single bucket in which the cut falls has its rows ranked.
+    single bucket in which the cut falls has its rows ranked. Rows without a label are a class
+    of their own.
     """
     width = LEHMER_MODULUS // buckets + 1
-    keyed = df.withColumn("_h", lehmer(F.col(row_id), seed)).withColumn("_b", integer_bucket(F.col("_h"), width))
-    counted = keyed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    keyed = hold_nulls(df, [label]).withColumn("_h", lehmer(F.col(row_id), seed)).withColumn(
+        "_b", integer_bucket(F.col("_h"), width)
+    )
+    counted = store(keyed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n")), "bucket-counts")
     upto = running_totals(counted, [label], "_b", {"_upto": "_n"}, integer_bucket(F.col("_b"), 256))
     wanted = counted.groupBy(label).agg(F.round(F.sum("_n") * F.lit(share)).cast("bigint").alias("_want"))
     cut = upto.join(wanted, label).filter(F.col("_upto") >= F.col("_want")).groupBy(label).agg(
@@ -34,7 +38,7 @@ def stratified_split(
     away = marked.filter(F.col("_b") != F.col("_cut")).withColumn("is_val", F.col("_b") < F.col("_cut"))
     place = F.row_number().over(W.partitionBy(label).orderBy("_h", row_id))
     edge = marked.filter(F.col("_b") == F.col("_cut")).withColumn("is_val", place <= F.col("_left"))
-    return away.unionByName(edge).select(*df.columns, "is_val")
+    return free_nulls(away.unionByName(edge), [label]).select(*df.columns, "is_val")
 
 
 def random_split(df: DataFrame, row_id: str, share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -44,10 +48,12 @@ def random_split(df: DataFrame, row_id: str, share: float = 0.2, seed: int = 42)
 
 def assign_folds(df: DataFrame, label: str, row_id: str, folds: int = 3, seed: int = 42) -> DataFrame:
     """Fold number that deals the rows of each class out evenly, in hash order of their ids."""
-    keyed = df.withColumn("_h", lehmer(F.col(row_id), seed))
+    keyed = hold_nulls(df, [label]).withColumn("_h", lehmer(F.col(row_id), seed))
     width = LEHMER_MODULUS // SPLIT_BUCKETS + 1
     dealt = ordered_rank(keyed, [label], ["_h", row_id], integer_bucket(F.col("_h"), width), "_deal")
-    return dealt.withColumn("fold", F.pmod(F.col("_deal"), F.lit(folds)).cast("int")).select(*df.columns, "fold")
+    return free_nulls(dealt, [label]).withColumn("fold", F.pmod(F.col("_deal"), F.lit(folds)).cast("int")).select(
+        *df.columns, "fold"
+    )
 
 
 def scaling_stats(df: DataFrame, columns: list[str]) -> DataFrame:

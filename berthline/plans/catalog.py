@@ -1054,11 +1054,16 @@ def stream_latest(spark, sf):
     WHERE finish_ms <= (SELECT max(start_ms) FROM allocations) - 600000"""
 )
 def stream_occupancy(spark, sf):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", st.ROCKSDB)
     stream = fx.allocations_of(fx.table_stream(spark, sf, "lineitem")).select(
         "machine_id", "task_id", F.timestamp_millis("start_ms").alias("start"), "finish_ms"
     )
-    path = _run(spark, "stream_occupancy", st.occupancy_state(stream))
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, st.ROCKSDB)
+    try:
+        path = _run(spark, "stream_occupancy", st.occupancy_state(stream))
+    finally:
+        spark.conf.set(setting, before)
     return st.read_appended(spark, path, st.RELEASE_SCHEMA)
 
 

@@ -13,11 +13,11 @@ from berthline.functions import scoring
 from berthline.functions.numeric import coalesce_zero
 from berthline.operators.candidates import assemble_features, capable_pairs, fill_requests, machine_classes
 from berthline.operators.candidates import request_shapes
-from berthline.operators.occupancy import COVER_BITS, free_by_class, free_members, idle_spans
+from berthline.operators.occupancy import free_by_class, free_members, idle_spans
 from berthline.operators.ranking import score_order, with_raw_scores, with_scores
 from berthline.operators.skew import integer_bucket, ordered_rank, salted_join
 from berthline.schemas import (
-    ALL_VIOLATE, FAILED, MACHINE_COLUMNS, NO_FREE, NO_SUITABLE, REQUEST_COLUMNS, SCHEDULED, SCORE_ERROR,
+    ALL_VIOLATE, FAILED, MACHINE_COLUMNS, NO_ARRIVAL, NO_FREE, NO_SUITABLE, REQUEST_COLUMNS, SCHEDULED, SCORE_ERROR,
     SPEC_COLUMNS,
 )
 from berthline.session import cut_lineage, store
@@ -36,7 +36,7 @@ class PlacementRules:
     model_used: str = "model"
     constant_power: bool = True
     quantum_ms: int = 1000
-    cover_bits: int = COVER_BITS
+    cover_bits: int | None = None
     bucket_ms: int = 86_400_000
 
 
@@ -140,9 +140,10 @@ def place_snapshot(
     full = fill_requests(tasks)
     asked = full.select("arrival_ms", *REQUEST_COLUMNS).distinct()
     answers = asked.join(free_all, "arrival_ms", "left").join(outcome, ["arrival_ms", *REQUEST_COLUMNS], "left")
+    status = placement_status("n_free_all", "n_fit", "n_safe", "n_unscored", "machine_id")
     return full.join(answers, ["arrival_ms", *REQUEST_COLUMNS], "left").select(
         "task_id",
-        placement_status("n_free_all", "n_fit", "n_safe", "n_unscored", "machine_id").alias("status"),
+        F.when(F.col("arrival_ms").isNull(), F.lit(NO_ARRIVAL)).otherwise(status).alias("status"),
         "machine_id",
         F.col("p").alias("sla_probability"),
         "watts",

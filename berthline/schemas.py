@@ -53,6 +53,7 @@ SPEC_RANGES = {
 }
 
 SCHEDULED = "scheduled"
+NO_ARRIVAL = "no_arrival_time"
 NO_FREE = "no_free_machine"
 NO_SUITABLE = "no_suitable_free_machine"
 ALL_VIOLATE = "all_predict_violation"

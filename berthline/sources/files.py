@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,10 +63,17 @@ def number_rows(df: DataFrame, name: str = "row_id") -> DataFrame:
 
 
 def attach_labels(features: DataFrame, labels: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Labels joined to features on an explicit row id, numbered in file order if absent."""
+    """Labels joined to features on an explicit row id, numbered in file order if absent.
+
+    Files of different length are an error: a row that has no partner fails the job.
+    """
     left = features if row_id in features.columns else number_rows(features, row_id)
     right = labels if row_id in labels.columns else number_rows(labels, row_id)
-    return left.join(right.select(row_id, "sla_violation"), row_id)
+    sides = left.withColumn("_left", F.lit(True)).join(
+        right.select(row_id, "sla_violation", F.lit(True).alias("_right")), row_id, "full"
+    )
+    lonely = F.raise_error(F.lit("features and labels do not have the same rows")).cast("boolean")
+    return sides.filter(F.coalesce(F.col("_left") & F.col("_right"), lonely)).drop("_left", "_right")
 
 
 def compliant_tasks(features: DataFrame, labels: DataFrame, path: str | None = None) -> DataFrame:
@@ -76,8 +86,8 @@ def compliant_tasks(features: DataFrame, labels: DataFrame, path: str | None = N
 
 def stamped(prefix: str, spark: SparkSession) -> str:
     """``prefix_yyyyMMdd_HHmmss``."""
-    now = spark.range(1).select(F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")).first()[0]
-    return f"{prefix}_{now}"
+    zone = ZoneInfo(spark.conf.get("spark.sql.session.timeZone"))
+    return f"{prefix}_{datetime.now(zone):%Y%m%d_%H%M%S}"
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:

@@ -89,8 +89,11 @@ def utilization_windows(
 
 
 def live_latest(samples: DataFrame, time: str = "ts", values: tuple[str, ...] = ("cpu_util",)) -> DataFrame:
-    """Newest sample per machine (update mode)."""
-    return samples.groupBy("machine_id").agg(F.max(time).alias(time), *[F.max_by(c, time).alias(c) for c in values])
+    """Newest sample per machine (update mode); of several at one time, the one with the largest values."""
+    last = F.max(F.struct(time, *values)).alias("_last")
+    return samples.groupBy("machine_id").agg(last).select(
+        "machine_id", *[F.col(f"_last.{c}").alias(c) for c in (time, *values)]
+    )
 
 
 class ReleaseProcessor(StatefulProcessor):
