@@ -158,12 +158,12 @@ def judge_urls(
         "pieces",
     )
     split = store(segment(by_piece.select("piece"), counts, total), "splits")
-    in_classes = (
+    classes = store(
         split.join(by_piece, "piece").select(F.explode("words").alias("word"), "_block", "_allow")
-        .unionByName(seeds.select("word", F.col("n").alias("_block"), F.lit(0).cast("bigint").alias("_allow")))
         .groupBy("word").agg(F.sum("_block").alias("_block"), F.sum("_allow").alias("_allow"))
+        .join(seeds.select("word", F.col("n").alias("_seed")), "word", "left"),
+        "word-classes",
     )
-    classes = store(in_classes, "word-classes")
     sums = classes.agg(
         F.sum("_block").alias("b"), F.sum("_allow").alias("a"), F.count(F.lit(1)).alias("v")
     ).first()
@@ -171,14 +171,19 @@ def judge_urls(
     prior = {r["_ruled"]: r["n"] for r in urls_in}
     start = math.log((prior.get("block", 0) + 1.0) / (prior.get("allow", 0) + 1.0))
     size = float(sums.v or 1)
-    odds = F.log((F.col("_block") + 1.0) / F.lit((sums.b or 0) + size)) - F.log((F.col("_allow") + 1.0) / F.lit((sums.a or 0) + size))
-    known = classes.filter("_block + _allow > 0").select("word", odds.alias("_odds"))
+    # seed words raise their own counts and not the size of the class, which would shift all other words
+    in_block = F.col("_block") + F.coalesce("_seed", F.lit(0))
+    sizes = math.log(((sums.b or 0) + size) / ((sums.a or 0) + size))
+    odds = F.log((in_block + 1.0) / (F.col("_allow") + 1.0)) - F.lit(sizes)
+    known = classes.filter(in_block + F.col("_allow") > 0).select("word", odds.alias("_odds"))
     scores = (
         split.select("piece", F.explode("words").alias("word")).join(known, "word")
         .groupBy("piece").agg(F.sum("_odds").alias("_odds"))
     )
     open_uses = uses.filter("_ruled IS NULL").select("_url", "piece")
-    judged = open_uses.join(scores, "piece").groupBy("_url").agg((F.sum("_odds") + F.lit(start)).alias("log_odds"))
+    judged = open_uses.join(scores, "piece").groupBy("_url").agg(
+        F.round(F.sum("_odds") + F.lit(start), 6).alias("log_odds")  # sums in any order agree in six decimals
+    )
     return parsed.join(judged.withColumnRenamed("_url", "_jurl"), F.col("_url").eqNullSafe(F.col("_jurl")), "left").select(
         "_url", "host", "path", "rule",
         F.coalesce("_ruled", F.when(F.col("log_odds") > 0, "block").otherwise("allow")).alias("verdict"), "log_odds",
