@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from berthline.llm.rows import packed
 from berthline.llm.text import ALPHANUMERIC, LOWER, Slice, Words, slices, word_hashes, words
 
 WINDOW = 10
@@ -249,7 +250,7 @@ def match_benchmark(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", window: int = WINDOW,
 ) -> DataFrame:
-    """``docs`` with _text and what the benchmark shares with each text.
+    """_doc (all columns of ``docs``), _text, and what the benchmark shares with each text.
 
     _n_words; _hits and _n_hit: the words inside an occurrence of a window, as bits and as a
     count; _items: ids of the items with such windows, sorted; _longest, _longest_at and
@@ -258,13 +259,13 @@ def match_benchmark(
     words; items without words match nothing.
     """
     schema = T.StructType([
-        *docs.schema.fields, T.StructField("_text", T.StringType()), T.StructField("_n_words", T.LongType()),
+        T.StructField("_doc", docs.schema), T.StructField("_text", T.StringType()), T.StructField("_n_words", T.LongType()),
         T.StructField("_hits", T.BinaryType()), T.StructField("_n_hit", T.LongType()),
         T.StructField("_items", T.ArrayType(T.StringType())), T.StructField("_longest", T.LongType()),
         T.StructField("_longest_at", T.LongType()), T.StructField("_longest_item", T.StringType()),
     ])
     context = docs.sparkSession.sparkContext
-    result, first = docs.withColumn("_text", F.col(text_col)), True
+    result, first = docs.select(packed(docs), F.col(text_col).alias("_text")), True
     for block in _blocks(benchmark, item_col, item_text_col, window):
         if block is not None:
             # at most a block of the benchmark at a time, BLOCK_BYTES and one item
@@ -282,7 +283,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the longest match of every row."""
     found = match_benchmark(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark)
     return found.select(
-        "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"),
+        "_doc.doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"),
         F.size("_items").cast("bigint").alias("n_items"), items_digest(F.col("_items")).alias("items_sha256"),
         (F.col("_n_hit") > 0).alias("contaminated"), F.col("_longest").alias("longest"),
         F.col("_longest_at").alias("longest_at"), F.col("_longest_item").alias("longest_item"),
@@ -291,4 +292,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that share no window with the benchmark, with their columns."""
-    return match_benchmark(docs, benchmark, text_col).filter("_n_hit = 0").select(*docs.columns)
+    return match_benchmark(docs, benchmark, text_col).filter("_n_hit = 0").select("_doc.*")

@@ -174,10 +174,11 @@ def mix_documents(
     Documents without words take nothing of the budget and stay once.
     """
     base = with_row_key(docs)
-    rows = base.select("_row", "_copy", F.col(source_col).alias("_source"), word_count(text_col).alias("_size"))
+    rows = base.select(
+        "_row", "_copy", F.col(f"_doc.{source_col}").alias("_source"), word_count(f"_doc.{text_col}").alias("_size")
+    )
     turns = queued(rows, ["_row", "_copy"], share, weights, epochs).select(
         "_row", "_copy", F.when(F.col("_size") == 0, 1).otherwise(F.col("_turns")).alias("_turns")
     ).filter("_turns > 0")
-    return base.join(turns, ["_row", "_copy"]).select(
-        *docs.columns, F.explode(F.sequence(F.lit(1), F.col("_turns"))).alias("_turn")
-    ).drop("_turn")
+    served = base.join(turns, ["_row", "_copy"]).select("_doc", F.explode(F.sequence(F.lit(1), F.col("_turns"))))
+    return served.select("_doc.*")

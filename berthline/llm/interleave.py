@@ -1,10 +1,10 @@
 """Proportional stratified interleaving: shards of equal row counts that all match the mixture.
 
 Rows are shuffled by a seeded hash and ranked within their source. A row's fractional rank,
-(rank + start) / rows of the source, spreads each source evenly over (0, 1); the start, a hash
-of the source, keeps small sources from meeting at one place. Sorting all rows by it and
-cutting the order into equal runs gives every shard the same share of each source up to one
-row.
+(rank + start) / rows of the source, spreads each source evenly over (0, 1); the starts, evenly
+spread over the sources, keep small sources from meeting at one place. Sorting all rows by
+it and cutting the order into equal runs gives every shard the same share of each source up
+to a row or two, and the same share of all small sources together.
 """
 
 from __future__ import annotations
@@ -26,9 +26,15 @@ def interleaved(rows: DataFrame, source: str, order: list[str], shards: int, see
         .withColumn("_hb", F.floor(unit(F.col("_shuffle")) * buckets).cast("int")),
         "shuffled",
     )
-    per_source = shuffled.groupBy(F.col(source).alias("_s")).agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_start", unit(F.xxhash64(F.lit(seed + 1), "_s"))
+    sources = store(
+        shuffled.groupBy(F.col(source).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_sh", F.xxhash64(F.lit(seed + 1), "_s"))
+        .withColumn("_sb", F.floor(unit(F.col("_sh")) * buckets).cast("int")),
+        "sources",
     )
+    # multiples of the golden ratio fill (0, 1) evenly however many there are
+    start = F.pmod(F.col("_index") * F.lit(0.6180339887498949) + F.lit(0.5), F.lit(1.0))
+    per_source = sum_before(sources, [], "_sb", ["_sh", "_s"], F.lit(1), "_index").select("_s", "_n", start.alias("_start"))
     ranked = sum_before(shuffled, [source], "_hb", ["_shuffle", *order], F.lit(1), "_rank")
     ranked = store(
         ranked.join(per_source, F.col(source).eqNullSafe(F.col("_s")))
@@ -68,10 +74,9 @@ def shard_slots(
 
 def shard_documents(docs: DataFrame, source_col: str = "source", shards: int = 16) -> DataFrame:
     """All rows of ``docs`` with shard and slot; columns of those names are replaced."""
-    kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    base = with_row_key(docs.select(*kept))
-    narrow = base.select("_row", "_copy", F.col(source_col).alias("_source"))
+    base = with_row_key(docs.drop("shard", "slot"))
+    narrow = base.select("_row", "_copy", F.col(f"_doc.{source_col}").alias("_source"))
     placed = interleaved(narrow, "_source", ["_row", "_copy"], shards).select("_row", "_copy", "_shard", "_slot")
     return base.join(placed, ["_row", "_copy"]).select(
-        *kept, F.col("_shard").alias("shard"), F.col("_slot").alias("slot")
+        "_doc.*", F.col("_shard").alias("shard"), F.col("_slot").alias("slot")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,18 +12,25 @@ from berthline.session import scratch_path
 
 #: Buckets of an order for each shuffle partition.
 BUCKETS = 4
+#: Bits of a filter on hashes, 8 MB.
+FILTER_BITS = 1 << 26
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of ``df`` as one, _doc, so that other columns cannot clash with theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc")
 
 
 def with_row_key(df: DataFrame) -> DataFrame:
-    """``df`` with _row, a hash of all columns, and _copy, which tells rows of one hash apart.
+    """_doc (all columns), _row, a hash of them, and _copy, which tells rows of one hash apart.
 
     Rows that are equal in all columns are numbered from 1; any two rows differ in
     (_row, _copy), and a second run finds the same pairs.
     """
-    keyed = df.withColumn("_row", F.xxhash64(*df.columns))
+    keyed = df.select(packed(df), F.xxhash64(*df.columns).alias("_row"))
     if keyed.groupBy("_row").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").isEmpty():
         return keyed.withColumn("_copy", F.lit(1))
-    return keyed.withColumn("_copy", F.row_number().over(W.partitionBy("_row").orderBy(*df.columns)))
+    return keyed.withColumn("_copy", F.row_number().over(W.partitionBy("_row").orderBy("_doc")))
 
 
 def store_text(df: DataFrame, name: str) -> DataFrame:
@@ -31,6 +40,33 @@ def store_text(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def probably_in(wanted: DataFrame, hash_col: str, probe: str) -> Column:
+    """Whether hash ``probe`` may be among the hashes of ``wanted``: never wrongly false.
+
+    Keeps rows out of a shuffle. The hashes are marked in FILTER_BITS bits, so what is sent
+    to the tasks has a fixed size; the more hashes, the more rows pass.
+    """
+    slot = F.pmod(F.col(hash_col), F.lit(FILTER_BITS)) + 1  # bitmap buckets count from 1
+    marks = (
+        wanted.select(slot.alias("s"))
+        .groupBy(F.bitmap_bucket_number("s").alias("b"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()
+    )
+    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in marks:
+        own = np.frombuffer(bytes(r.m), dtype=np.uint8)
+        start = (r.b - 1) * len(own)
+        bits[start : start + len(own)] |= own
+    table = wanted.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def marked(hashes: pa.Array) -> pa.Array:
+        s = np.mod(hashes.to_numpy(zero_copy_only=False).astype(np.int64), FILTER_BITS)
+        return pa.array((table.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1, pa.bool_())
+
+    return marked(F.col(probe))
+
+
 def bucket_count(df: DataFrame) -> int:
     return BUCKETS * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
