@@ -234,7 +234,7 @@ def fit_quality(
     """
     usable = labels.select(F.col("doc_id").alias("_lid"), F.col(label_col).cast("double").alias("_y")).filter(
         "_lid IS NOT NULL AND _y IN (0, 1)"
-    ).filter(~held_out("_lid"))
+    ).filter(~held_out("_lid")).distinct()
     count = usable.count()
     if count > max_rows:
         usable = usable.filter(unit(F.xxhash64(F.lit(SEED), "_lid")) < max_rows / count)
@@ -247,7 +247,7 @@ def fit_quality(
     # about max_rows ids and labels: fixed size
     rows = source.join(F.broadcast(usable), F.col("_id") == F.col("_lid")).select(
         "_id", features("_text").alias("_x"), "_y"
-    ).toPandas()
+    ).limit(2 * max_rows).toPandas()
     rows = rows.assign(k=[tuple(v) for v in rows["_x"]]).sort_values(["_id", "_y", "k"], kind="stable")
     x = np.array(rows["_x"].tolist(), dtype=float).reshape(len(rows), len(FEATURES))
     return fit_gam(x, rows["_y"].to_numpy(dtype=float))
