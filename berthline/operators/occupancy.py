@@ -177,7 +177,7 @@ def enclosing_blocks(instants: DataFrame, tick: str, bits: int) -> DataFrame:
     )
 
 
-def _join_blocks(ticks: DataFrame, blocks: DataFrame, bits: int) -> DataFrame:
+def _join_blocks(ticks: DataFrame, blocks: DataFrame, bits: int, also: list[str] = ()) -> DataFrame:
     """Match ticks with the blocks around them.
 
     Every tick lies in the few largest blocks, so those sizes are salted; small blocks hold
@@ -188,7 +188,7 @@ def _join_blocks(ticks: DataFrame, blocks: DataFrame, bits: int) -> DataFrame:
         "_salt", F.when(large, F.pmod(F.xxhash64("tick"), F.lit(BLOCK_SALTS)).cast("int")).otherwise(0)
     )
     copies = F.when(large, F.sequence(F.lit(0), F.lit(BLOCK_SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return asked.join(blocks.withColumn("_salt", F.explode(copies)), ["block_size", "block", "_salt"])
+    return asked.join(blocks.withColumn("_salt", F.explode(copies)), ["block_size", "block", "_salt", *also])
 
 
 def free_by_class(
@@ -215,11 +215,15 @@ def free_by_class(
 def free_members(
     instants: DataFrame, spans: DataFrame, classes: list[str], quantum_ms: int = 1000, bits: int | None = None
 ) -> DataFrame:
-    """The machines in a span at each instant, one row per (instant, machine)."""
-    ticks = instants.select("time_ms").distinct().withColumn("tick", instant_tick("time_ms", quantum_ms, bits))
+    """The machines in a span at each instant, one row per (instant, machine).
+
+    Instants that carry the class columns list the machines of their own class only.
+    """
+    asked = [c for c in classes if c in instants.columns]
+    ticks = instants.select("time_ms", *asked).distinct().withColumn("tick", instant_tick("time_ms", quantum_ms, bits))
     bits = clock_bits(quantum_ms, bits)
     blocks = cover_blocks(spans, quantum_ms, bits).select(*classes, "machine_id", "block_size", "block")
-    return _join_blocks(ticks, blocks, bits).select("time_ms", *classes, "machine_id")
+    return _join_blocks(ticks, blocks, bits, asked).select("time_ms", *classes, "machine_id")
 
 
 def busy_counts(

@@ -160,16 +160,32 @@ def batch_assign(
 ) -> DataFrame:
     """Conflict-free machines for tasks that arrive at the same instant, earlier task ids first.
 
-    Every task asks its best class; a class serves as many of the earliest askers as it has
-    free machines, and the others ask their next class. All share one priority, so each
-    round settles at least one more class: the rounds are bounded by the number of
-    classes, not of tasks, and all instants run together. Scores stay those of the instant's
+    Every task asks its best unit, a class or a stretch of one; a unit serves as many of the
+    earliest askers as it has free machines, and the others ask their next unit. All share one
+    priority, so each round settles at least one more unit: the rounds are bounded by the number
+    of units, not of tasks, and all instants run together. Scores stay those of the instant's
     snapshot. Instants without refusals leave the loop after their round.
     """
+    safe = store(
+        rank_candidates(class_candidates(tasks, machines, allocations, scorer, rules)[0], rules).filter("safe").select(
+            "arrival_ms", *REQUEST_COLUMNS, "class_id", "n_free", "first_free_id", "p", "final_score",
+            F.array(*score_order("first_free_id")[:-1]).alias("score"),
+        ),
+        "safe",
+    )
+    _, spans = _idle_classes(machines, allocations, rules)
+    listed = _stretches(safe, spans, rules)
+    sizes = listed.groupBy("arrival_ms", "class_id", "stretch").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("machine_id").alias("_first")
+    )
+    order = W.partitionBy("arrival_ms", *REQUEST_COLUMNS).orderBy("score", "first_free_id")
     prefs = store(
-        rank_candidates(class_candidates(tasks, machines, allocations, scorer, rules)[0], rules)
-        .filter("safe")
-        .select("arrival_ms", *REQUEST_COLUMNS, "pref", "class_id", "n_free", "first_free_id", "p", "final_score"),
+        safe.join(sizes, ["arrival_ms", "class_id"], "left").withColumns(
+            {
+                "n_free": F.coalesce("_n", "n_free"), "first_free_id": F.coalesce("_first", "first_free_id"),
+                "stretch": F.coalesce("stretch", F.lit(0)),
+            }
+        ).withColumn("pref", F.row_number().over(order)).drop("_n", "_first", "score"),
         "prefs",
     )
     state = fill_requests(tasks).select(
@@ -180,7 +196,7 @@ def batch_assign(
         asking = state.join(prefs, ["arrival_ms", *REQUEST_COLUMNS, "pref"])
         placed = cut_lineage(
             ordered_rank(
-                asking, ["arrival_ms", "class_id"], ["task_id"],
+                asking, ["arrival_ms", "class_id", "stretch"], ["task_id"],
                 integer_bucket(F.col("task_id"), per_bucket), "slot",
             )
         )
@@ -198,28 +214,48 @@ def batch_assign(
     won = settled[0]
     for part in settled[1:]:
         won = won.unionByName(part)
-    return _name_machines(tasks, won, machines, allocations, rules)
+    return _name_machines(tasks, won, listed, spans, rules)
+
+
+def _listed(asked: DataFrame, spans: DataFrame, rules: PlacementRules) -> DataFrame:
+    """The idle machines of the asked classes only (arrival_ms, class_id)."""
+    instants = asked.select(F.col("arrival_ms").alias("time_ms"), "class_id")
+    found = free_members(instants, spans, ["class_id"], rules.quantum_ms, rules.cover_bits)
+    return found.select(F.col("time_ms").alias("arrival_ms"), "class_id", "machine_id")
+
+
+def _stretches(safe: DataFrame, spans: DataFrame, rules: PlacementRules) -> DataFrame:
+    """Idle machines of the classes that score alike for some request, cut where the class changes.
+
+    Equal scores fall to the smaller machine id, so such classes take turns along the ids:
+    in the order of ids, neighbours of one class form a stretch (arrival_ms, class_id,
+    stretch, slot, machine_id), and stretches can be ranked like classes. A window holds the
+    idle machines of these classes at one instant.
+    """
+    alike = W.partitionBy("arrival_ms", *REQUEST_COLUMNS, "score")
+    tied = safe.withColumn("_alike", F.count(F.lit(1)).over(alike)).filter("_alike > 1")
+    members = _listed(tied.select("arrival_ms", "class_id").distinct(), spans, rules)
+    along = W.partitionBy("arrival_ms").orderBy("machine_id")
+    turn = F.coalesce(F.lag("class_id").over(along) != F.col("class_id"), F.lit(True))
+    cut = members.withColumn("_turn", turn.cast("int")).withColumn("stretch", F.sum("_turn").over(along))
+    nth = F.row_number().over(W.partitionBy("arrival_ms", "stretch").orderBy("machine_id"))
+    return store(cut.drop("_turn").withColumn("slot", nth), "stretches")
 
 
 def _name_machines(
-    tasks: DataFrame, won: DataFrame, machines: DataFrame, allocations: DataFrame, rules: PlacementRules
+    tasks: DataFrame, won: DataFrame, stretches: DataFrame, spans: DataFrame, rules: PlacementRules
 ) -> DataFrame:
-    """The n-th asker of a class gets its n-th free machine; only shared classes list their machines."""
-    taken = won.groupBy("arrival_ms", "class_id").agg(F.max("slot").alias("n_taken"))
-    shared = store(taken.filter("n_taken > 1"), "shared")
-    _, spans = _idle_classes(machines, allocations, rules)
-    listed = free_members(
-        shared.select(F.col("arrival_ms").alias("time_ms")), spans, ["class_id"], rules.quantum_ms, rules.cover_bits
-    )
+    """The n-th asker of a unit gets its n-th free machine; only units with several askers list theirs."""
+    unit = ["arrival_ms", "class_id", "stretch"]
+    taken = store(won.groupBy(*unit).agg(F.max("slot").alias("n_taken")).filter("n_taken > 1"), "shared")
+    whole = taken.filter("stretch = 0")
     nth = F.row_number().over(W.partitionBy("arrival_ms", "class_id").orderBy("machine_id"))
+    of_classes = _listed(whole, spans, rules).withColumns({"stretch": F.lit(0).cast("bigint"), "slot": nth})
     slots = (
-        listed.select(F.col("time_ms").alias("arrival_ms"), "class_id", "machine_id")
-        .join(shared, ["arrival_ms", "class_id"])
-        .withColumn("slot", nth)
-        .filter("slot <= n_taken AND slot > 1")
-        .drop("n_taken")
+        of_classes.select(*unit, "slot", "machine_id").unionByName(stretches.select(*unit, "slot", "machine_id"))
+        .join(taken, unit).filter("slot <= n_taken AND slot > 1").drop("n_taken")
     )
-    named = won.join(slots, ["arrival_ms", "class_id", "slot"], "left").select(
+    named = won.join(slots, [*unit, "slot"], "left").select(
         "task_id", F.when(F.col("slot") == 1, F.col("first_free_id")).otherwise(F.col("machine_id")).alias("machine_id"),
         F.col("p").alias("sla_probability"), "final_score",
     )

@@ -91,3 +91,21 @@ def test_all_tasks_in_one_instant(spark):
     won = out.filter(F.col("machine_id").isNotNull())
     assert won.count() == won.select("machine_id").distinct().count() == 40
     assert won.agg(F.max("task_id")).first()[0] == 39
+
+
+def test_equal_scores_of_two_specs_fall_to_the_smaller_id(spark):
+    """Two specs that cost one watt a core take turns along the machine ids."""
+    watts = {1: 8.0, 10: 8.0, 5: 4.0, 7: 8.0, 6: 4.0}
+    pool = [{**machine(i, 0), "cpu_cores_total": 8.0, "cpu_watts": w} for i, w in watts.items()]
+    tasks = [task(i, cpu=1, ram=1) for i in range(1, 7)]
+    none = ledger(spark, [(1, 99, 0, 1, 1.0, 0.0, 0.0, 1.0)])
+    out = batch_assign(workload(spark, tasks), fleet(spark, pool), none, load_share, RULES)
+    got = {r.task_id: r.machine_id for r in out.collect()}
+    assert got == {1: 1, 2: 5, 3: 6, 4: 7, 5: 10, 6: None}
+
+
+def test_a_task_without_arrival_has_a_status_of_its_own(spark):
+    tasks = workload(spark, [task(1, cpu=1, ram=1)]).withColumn("arrival_ms", F.lit(None).cast("bigint"))
+    none = ledger(spark, [(1, 99, 0, 1, 1.0, 0.0, 0.0, 1.0)])
+    out = place_snapshot(tasks, fleet(spark, [machine(1, 0)]), none, load_share, RULES)
+    assert [r.status for r in out.collect()] == ["no_arrival_time"]
