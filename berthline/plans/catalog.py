@@ -964,7 +964,29 @@ def rank_snapshot(spark, sf):
     return best.select("task_id", F.col("rank").cast("bigint").alias("rank"), "machine_id", *r6(*_SCORES))
 
 
-@query()
+# Task by task within each instant: the best safe machine that no earlier task of the instant took.
+_ASSIGN = (_OCC + _PLACE).replace("WITH ", "WITH RECURSIVE ", 1) + """, choice AS (
+  SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY floor(final_score * 1e9 + 0.5), floor(watts * 1e9 + 0.5),
+    floor(fit_score * 1e9 + 0.5), machine_id) AS ord
+  FROM (SELECT *, CAST(0.5 AS DOUBLE) * energy_score + CAST(0.5 AS DOUBLE) * fit_score AS final_score FROM normed) x
+), numbered AS (
+  SELECT task_id, arrival_ms, row_number() OVER (PARTITION BY arrival_ms ORDER BY task_id) AS rn FROM tasks
+), walk AS (
+  SELECT arrival_ms, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS task_id,
+    CAST(NULL AS BIGINT) AS machine_id FROM numbered WHERE rn = 1
+  UNION ALL
+  SELECT arrival_ms, rn, CASE WHEN m IS NULL THEN used ELSE list_append(used, m) END, task_id, m FROM (
+    SELECT w.arrival_ms, n.rn, w.used, n.task_id, arg_min(c.machine_id, c.ord) AS m
+    FROM walk w JOIN numbered n ON n.arrival_ms = w.arrival_ms AND n.rn = w.rn + 1
+    LEFT JOIN choice c ON c.task_id = n.task_id AND NOT list_contains(w.used, c.machine_id)
+    GROUP BY w.arrival_ms, n.rn, w.used, n.task_id) y
+) SELECT w.task_id, w.arrival_ms, CASE WHEN w.machine_id IS NULL THEN 'unassigned' ELSE 'assigned' END AS status, w.machine_id,
+    floor(c.p * CAST(1e6 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1e6 AS DOUBLE) AS sla_probability,
+    floor(c.final_score * CAST(1e6 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1e6 AS DOUBLE) AS final_score
+  FROM walk w LEFT JOIN choice c ON c.task_id = w.task_id AND c.machine_id = w.machine_id WHERE w.task_id IS NOT NULL"""
+
+
+@query(_ASSIGN)
 def batch_assign(spark, sf):
     out = pm.batch_assign(fx.tasks(spark, sf), fx.machines(spark, sf), fx.allocations(spark, sf), load_share, RULES)
     return out.select("task_id", "arrival_ms", "status", "machine_id", *r6("sla_probability", "final_score"))
