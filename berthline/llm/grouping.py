@@ -9,8 +9,25 @@ from pyspark.sql import functions as F
 
 from berthline.session import store
 
-#: Representatives of a bucket are multiplied by this from round to round.
-WIDEN = 4
+#: Representatives of a bucket in the first round of link_apart, and how they multiply from round to round.
+REPRESENTATIVES, WIDEN = 16, 8
+
+
+def _roots(parent: DataFrame) -> DataFrame:
+    """(node, comp): where following ``parent`` (node, parent) ends; roots are their own parents."""
+    while True:
+        two = parent.select(F.col("node").alias("parent"), F.col("parent").alias("_2"))
+        four = parent.select(F.col("node").alias("_2"), F.col("parent").alias("_3"))
+        further = store(parent.join(two, "parent").join(four, "_2").select("node", "parent", "_3"), "hooks")
+        parent = further.select("node", F.col("_3").alias("parent"))
+        if further.filter(F.col("parent") != F.col("_3")).isEmpty():
+            return parent.select("node", F.col("parent").alias("comp"))
+
+
+def _follow(labels: DataFrame, moved: DataFrame) -> DataFrame:
+    """``labels`` with the components that ``moved`` (node, comp) gives to their components."""
+    to = moved.select(F.col("node").alias("comp"), F.col("comp").alias("_to"))
+    return labels.join(to, "comp", "left").select("node", F.coalesce("_to", "comp").alias("comp"))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -24,26 +41,12 @@ def connected(edges: DataFrame) -> DataFrame:
     labels = None
     while not current.isEmpty():
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = store(
-            both.groupBy("a").agg(F.min("b").alias("b")).select(
-                F.col("a").alias("node"), F.least("a", "b").alias("parent")
-            ),
-            "hooks",
+        hooks = both.groupBy("a").agg(F.min("b").alias("b")).select(
+            F.col("a").alias("node"), F.least("a", "b").alias("parent")
         )
-        while True:
-            above = parent.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
-            further = store(parent.join(above, "parent").select("node", "parent", "root"), "hooks")
-            parent = further.select("node", F.col("root").alias("parent"))
-            if further.filter(F.col("parent") != F.col("root")).isEmpty():
-                break
-        if labels is None:
-            labels = parent.select("node", F.col("parent").alias("comp"))
-        else:
-            moved = parent.select(F.col("node").alias("comp"), F.col("parent").alias("_to"))
-            labels = store(
-                labels.join(moved, "comp", "left").select("node", F.coalesce("_to", "comp").alias("comp")), "labels"
-            )
-        a, b = (parent.select(F.col("node").alias(c), F.col("parent").alias(f"_{c}")) for c in "ab")
+        roots = _roots(store(hooks, "hooks"))
+        labels = roots if labels is None else store(_follow(labels, roots), "labels")
+        a, b = (roots.select(F.col("node").alias(c), F.col("comp").alias(f"_{c}")) for c in "ab")
         current = store(
             current.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
             .filter(F.col("a") != F.col("b")).distinct(),
@@ -54,36 +57,54 @@ def connected(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, comp) of the components that the verified links inside buckets form.
-
-    ``buckets`` has distinct (key, node) rows; ``verify`` takes pairs (node, rep) and returns
-    those that are links. Members are compared with a representative of their bucket, not
-    with each other: members that turn out to be linked need no further comparison, as one
-    more link inside a component changes nothing. What stays apart goes on to the next
-    round, which takes more representatives and leaves out the ones that have met the whole
-    bucket, until no bucket holds two components that have not been compared. So no link
-    between two components is ever missed, and a bucket of copies costs one pair a member.
-    Nodes without a link are left out.
-    """
-    members = store(buckets.select("key", "node"), "buckets")
-    first = members.groupBy("key").agg(F.min("node").alias("rep"))
+def first_links(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, comp) after comparing every node with one other, the smallest of those it shares a bucket with."""
+    smallest = buckets.groupBy("key").agg(F.min("node").alias("rep"))
     pairs = store(
-        members.join(first, "key").groupBy("node").agg(F.min("rep").alias("rep"))
+        buckets.join(smallest, "key").groupBy("node").agg(F.min("rep").alias("rep"))
         .filter(F.col("node") != F.col("rep")),
         "pairs",
     )
-    tried = [pairs]
-    links = [store(verify(pairs).select(F.col("node").alias("a"), F.col("rep").alias("b")), "links")]
-    labels = connected(links[0])
-    width, turn = 1, 0
+    # every node has one link at most, to a smaller node: the links are a forest already
+    links = store(verify(pairs).select("node", F.col("rep").alias("parent")), "links")
+    tops = links.select(F.col("parent").alias("node")).distinct().join(links, "node", "left_anti")
+    return _roots(store(links.unionByName(tops.select("node", F.col("node").alias("parent"))), "hooks"))
+
+
+def apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, comp) of the buckets that hold more than one component."""
+    known = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    keys = (
+        known.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
+        .filter(F.col("_lo") != F.col("_hi")).select("key")
+    )
+    return known.join(keys, "key")
+
+
+def join_links(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, comp) after more links (a, b), a stored table."""
+    if links.isEmpty():
+        return labels
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    fresh = ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("comp"))
+    labels = store(labels.unionByName(fresh), "labels")
+    a, b = (labels.select(F.col("node").alias(c), F.col("comp").alias(f"_{c}")) for c in "ab")
+    between = links.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return store(_follow(labels, connected(between)), "labels")
+
+
+def link_apart(buckets: DataFrame, labels: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``labels`` (node, comp) after every two components that share a bucket have been compared.
+
+    Members are compared with representatives of their bucket, not with each other. The
+    next round takes more representatives and leaves out the ones that have met the whole
+    bucket, until no bucket holds two components that have not been compared. So no link
+    between two components is missed, and a bucket of copies costs few pairs a member.
+    """
+    members, tried = buckets.select("key", "node"), []
+    width, turn = REPRESENTATIVES, 0
     while True:
-        known = members.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        apart = (
-            known.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
-            .filter(F.col("_lo") != F.col("_hi")).select("key")
-        )
-        live = store(known.join(apart, "key"), "buckets")
+        live = store(apart(members, labels), "buckets")
         if live.isEmpty():
             return labels
         reps = store(
@@ -99,15 +120,20 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
         for old in tried:
             fresh = fresh.join(old, ["node", "rep"], "left_anti")
         pairs = store(fresh, "pairs")
-        if not pairs.isEmpty():
-            tried.append(pairs)
-            more = store(verify(pairs).select(F.col("node").alias("a"), F.col("rep").alias("b")), "links")
-            if not more.isEmpty():
-                links.append(more)
-                everything = links[0]
-                for x in links[1:]:
-                    everything = everything.unionByName(x)
-                labels = connected(everything)
+        tried.append(pairs)
+        links = store(verify(pairs).select(F.col("node").alias("a"), F.col("rep").alias("b")), "links")
+        labels = join_links(labels, links)
         met = reps.select("key", F.col("rep").alias("node"))
         members = live.select("key", "node").join(met, ["key", "node"], "left_anti")
         width, turn = width * WIDEN, turn + 1
+
+
+def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, comp) of the components that the verified links inside buckets form.
+
+    ``buckets`` has distinct (key, node) rows and is read several times; ``verify`` takes
+    pairs (node, rep) and returns those that are links. Members that turn out to be linked
+    need no further comparison, as one more link inside a component changes nothing. Nodes
+    without a link may be left out.
+    """
+    return link_apart(buckets, first_links(buckets, verify), verify)

@@ -6,6 +6,10 @@ fraction, and a place keeps the smallest value it is given. Values of step j are
 j + 1, so a set stops as soon as no place holds more than that: long texts need one or two
 steps. Places of one signature are negatively correlated, which lowers the variance of the
 estimate below that of independent hashes.
+
+Documents that share a band are compared on their full sets. Where one comparison each does
+not join a band's documents, which is so where many share a long passage, the rest are
+compared if they share one of their rarest shingles, as similar sets must.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from berthline.llm.grouping import link_buckets
+from berthline.llm.grouping import apart, connected, first_links, join_links
+from berthline.llm.rows import packed, probably_in, store_text
 from berthline.llm.text import LOWER, NON_SPACE, mix, slices, word_hashes, words
 from berthline.session import store
 
@@ -28,6 +33,11 @@ SHINGLE = 5
 #: 24 bands of 6 rows miss a pair of similarity 0.85 with probability 1e-5.
 BANDS, ROWS = 24, 6
 
+#: Sets and elements in one block of a cluster.
+BLOCK_SETS, BLOCK_ELEMENTS = 256, 1_000_000
+#: Slots in which the frequency of shingles is counted for the texts that need a second look.
+COUNTERS = 1 << 18
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FRACTION = np.uint64(56)
 _MASK = (1 << 64) - 1
@@ -104,7 +114,7 @@ def _sketch(shingle: int, bands: int, rows: int):
             for own in shingle_sets(batch.column("_text"), shingle):
                 n.append(len(own))
                 if len(own):
-                    nodes.append(blake2b(own.tobytes(), digest_size=16).hexdigest())
+                    nodes.append(f"{blake2b(own.tobytes(), digest_size=16).hexdigest()}{len(own):08x}")
                     keys.append(band_keys(signature(own, bands * rows), bands, rows))
                 else:
                     nodes.append(None)
@@ -122,19 +132,15 @@ def _similar(shingle: int, similarity: tuple[int, int]):
     most, least = similarity[1], similarity[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[str, np.ndarray] = {}
         for batch in batches:
             reps = batch.column("rep").to_pylist()
-            new = [i for i, r in enumerate(reps) if r not in last and (i == 0 or r != reps[i - 1])]
-            sets = shingle_sets(batch.column("_rep_text").take(pa.array(new, pa.int64())), shingle)
-            keep = []
-            waiting = iter(new)
-            next_new = next(waiting, None)
+            # rows come sorted by rep, so a set is built once for each stretch of equal reps
+            heads = [i for i, r in enumerate(reps) if i == 0 or r != reps[i - 1]]
+            sets = shingle_sets(batch.column("_rep_text").take(pa.array(heads, pa.int64())), shingle)
+            first, other, keep = set(heads), None, []
             for i, own in enumerate(shingle_sets(batch.column("_text"), shingle)):
-                if i == next_new:
-                    last = {reps[i]: next(sets)}
-                    next_new = next(waiting, None)
-                other = last[reps[i]]
+                if i in first:
+                    other = next(sets)
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 keep.append(most * both >= least * (len(own) + len(other) - both))
             yield pa.RecordBatch.from_arrays(
@@ -144,6 +150,140 @@ def _similar(shingle: int, similarity: tuple[int, int]):
     return run
 
 
+def _count_shingles(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for own in shingle_sets(batch.column("_text"), shingle):
+                np.add.at(total, (own % np.uint64(COUNTERS)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["slot", "n"])
+
+    return run
+
+
+def _prefixes(shingle: int, similarity: tuple[int, int], counters):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequency = counters.value
+        for batch in batches:
+            nodes = batch.column("node").to_pylist()
+            keys, owners = [np.zeros(0, dtype=np.int64)], []
+            for i, own in enumerate(shingle_sets(batch.column("_text"), shingle)):
+                size = len(own) - -(-similarity[0] * len(own) // similarity[1]) + 1
+                order = np.lexsort((own, frequency[(own % np.uint64(COUNTERS)).astype(np.int64)]))
+                keys.append(own[order[:size]].view(np.int64))
+                owners += [nodes[i]] * size
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys), pa.int64()), pa.array(owners, pa.string())], ["key", "node"]
+            )
+
+    return run
+
+
+def rare_shingles(texts: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """(key, node): the rarest shingles of each text (node, _text), so many that two similar texts share one.
+
+    Sets of a similarity share all but a small part of each, so their first shingles in any
+    common order overlap. The order is by frequency, counted in COUNTERS slots: a passage
+    that many texts have comes last, and only texts that are little else meet on it.
+    """
+    counted = texts.mapInArrow(_count_shingles(shingle), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    table = counted.toPandas()  # COUNTERS rows at most
+    frequency = np.zeros(COUNTERS, dtype=np.int64)
+    frequency[table["slot"].to_numpy(dtype=np.int64)] = table["n"].to_numpy(dtype=np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast(frequency)
+    return texts.select("node", "_text").mapInArrow(_prefixes(shingle, similarity, shared), "key bigint, node string")
+
+
+def _several(buckets: DataFrame) -> DataFrame:
+    """Rows (key, node) of the keys that more than one node has."""
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("key")
+    return buckets.join(shared, "key").select("key", "node")
+
+
+def _forest(sets: list[np.ndarray], similarity: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links between similar sets, no more than it takes to join them; pairs are counted through shared elements."""
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    element = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    new = np.concatenate(([True], element[1:] != element[:-1])) if len(element) else np.zeros(0, dtype=bool)
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(element)))
+    group = np.cumsum(new) - 1
+    by_owner = np.argsort(owner, kind="stable")
+    at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    n = np.diff(at)
+    parent = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    links = []
+    for i in range(len(sets)):
+        own = group[by_owner[at[i] : at[i + 1]]]
+        own = own[size[own] > 1]
+        length = size[own]
+        total = int(length.sum())
+        if not total:
+            continue
+        place = np.repeat(start[own] - (np.cumsum(length) - length), length) + np.arange(total)
+        both = np.bincount(owner[place], minlength=len(sets))
+        both[: i + 1] = 0
+        for j in np.flatnonzero(similarity[1] * both >= np.maximum(similarity[0] * (n[i] + n - both), 1)):
+            a, b = root(i), root(int(j))
+            if a != b:
+                parent[b] = a
+                links.append((i, int(j)))
+    return links
+
+
+def _compare_block(shingle: int, similarity: tuple[int, int]):
+    def run(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_pylist()
+        links = _forest(list(shingle_sets(table.column("_text"), shingle)), similarity)
+        return pa.table({
+            "a": pa.array([nodes[i] for i, _ in links], pa.string()),
+            "b": pa.array([nodes[j] for _, j in links], pa.string()),
+        })
+
+    return run
+
+
+def _link_clusters(
+    buckets: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, similarity: tuple[int, int]
+) -> DataFrame:
+    """``labels`` after comparing all sets that buckets connect.
+
+    Nodes that buckets connect form a cluster. A cluster is dealt into blocks of bounded
+    size, and each two of its blocks are compared in one task, which counts shared elements and returns
+    the links it takes to join the similar ones: no pair is ever a row.
+    """
+    members = apart(buckets, labels).select("key", "node")
+    first = members.groupBy("key").agg(F.min("node").alias("b"))
+    clusters = connected(members.join(first, "key").select(F.col("node").alias("a"), "b"))
+    weight = F.conv(F.substring("node", 33, 8), 16, 10).cast("bigint")
+    sizes = clusters.groupBy("comp").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum(weight) / BLOCK_ELEMENTS)).cast("int").alias("_blocks")
+    )
+    own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("_blocks") - 1, F.lit(0))))
+    dealt = (
+        clusters.join(sizes, "comp").select("comp", "node", own.alias("_own"), other.alias("_other"))
+        .select("comp", "node", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
+    )
+    links = store(
+        dealt.join(texts, "node").groupBy("comp", "_i", "_j").applyInArrow(
+            _compare_block(shingle, similarity), "a string, b string"
+        ),
+        "links",
+    )
+    return join_links(labels, links)
+
+
 def text_key(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
@@ -152,7 +292,10 @@ def sketches(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """One row per document: _id, _hash (of the text), _n (set size), node (of the set), _keys (of the bands)."""
+    """One row per document: _id, _hash (of the text), _n (set size), node and _keys (of the bands).
+
+    A node is a set's digest with its size; documents with equal sets have one node.
+    """
     kind = docs.schema[id_col].dataType
     schema = T.StructType([
         T.StructField("_id", kind), T.StructField("_hash", T.LongType()), T.StructField("_n", T.LongType()),
@@ -173,26 +316,32 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
         ).select("node", F.col("_first._id").alias("_id"), F.col("_first._hash").alias("_hash"), "_keys"),
         "nodes",
     )
-    banded = nodes.select("node", F.explode("_keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("key")
-    buckets = store(banded.join(shared, "key").select("key", "node"), "buckets")
+    buckets = store(_several(nodes.select("node", F.explode("_keys").alias("key"))), "buckets")
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "_id", "_hash")
     source = docs.select(F.col(id_col).alias("_did"), F.col(text_col).alias("_text"), text_key(text_col).alias("_dhash"))
-    texts = store(
-        source.join(wanted, F.col("_did").eqNullSafe(F.col("_id")) & (F.col("_dhash") == F.col("_hash")))
+    texts = store_text(
+        source.filter(probably_in(wanted, "_hash", "_dhash"))
+        .join(wanted, F.col("_did").eqNullSafe(F.col("_id")) & (F.col("_dhash") == F.col("_hash")))
         .groupBy("node").agg(F.first("_text").alias("_text")),
         "texts",
     )
     schema = T.StructType([T.StructField("node", T.StringType()), T.StructField("rep", T.StringType())])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        with_text = pairs.join(texts, "node")
+        # a smaller set is at most all of the larger one: sizes are the last 8 digits of a node
+        sizes = [F.conv(F.substring(c, 33, 8), 16, 10).cast("bigint") for c in ("node", "rep")]
+        near = F.least(*sizes) * similarity[1] >= F.greatest(*sizes) * similarity[0]
+        with_text = pairs.filter(near).join(texts, "node")
         reps = texts.select(F.col("node").alias("rep"), F.col("_text").alias("_rep_text"))
-        return with_text.join(reps, "rep").select("node", "rep", "_text", "_rep_text").mapInArrow(
-            _similar(shingle, similarity), schema
+        return (
+            with_text.join(reps, "rep").select("node", "rep", "_text", "_rep_text").sortWithinPartitions("rep")
+            .mapInArrow(_similar(shingle, similarity), schema)
         )
 
-    labels = link_buckets(buckets, verify)
+    labels = first_links(buckets, verify)
+    left = apart(buckets, labels).select("node").distinct()
+    second = store(_several(rare_shingles(texts.join(left, "node"), shingle, similarity)), "rare")
+    labels = _link_clusters(second, labels, texts, shingle, similarity)
     members = nodes.select("node", "_id", "_hash").join(labels, "node", "left").withColumn(
         "comp", F.coalesce("comp", "node")
     )
@@ -244,11 +393,11 @@ def drop_near_duplicates(
         .withColumn("_single", (F.col("_rows") == 1) | F.col("_node").isNull())
     )
     stay = store(stay.select(F.col("_id").alias("_kid"), F.col("_hash").alias("_khash"), "_single"), "stay")
-    named = docs.withColumn("_dhash", text_key(text_col))
-    kept = named.join(stay, named[id_col].eqNullSafe(F.col("_kid")) & (F.col("_dhash") == F.col("_khash")))
-    single = kept.filter("_single").select(*docs.columns)
+    named = docs.select(packed(docs), F.col(id_col).alias("_did"), text_key(text_col).alias("_dhash"))
+    kept = named.join(stay, F.col("_did").eqNullSafe(F.col("_kid")) & (F.col("_dhash") == F.col("_khash")))
+    single = kept.filter("_single").select("_doc.*")
     if stay.filter("NOT _single").isEmpty():
         return single
-    order = W.partitionBy(id_col, "_dhash").orderBy(*[c for c in docs.columns if c not in (id_col, text_col)])
+    order = W.partitionBy("_did", "_dhash").orderBy("_doc")
     first = kept.filter("NOT _single").withColumn("_rank", F.row_number().over(order)).filter("_rank = 1")
-    return single.unionByName(first.select(*docs.columns))
+    return single.unionByName(first.select("_doc.*"))
