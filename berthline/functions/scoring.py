@@ -91,6 +91,11 @@ def _derived_plain() -> dict[str, str]:
     }
 
 
+def reads_current_power(profile: str, overrides: PowerOverrides = PowerOverrides()) -> bool:
+    """Whether the estimate depends on a machine's current draw."""
+    return check_profile(profile) == "plain" and overrides.ram_power_per_gb is None
+
+
 def incremental_watts(profile: str = "floored", overrides: PowerOverrides = PowerOverrides()) -> Column:
     """Estimated extra draw of a machine that takes the request."""
     per_unit = _derived_floored() if check_profile(profile) == "floored" else _derived_plain()

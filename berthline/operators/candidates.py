@@ -22,6 +22,9 @@ BLOCK_RESOURCES = ("gpu", "ram")
 BLOCK_SALTS = 8
 
 
+POWER_COLUMNS = ("current_cpu_power_w", "current_gpu_power_w")
+
+
 def with_remaining(machines: DataFrame) -> DataFrame:
     """Total minus used for the four resources."""
     return machines.withColumns({REMAINING[r]: F.expr(f"{TOTALS[r]} - {USED[r]}") for r in RESOURCES})
@@ -39,11 +42,16 @@ def request_shapes(tasks: DataFrame) -> DataFrame:
     return fill_requests(tasks).groupBy(*REQUEST_COLUMNS).agg(F.count(F.lit(1)).alias("n_tasks"))
 
 
-def machine_classes(machines: DataFrame) -> DataFrame:
-    """Distinct (spec, usage, power) states: smallest machine id, member count, remaining capacity."""
+def machine_states(machines: DataFrame, power: bool = True) -> DataFrame:
+    """Machines with what tells them apart: spec, usage and, unless nothing reads it, the current draw."""
     require_columns(machines, MACHINE_COLUMNS, "machine snapshot")
-    filled = machines.withColumns({c: coalesce_zero(c) for c in MACHINE_COLUMNS})
-    grouped = filled.groupBy(*MACHINE_COLUMNS).agg(
+    read = [c for c in MACHINE_COLUMNS if power or c not in POWER_COLUMNS]
+    return machines.withColumns({c: coalesce_zero(c) if c in read else F.lit(0.0) for c in MACHINE_COLUMNS})
+
+
+def machine_classes(machines: DataFrame, power: bool = True) -> DataFrame:
+    """Distinct (spec, usage, power) states: smallest machine id, member count, remaining capacity."""
+    grouped = machine_states(machines, power).groupBy(*MACHINE_COLUMNS).agg(
         F.min("machine_id").alias("class_id"), F.count(F.lit(1)).alias("n_machines")
     )
     return with_remaining(grouped)

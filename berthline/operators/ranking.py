@@ -7,8 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from berthline.functions import scoring
-from berthline.functions.numeric import coalesce_zero
-from berthline.operators.candidates import capable_pairs, fill_requests, machine_classes, request_shapes
+from berthline.operators.candidates import capable_pairs, fill_requests, machine_classes, machine_states, request_shapes
 from berthline.operators.skew import salted_join
 from berthline.schemas import MACHINE_COLUMNS, REMAINING, REQUEST_COLUMNS
 
@@ -50,9 +49,9 @@ def _ninth_decimal(c: str) -> Column:
     return F.floor(F.col(c) * F.lit(1e9) + F.lit(0.5))
 
 
-def class_members(machines: DataFrame, k: int) -> DataFrame:
+def class_members(machines: DataFrame, k: int, power: bool = True) -> DataFrame:
     """The k smallest machine ids of every class, next to the class id."""
-    filled = machines.withColumns({c: coalesce_zero(c) for c in MACHINE_COLUMNS})
+    filled = machine_states(machines, power)
     same = W.partitionBy(*MACHINE_COLUMNS)
     return (
         filled.select(*MACHINE_COLUMNS, "machine_id", F.row_number().over(same.orderBy("machine_id")).alias("_nth"))
@@ -77,7 +76,8 @@ def rank_shapes(
     if k < 1:
         raise ValueError("k must be at least 1")
     shapes = shapes.select(*REQUEST_COLUMNS)
-    classes = machine_classes(machines)
+    power = scoring.reads_current_power(profile, overrides)
+    classes = machine_classes(machines, power)
     extrema = candidate_extrema(
         with_raw_scores(capable_pairs(shapes, classes), profile, overrides), REQUEST_COLUMNS
     )
@@ -89,7 +89,7 @@ def rank_shapes(
     if k == 1:
         best = best.withColumn("machine_id", F.col("class_id"))
     else:
-        listed = best.drop("rank").join(class_members(machines, k), "class_id")
+        listed = best.drop("rank").join(class_members(machines, k, power), "class_id")
         best = listed.withColumn("rank", F.row_number().over(per_shape.orderBy(*score_order("machine_id")))).filter(
             F.col("rank") <= k
         )
