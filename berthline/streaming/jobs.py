@@ -59,10 +59,16 @@ def place_stream(
     tasks: DataFrame, machines: DataFrame, allocations: Callable[[], DataFrame], scorer, rules: PlacementRules,
     path: str, checkpoint: str, available_now: bool = True,
 ) -> StreamingQuery:
-    """Place arriving tasks against the pool and the ledger as it is when their batch starts."""
+    """Place arriving tasks against the pool and the ledger as it is when their batch starts.
+
+    A batch reads the allocations that are active at some time between its first and its last
+    arrival; no others matter for it, and a ledger stored by time is pruned to them.
+    """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        placed = place_snapshot(df, machines, allocations(), scorer, rules)
+        first, last = df.agg(F.min("arrival_ms"), F.max("arrival_ms")).first()
+        active = allocations().filter((F.col("start_ms") <= F.lit(last)) & (F.col("finish_ms") > F.lit(first)))
+        placed = place_snapshot(df, machines, active, scorer, rules)
         placed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return start(tasks, batch, checkpoint, available_now=available_now)

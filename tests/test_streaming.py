@@ -1,7 +1,10 @@
 from pyspark.sql import functions as F
 
+from berthline.plans.catalog import load_share
+from berthline.plans.placement import PlacementRules, place_snapshot
 from berthline.session import scratch_path
 from berthline.streaming import jobs as st
+from tests.helpers import fleet, ledger, machine, random_ledger, task, workload
 
 
 def test_rows_later_than_the_watermark_are_dropped(spark, tmp_path):
@@ -38,3 +41,28 @@ def test_releases_follow_the_watermark(spark, tmp_path):
     st.start(st.occupancy_state(stream, shards=2), st.append_to(out), scratch_path(spark, "release-state")).awaitTermination()
     got = {(r.task_id, r.released_ms) for r in st.read_appended(spark, out, st.RELEASE_SCHEMA).collect()}
     assert got == {(10, 2 * day), (11, 3 * day), (12, day + 5)}
+
+
+def test_batches_of_tasks_are_placed_like_all_at_once(spark, tmp_path):
+    """Several files, one a batch, of which the last repeats nothing and lies far from the others."""
+    pool = [machine(i, i % 5) for i in range(8)]
+    rows = ledger(spark, random_ledger(6, 80, 8, 200))
+    tasks = [task(i, cpu=1 + i % 9, ram=1 + i % 30, arrival_ms=(i % 3) * 70_000 + i // 3 * 5000) for i in range(30)]
+    source = tmp_path / "in"
+    for third in range(3):
+        workload(spark, [t for t in tasks if t[0] % 3 == third]).coalesce(1).write.mode("append").parquet(str(source))
+    everything = spark.read.parquet(str(source))
+    stream = spark.readStream.schema(everything.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    out, machines = scratch_path(spark, "placed"), fleet(spark, pool)
+    st.place_stream(stream, machines, lambda: rows, load_share, PlacementRules(), out, scratch_path(spark, "placed-state")).awaitTermination()
+    want = place_snapshot(everything, machines, rows, load_share, PlacementRules())
+    got = st.read_appended(spark, out, want.schema)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_newest_row_of_each_key(spark, tmp_path):
+    for batch, rows in enumerate([[("a", 1), ("b", 1)], [("a", 2)], [("b", 5), ("c", 3)]]):
+        spark.createDataFrame(rows, "k string, n int").write.parquet(f"{tmp_path}/batch_id={batch}")
+    schema = spark.createDataFrame([], "k string, n int").schema
+    got = {r.k: r.n for r in st.read_newest(spark, str(tmp_path), schema, ["k"]).collect()}
+    assert got == {"a": 2, "b": 5, "c": 3}
