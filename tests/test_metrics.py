@@ -114,3 +114,19 @@ def test_quantiles_are_exact_for_a_hot_key(spark):
 def test_histogram_clamps_one_and_shows_empty_bins(spark):
     bins = {r.bin: r.n for r in rp.sla_histogram(spark.createDataFrame([(1.0,), (0.0,), (None,)], "sla_probability double")).collect()}
     assert len(bins) == 20 and bins[19] == 1 and bins[0] == 1 and sum(bins.values()) == 2
+
+
+def test_rows_without_a_score_are_left_out_everywhere(spark):
+    whole = [(1, 0.9), (0, 0.2), (1, 0.6), (0, 0.7)]
+    rows = spark.createDataFrame([*whole, (1, None), (0, None), (None, 0.5)], "y int, p double")
+    clean = spark.createDataFrame(whole, "y int, p double")
+    for metric in (mt.roc_auc, mt.average_precision, mt.log_loss, mt.threshold_sweep, mt.fit_temperature, mt.evaluate_report):
+        assert sorted(metric(rows).collect()) == sorted(metric(clean).collect())
+    assert tuple(mt.unscored_counts(rows).first()) == (3, 4)
+
+
+def test_a_null_key_is_a_key(spark):
+    rows = spark.createDataFrame([(k, y, p) for k in ("a", None) for y, p in ((1, 0.9), (0, 0.2), (1, 0.1))], "k string, y int, p double")
+    for metric in (mt.roc_auc, mt.average_precision, mt.evaluate_report):
+        got = {r["k"]: tuple(r)[1:] for r in metric(rows, keys=["k"]).collect()}
+        assert got[None] == got["a"]

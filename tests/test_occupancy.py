@@ -96,3 +96,19 @@ def test_nested_history_flattens_and_unpivots(spark):
     assert flat.first().active_tasks == 2
     long = {r.resource: r.utilization for r in ld.unpivot_utilization(flat, ["machine_id", "time"]).collect()}
     assert long == {"CPU": 50.0, "GPU": 0.0, "RAM": 25.0}
+
+
+def test_a_millisecond_clock_reaches_today(spark):
+    now = 1_700_000_000_123
+    fleet_of_two = fleet(spark, [machine(1), machine(2)])
+    busy = ledger(spark, [(1, 1, now - 5, now + 5, 1.0, 0.0, 0.0, 1.0)])
+    at = spark.createDataFrame([(now,), (now + 5,)], "time_ms long")
+    got = {r.time_ms: (r.n_busy, r.n_free, r.first_free_id) for r in oc.busy_counts(at, busy, fleet_of_two, quantum_ms=1).collect()}
+    assert got == {now: (1, 1, 2), now + 5: (0, 2, 1)}
+
+
+def test_an_instant_beyond_the_clock_is_an_error(spark):
+    empty = ledger(spark, [(1, 1, 0, 1, 1.0, 0.0, 0.0, 1.0)])
+    late = spark.createDataFrame([(3_600_000 << 20,)], "time_ms long")
+    with pytest.raises(Exception, match="is not a multiple of"):
+        oc.busy_counts(late, empty, fleet(spark, [machine(1)]), quantum_ms=3_600_000, bits=20).collect()
