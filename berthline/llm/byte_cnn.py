@@ -153,10 +153,14 @@ def fit_languages(
     known = docs.select(
         F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")
     ).filter("_lang IS NOT NULL AND _id IS NOT NULL AND _text IS NOT NULL").filter(~held_out("_id"))
-    counts = known.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per language, as many as the network has outputs
+    counts = {r["_lang"]: r["n"] for r in known.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return fit_byte_cnn(np.zeros((0, WINDOW), dtype=np.uint8), np.zeros(0, dtype=int), [])
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, max_rows / n)])
     drawn = (
-        known.withColumn("_u", unit(F.xxhash64(F.lit(SEED), "_id"))).join(counts, "_lang")
-        .filter(F.col("_u") < F.lit(float(max_rows)) / F.col("_n"))
+        known.withColumn("_u", unit(F.xxhash64(F.lit(SEED), "_id")))
+        .filter(F.col("_u") < F.element_at(share, F.col("_lang"))).limit(2 * max_rows * len(counts))
     )
     # evenly spaced windows of each drawn text, cut before they leave the executors
     at = F.sequence(F.lit(0), F.lit(FIT_WINDOWS - 1))
