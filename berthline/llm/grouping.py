@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from berthline.session import store
 
 #: Representatives of a bucket in the first round of link_apart, and how they multiply from round to round.
-REPRESENTATIVES, WIDEN = 16, 8
+REPRESENTATIVES, WIDEN = 1, 64
+
+Near = Callable[[Column, Column], Column]
+
+
+def _any(node: Column, rep: Column) -> Column:
+    return F.lit(True)
 
 
 def _roots(parent: DataFrame) -> DataFrame:
@@ -57,12 +63,14 @@ def connected(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def first_links(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, comp) after comparing every node with one other, the smallest of those it shares a bucket with."""
+def first_links(
+    buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Near = _any
+) -> DataFrame:
+    """(node, comp) after comparing every node with one other, the smallest head of its buckets that is near."""
     smallest = buckets.groupBy("key").agg(F.min("node").alias("rep"))
     pairs = store(
-        buckets.join(smallest, "key").groupBy("node").agg(F.min("rep").alias("rep"))
-        .filter(F.col("node") != F.col("rep")),
+        buckets.join(smallest, "key").filter((F.col("node") != F.col("rep")) & near(F.col("node"), F.col("rep")))
+        .groupBy("node").agg(F.min("rep").alias("rep")),
         "pairs",
     )
     # every node has one link at most, to a smaller node: the links are a forest already
@@ -93,7 +101,9 @@ def join_links(labels: DataFrame, links: DataFrame) -> DataFrame:
     return store(_follow(labels, connected(between)), "labels")
 
 
-def link_apart(buckets: DataFrame, labels: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_apart(
+    buckets: DataFrame, labels: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Near = _any
+) -> DataFrame:
     """``labels`` (node, comp) after every two components that share a bucket have been compared.
 
     Members are compared with representatives of their bucket, not with each other. The
@@ -114,7 +124,7 @@ def link_apart(buckets: DataFrame, labels: DataFrame, verify: Callable[[DataFram
             "reps",
         )
         fresh = (
-            live.join(reps, "key").filter(F.col("comp") != F.col("_rep_comp"))
+            live.join(reps, "key").filter((F.col("comp") != F.col("_rep_comp")) & near(F.col("node"), F.col("rep")))
             .select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")).distinct()
         )
         for old in tried:
@@ -128,12 +138,15 @@ def link_apart(buckets: DataFrame, labels: DataFrame, verify: Callable[[DataFram
         width, turn = width * WIDEN, turn + 1
 
 
-def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_buckets(
+    buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Near = _any
+) -> DataFrame:
     """(node, comp) of the components that the verified links inside buckets form.
 
     ``buckets`` has distinct (key, node) rows and is read several times; ``verify`` takes
-    pairs (node, rep) and returns those that are links. Members that turn out to be linked
+    pairs (node, rep) and returns those that are links; ``near`` is a cheap test that every link
+    passes. Members that turn out to be linked
     need no further comparison, as one more link inside a component changes nothing. Nodes
     without a link may be left out.
     """
-    return link_apart(buckets, first_links(buckets, verify), verify)
+    return link_apart(buckets, first_links(buckets, verify, near), verify, near)

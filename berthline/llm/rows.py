@@ -14,6 +14,8 @@ from berthline.session import scratch_path
 BUCKETS = 4
 #: Bits of a filter on hashes, 8 MB.
 FILTER_BITS = 1 << 26
+#: Bits of a filter that is a broadcast table, 262,144 numbers at most.
+MARK_BITS = 1 << 24
 
 
 def packed(df: DataFrame) -> Column:
@@ -67,6 +69,20 @@ def probably_in(wanted: DataFrame, hash_col: str, probe: str) -> Column:
     return marked(F.col(probe))
 
 
+def keep_marked(df: DataFrame, probe: str, wanted: DataFrame, hash_col: str) -> DataFrame:
+    """The rows of ``df`` whose 64-bit hash ``probe`` may be among those of ``wanted``, by DataFrame functions only.
+
+    Like ``probably_in``, with MARK_BITS bits as a broadcast table of at most MARK_BITS / 64 numbers.
+    """
+    slot = F.pmod(F.col(hash_col), F.lit(MARK_BITS))
+    marks = wanted.select(slot.alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_slot & 63L AS int))")).alias("_marks")
+    )
+    asked = df.withColumn("_probe", F.pmod(F.col(probe), F.lit(MARK_BITS)))
+    joined = asked.join(F.broadcast(marks), F.shiftright("_probe", 6) == F.col("_word"))
+    return joined.filter(F.expr("getbit(_marks, cast(_probe & 63L AS int)) = 1")).select(*df.columns)
+
+
 def bucket_count(df: DataFrame) -> int:
     return BUCKETS * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
