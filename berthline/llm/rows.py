@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,6 +38,18 @@ def with_row_key(df: DataFrame) -> DataFrame:
     return keyed.withColumn("_copy", F.row_number().over(W.partitionBy("_row").orderBy("_doc")))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of fewer rows for the jobs inside, so that batches of texts stay small."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def store_text(df: DataFrame, name: str) -> DataFrame:
     """Like ``berthline.session.store`` for tables that are mostly text: compressed harder."""
     path = scratch_path(df.sparkSession, name)

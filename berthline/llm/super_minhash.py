@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from berthline.llm.grouping import apart, connected, first_links, join_links
-from berthline.llm.rows import packed, probably_in, store_text
+from berthline.llm.rows import packed, probably_in, small_batches, store_text
 from berthline.llm.text import LOWER, NON_SPACE, mix, slices, word_hashes, words
 from berthline.session import store
 
@@ -306,8 +306,17 @@ def sketches(
     ).select("_id", "_hash", "_text").mapInArrow(_sketch(shingle, bands, rows), schema)
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: tuple[int, int], bands: int, rows: int) -> DataFrame:
+def _grouped(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: tuple[int, int], bands: int, rows: int
+) -> DataFrame:
     """_id, _hash, _n, node, _group (smallest id of the component; the own id without words) and _best (its hash)."""
+    with small_batches(docs.sparkSession):
+        return _grouped_now(docs, id_col, text_col, shingle, similarity, bands, rows)
+
+
+def _grouped_now(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: tuple[int, int], bands: int, rows: int
+) -> DataFrame:
     rows_of = store(sketches(docs, id_col, text_col, shingle, bands, rows), "sketches")
     nodes = store(
         rows_of.filter("node IS NOT NULL").groupBy("node").agg(

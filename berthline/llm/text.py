@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one step works on; a longer single text is a step of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _POWERS: dict[str, np.ndarray] = {}
