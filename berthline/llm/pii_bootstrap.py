@@ -105,15 +105,25 @@ def _loose(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int,
 
 
 def _contexts(text: str, a: int, b: int) -> list[str]:
-    """Lexical patterns of a span on its line: the two words before it, and the words on either side."""
-    left = max(text.rfind("\n", 0, a) + 1, a - 80)
-    before = [_TRIM.sub("", w).lower() for w in text[left:a].split()[-2:]]
-    behind = [_TRIM.sub("", w).lower() for w in text[b : b + 40].split("\n", 1)[0].split()[:1]]
+    """Lexical patterns of a span on its line: the two words before it, the words on either side, and the word before alone.
+
+    <s> and </s> stand for the start and the end of the line; punctuation is no word.
+    """
+    line = text.rfind("\n", 0, a) + 1
+    left, right = max(line, a - 80), text[b : b + 40].split("\n", 1)
+    before = [w for w in (_TRIM.sub("", x).lower() for x in text[left:a].split()) if w][-2:]
+    behind = [w for w in (_TRIM.sub("", x).lower() for x in right[0].split()) if w][:1]
+    if len(before) < 2 and left == line:
+        before.insert(0, "<s>")
+    if not behind and (len(right) > 1 or b + 40 >= len(text)):
+        behind = ["</s>"]
     found = []
-    if len(before) == 2 and all(before):
+    if len(before) == 2:
         found.append("2 " + " ".join(before))
-    if before and before[-1] and behind and behind[0]:
+    if before and behind:
         found.append(f"1 {before[-1]} _ {behind[0]}")
+    if before and before[-1] != "<s>":
+        found.append(f"b {before[-1]}")
     return found
 
 

@@ -82,3 +82,20 @@ def test_long_runs_take_linear_time():
     for text in ("a" * 200_000 + "@", "1" * 200_000, "1." * 100_000, "+1" + " (" * 100_000, "a@" * 100_000, "1 " * 100_000):
         pii_bootstrap.base_spans(text)
         list(pii_bootstrap._loose(text, []))
+
+
+def test_contexts_at_the_ends_of_lines():
+    def at(text, span):
+        return pii_bootstrap._contexts(text, text.index(span), text.index(span) + len(span))
+
+    assert at("x\nPhone: 555-1234\ny", "555-1234") == ["2 <s> phone", "1 phone _ </s>", "b phone"]
+    assert at("555-1234 is mine", "555-1234") == ["1 <s> _ is"]
+    assert at("x\n555-1234", "555-1234") == ["1 <s> _ </s>"]
+
+
+def test_labels_find_looser_identifiers(spark):
+    rows = [(i, f"oak lake\nPhone: +1 555 123 {1000 + i}\nriver stone") for i in range(30)]
+    rows += [(100, "contact\nPhone: 555 123 9999"), (101, "weights\nTotal: 555 123 9999")]
+    got = {r.doc_id: r for r in pii_bootstrap.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[100].spans == "phone:15:27" and got[100].n_phone == 0
+    assert got[101].spans == ""
