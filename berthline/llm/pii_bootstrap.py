@@ -4,7 +4,8 @@ Strict patterns find e-mail addresses, IP addresses, card and phone numbers. The
 have contexts, the words around them. Identifiers of a looser form that stand in the same
 contexts form a graph with them: a context is trusted as far as the identifiers in it are,
 an identifier as far as its contexts are. Some rounds of scoring over that graph find the
-contexts that announce a kind of data, and those add the looser identifiers they hold.
+contexts that announce a kind of data, and those add the looser identifiers they hold. What
+they add counts as seeds from then on and brings its own contexts, until nothing is added.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from berthline.session import store
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
+#: Times at most that found identifiers become seeds.
+HOPS = 10
 #: A context adds identifiers from this confidence on, and with this many different seeds.
 CONFIDENCE, SEEDS = 0.8, 4
 
@@ -157,22 +160,14 @@ _SLOTS = pa.list_(pa.struct([
 _SPAN_TYPE = "array<struct<k:int,s:bigint,e:bigint>>"
 
 
-def trusted_contexts(
-    slots: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, seeds: int = SEEDS
-) -> DataFrame:
-    """(context, kind) pairs that announce a kind of data.
-
-    ``slots`` has one row per identifier occurrence and context: context, instance, kind
-    (null if no strict pattern matched) and fits (kinds its form allows, as bits).
-    """
-    known = slots.filter("kind IS NOT NULL").select("context", "kind").distinct()
+def _scored(pairs: DataFrame, seeds: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """edges (context, kind, instance, seed, open), and patterns (context, kind, p and n, its seeds)."""
+    known = pairs.join(seeds, "instance").select("context", "kind").distinct()
+    marked = seeds.select("instance", "kind", F.lit(True).alias("_seed"))
     # instances of every context that has a seed of a kind; a loose instance counts for that kind if its form fits
     edges = store(
-        slots.groupBy("context", "instance").agg(
-            F.max("kind").alias("own"), F.bit_or("fits").alias("fits")
-        ).join(known, "context").select(
-            "context", "kind", "instance",
-            (F.col("own").eqNullSafe(F.col("kind"))).alias("seed"),
+        pairs.join(known, "context").join(marked, ["instance", "kind"], "left").select(
+            "context", "kind", "instance", F.coalesce("_seed", F.lit(False)).alias("seed"),
             (F.col("own").isNull() & (F.col("fits").bitwiseAND(F.expr("shiftleft(1, kind)")) != 0)).alias("open"),
         ),
         "edges",
@@ -197,7 +192,35 @@ def trusted_contexts(
             edges.filter("open").join(patterns.filter(F.col("n") >= 2), ["context", "kind"])
             .groupBy("instance", "kind").agg((F.lit(1.0) - F.exp(doubt)).alias("t"))
         )
-    return patterns.filter((F.col("p") >= confidence) & (F.col("n") >= seeds)).select("context", "kind")
+    return edges, patterns
+
+
+def trusted_contexts(
+    slots: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, seeds: int = SEEDS, hops: int = HOPS
+) -> DataFrame:
+    """(context, kind) pairs that announce a kind of data.
+
+    ``slots`` has one row per identifier occurrence and context: context, instance, kind
+    (null if no strict pattern matched) and fits (kinds its form allows, as bits). The loose
+    instances of trusted contexts are seeds of the next hop; the last one adds none, or is the
+    one after ``hops`` others.
+    """
+    pairs = store(
+        slots.groupBy("context", "instance").agg(F.max("kind").alias("own"), F.bit_or("fits").alias("fits")), "slots"
+    )
+    sure = store(pairs.filter("own IS NOT NULL").select("instance", F.col("own").alias("kind")).distinct(), "seeds")
+    for hop in range(hops + 1):
+        edges, patterns = _scored(pairs, sure, rounds)
+        trusted = patterns.filter((F.col("p") >= confidence) & (F.col("n") >= seeds)).select("context", "kind")
+        if hop < hops:
+            found = store(
+                edges.filter("open AND NOT seed").join(trusted, ["context", "kind"]).select("instance", "kind").distinct(),
+                "found",
+            )
+            if found.isEmpty():
+                break
+            sure = store(sure.unionByName(found), "seeds")
+    return trusted
 
 
 def _format(spans: Column) -> Column:

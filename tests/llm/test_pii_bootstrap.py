@@ -99,3 +99,17 @@ def test_labels_find_looser_identifiers(spark):
     got = {r.doc_id: r for r in pii_bootstrap.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got[100].spans == "phone:15:27" and got[100].n_phone == 0
     assert got[101].spans == ""
+
+
+def test_found_identifiers_find_further_ones(spark):
+    rng = random.Random(7)
+    filler = lambda: " ".join(rng.choice(("oak", "lake", "stone", "river", "cloud")) for _ in range(6))
+    # strict seeds vouch for "please mail", what that finds for "kindly ask", which has no strict seed
+    rows = [(i, f"{filler()} please mail user{i}@mail{i}.example.com {filler()}") for i in range(60)]
+    rows += [(100 + i, f"{filler()} please mail root{i}@localhost {filler()}") for i in range(8)]
+    rows += [(200 + i, f"{filler()} kindly ask root{i}@localhost {filler()}") for i in range(8)]
+    rows += [(300, f"{filler()} kindly ask admin@intranet {filler()}"), (301, f"{filler()} never mind admin@elsewhere {filler()}")]
+    got = {r.doc_id: r.spans for r in pii_bootstrap.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    at = dict(rows)[300].index("admin@")
+    assert got[300] == f"email:{at}:{at + len('admin@intranet')}"
+    assert got[301] == ""
