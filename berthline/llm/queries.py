@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from berthline.llm import (
-    byte_cnn, content_sort, decontaminate, fair_queue, fuzzy_lines, interleave, pii_bootstrap, quality_gam, super_minhash, url_filter,
+    byte_cnn, content_sort, decontaminate, fair_queue, fuzzy_lines, interleave, merkle_witness, multi_index_hash, pii_bootstrap, qd_whitening,
+    quality_gam, super_minhash, url_filter,
 )
 from corpus_pipeline import ORACLE_SQL, run
 
@@ -56,6 +57,18 @@ def op10_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_queue.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_qd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qd_whitening.whitening_report(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_witness.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_multi_index_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index_hash.nearest_of_every_20th(_table(spark, sf_dir, "embeddings"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
@@ -67,6 +80,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_personal_data": op9_personal_data,
     "op10_fair_queue": op10_fair_queue,
+    "op11_qd_whitening": op11_qd_whitening,
+    "op12_merkle_witness": op12_merkle_witness,
+    "op13_multi_index_hash": op13_multi_index_hash,
     "pipeline": run,
 }
 
@@ -79,5 +95,53 @@ LLM_ORACLES: dict[str, str] = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id ASC NULLS LAST)""",
+    "op12_merkle_witness": r"""
+        WITH RECURSIVE
+        fields AS (
+            SELECT *, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text] AS f,
+                   [doc_id::VARCHAR, source, lang, (n_chars + 1)::VARCHAR, text] AS g,
+                   list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                       lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                           lambda x, bit: xor(x >> 1, (x & 1) * 3988292384))) AS crc
+            FROM documents),
+        leaves AS (
+            SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+                   sha256(array_to_string(list_transform(f, lambda v: coalesce(strlen(v) || ':' || v, '-')), '')) AS leaf,
+                   CASE WHEN xor(crc, 4294967295) % 7 = 0 AND n_chars IS NOT NULL
+                        THEN sha256(array_to_string(list_transform(g, lambda v: coalesce(strlen(v) || ':' || v, '-')), '')) END AS changed
+            FROM fields),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                   count(*) OVER (PARTITION BY tree) AS n, row_number() OVER () AS r
+            FROM leaves),
+        nodes(tree, k, pos, h, n) AS (
+            SELECT tree, 0, pos, leaf, n FROM placed
+            UNION ALL
+            SELECT tree, k + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2
+            FROM nodes WHERE n > 1 GROUP BY tree, k, pos // 2, n),
+        subroots AS (SELECT tree, h, k AS height, count(*) OVER () AS trees FROM nodes WHERE n = 1),
+        tops(k, pos, h, n) AS (
+            SELECT 0, tree, h, trees FROM subroots
+            UNION ALL
+            SELECT k + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2
+            FROM tops WHERE n > 1 GROUP BY k, pos // 2, n),
+        path(r, k, pos, tree, height, h, proof) AS (
+            SELECT r, 0, pos, p.tree, s.height, coalesce(changed, leaf), '' FROM placed p JOIN subroots s ON p.tree = s.tree
+            UNION ALL
+            SELECT r, p.k + 1, p.pos // 2, p.tree, height,
+                   sha256(CASE WHEN p.pos % 2 = 1 THEN s.h || p.h ELSE p.h || coalesce(s.h, '') END), proof || coalesce(s.h, '')
+            FROM path p LEFT JOIN nodes s ON s.tree = p.tree AND s.k = p.k AND s.pos = xor(p.pos, 1)
+            WHERE p.k < height),
+        climb(r, k, pos, h, proof) AS (
+            SELECT r, 0, tree, h, proof FROM path WHERE k = height
+            UNION ALL
+            SELECT r, p.k + 1, p.pos // 2,
+                   sha256(CASE WHEN p.pos % 2 = 1 THEN s.h || p.h ELSE p.h || coalesce(s.h, '') END), proof || coalesce(s.h, '')
+            FROM climb p LEFT JOIN tops s ON s.k = p.k AND s.pos = xor(p.pos, 1)
+            WHERE p.k < (SELECT max(k) FROM tops)),
+        top AS (SELECT k, h FROM tops WHERE n = 1)
+        SELECT doc_id, leaf, s.h AS subroot, top.h AS root, sha256(c.proof) AS proof_sha256, c.h AS folded_root,
+               c.h = top.h AS verified
+        FROM placed p JOIN subroots s ON p.tree = s.tree JOIN climb c ON c.r = p.r JOIN top ON c.k = top.k""",
     **({"pipeline": ORACLE_SQL} if ORACLE_SQL else {}),
 }
