@@ -96,8 +96,8 @@ def reads_current_power(profile: str, overrides: PowerOverrides = PowerOverrides
     return check_profile(profile) == "plain" and overrides.ram_power_per_gb is None
 
 
-def incremental_watts(profile: str = "floored", overrides: PowerOverrides = PowerOverrides()) -> Column:
-    """Estimated extra draw of a machine that takes the request."""
+def unit_watts(profile: str = "floored", overrides: PowerOverrides = PowerOverrides()) -> dict[str, str]:
+    """Watts that one requested unit of each resource adds on a machine, as SQL."""
     per_unit = _derived_floored() if check_profile(profile) == "floored" else _derived_plain()
     given = {
         "cpu": overrides.cpu_power_per_core,
@@ -106,6 +106,12 @@ def incremental_watts(profile: str = "floored", overrides: PowerOverrides = Powe
         "ram": overrides.ram_power_per_gb,
     }
     per_unit.update({r: number(v) for r, v in given.items() if v is not None})
+    return per_unit
+
+
+def incremental_watts(profile: str = "floored", overrides: PowerOverrides = PowerOverrides()) -> Column:
+    """Estimated extra draw of a machine that takes the request."""
+    per_unit = unit_watts(profile, overrides)
     watts = " + ".join(f"({per_unit[r]}) * {REQUESTS[r]}" for r in RESOURCES)
     return F.expr(f"greatest({number(TOTAL_FLOOR_W)}, {watts})" if profile == "floored" else watts)
 

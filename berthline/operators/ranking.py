@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 
 from berthline.functions import scoring
 from berthline.operators.candidates import capable_pairs, fill_requests, machine_classes, machine_states, request_shapes
+from berthline.operators.pruning import pruned_pairs, surviving_classes
 from berthline.operators.skew import salted_join
 from berthline.schemas import MACHINE_COLUMNS, REMAINING, REQUEST_COLUMNS
+from berthline.session import store
+
+#: Pairs of request shapes and machine classes from which it pays to decide for boxes of requests first.
+PRUNE_FROM = 1 << 27
 
 SCORE_COLUMNS = ["watts", "fit_raw", "energy_score", "fit_score", "final_score"]
 
@@ -60,28 +65,42 @@ def class_members(machines: DataFrame, k: int, power: bool = True) -> DataFrame:
     )
 
 
+def scored_candidates(
+    shapes: DataFrame, classes: DataFrame, alpha: float = 0.5, profile: str = "floored",
+    overrides: scoring.PowerOverrides = scoring.PowerOverrides(), k: int = 1, prune: bool | None = None,
+) -> DataFrame:
+    """Request shapes with the classes that can be among their k best, scored against all their candidates.
+
+    The candidate pairs are never shuffled: one pass reduces them to four extrema per shape, a
+    second one scores them. ``prune`` first leaves out the classes that matter to no request of
+    a box of requests (exact; see ``pruning``); unless given, it depends on the number of pairs.
+    """
+    shapes, classes = store(shapes.select(*REQUEST_COLUMNS), "request-shapes"), store(classes, "machine-classes")
+    if prune is None:
+        prune = shapes.count() * classes.count() >= PRUNE_FROM
+    if prune:
+        shapes, classes = surviving_classes(shapes, classes, alpha, profile, overrides, k)
+    pairs, keys = (pruned_pairs, [*REQUEST_COLUMNS, "_cell"]) if prune else (capable_pairs, REQUEST_COLUMNS)
+    extrema = candidate_extrema(with_raw_scores(pairs(shapes, classes), profile, overrides), keys)
+    return with_scores(with_raw_scores(pairs(extrema, classes), profile, overrides), alpha, profile)
+
+
 def rank_shapes(
     shapes: DataFrame, machines: DataFrame, alpha: float = 0.5, profile: str = "floored",
-    overrides: scoring.PowerOverrides = scoring.PowerOverrides(), k: int = 1,
+    overrides: scoring.PowerOverrides = scoring.PowerOverrides(), k: int = 1, prune: bool | None = None,
 ) -> DataFrame:
     """The k best machines of every request shape.
 
-    The candidate pairs are never shuffled: one pass reduces them to four extrema per
-    shape, a second pass scores them and keeps k classes per shape before the exchange.
-    A class can only hold one of the k best machines if its smallest id is among the k
-    best smallest ids, so members are listed for those classes alone.
+    k classes per shape are kept before the exchange. A class can only hold one of the k best
+    machines if its smallest id is among the k best smallest ids, so members are listed for
+    those classes alone.
     """
     scoring.check_alpha(alpha)
     scoring.check_profile(profile)
     if k < 1:
         raise ValueError("k must be at least 1")
-    shapes = shapes.select(*REQUEST_COLUMNS)
     power = scoring.reads_current_power(profile, overrides)
-    classes = machine_classes(machines, power)
-    extrema = candidate_extrema(
-        with_raw_scores(capable_pairs(shapes, classes), profile, overrides), REQUEST_COLUMNS
-    )
-    scored = with_scores(with_raw_scores(capable_pairs(extrema, classes), profile, overrides), alpha, profile)
+    scored = scored_candidates(shapes, machine_classes(machines, power), alpha, profile, overrides, k, prune)
     per_shape = W.partitionBy(*REQUEST_COLUMNS)
     best = scored.withColumn("rank", F.row_number().over(per_shape.orderBy(*score_order("class_id")))).filter(
         F.col("rank") <= k
@@ -98,10 +117,10 @@ def rank_shapes(
 
 def rank_placements(
     tasks: DataFrame, machines: DataFrame, alpha: float = 0.5, profile: str = "floored",
-    overrides: scoring.PowerOverrides = scoring.PowerOverrides(), k: int = 1,
+    overrides: scoring.PowerOverrides = scoring.PowerOverrides(), k: int = 1, prune: bool | None = None,
 ) -> DataFrame:
     """The k best machines of every task against one snapshot of the fleet."""
-    best = rank_shapes(request_shapes(tasks), machines, alpha, profile, overrides, k)
+    best = rank_shapes(request_shapes(tasks), machines, alpha, profile, overrides, k, prune)
     return salted_join(fill_requests(tasks), best, REQUEST_COLUMNS, ["task_id"])
 
 

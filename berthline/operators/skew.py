@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 DEFAULT_SALTS = 8
 
 
-def spread(df: DataFrame, columns: list[str]) -> DataFrame:
+def spread(df: DataFrame, columns: list[str], hashed: bool = True) -> DataFrame:
     """Deal a short frame out over all tasks, for steps that multiply its rows.
 
     Keyed by a hash of the columns: partitioning by the columns themselves would count as
     given after a grouping, and that grouping's exchange may be merged into one partition.
+    Two frames that are joined on the columns next are dealt out by the columns (not ``hashed``).
     """
     spark = df.sparkSession
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(width, F.xxhash64(*[F.col(c) for c in columns]))
+    by = [F.xxhash64(*columns)] if hashed else [F.col(c) for c in columns]
+    return df.repartition(width, *by)
 
 
 def hold_nulls(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -81,6 +81,13 @@ def rank_topk(spark, sf):
     return _ranked(spark, sf, k=10)
 
 
+@query(with_ctes(op.MACHINES_CTE, op.FRACTIONAL_TASKS_CTE, op.ranked(0.5, "floored", 3)) + _RANKED)
+def rank_pruned(spark, sf):
+    """Requests that hardly repeat: classes are ruled out for boxes of requests before pairs are formed."""
+    best = ranking.rank_placements(fx.fractional_tasks(spark, sf), fx.machines(spark, sf), k=3, prune=True)
+    return best.select("task_id", F.col("rank").cast("bigint").alias("rank"), "machine_id", *r6(*_SCORES))
+
+
 @query(with_ctes(op.MACHINES_CTE, op.TASKS_CTE, op.ranked(0.4, "plain", 1)) + _RANKED)
 def rank_plain_profile(spark, sf):
     return _ranked(spark, sf, alpha=0.4, profile="plain")

@@ -61,6 +61,20 @@ def tasks_of(orders: DataFrame) -> DataFrame:
     return o.withColumns(request_values("task_id")).withColumn("execution_time", seconds)
 
 
+def fractional_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One task per order whose requests are fractions of its price and hardly repeat."""
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("task_id"), epoch_ms("o_orderdate").alias("arrival_ms"),
+        F.expr("CAST(o_totalprice AS DOUBLE) / 1000.0D - floor(CAST(o_totalprice AS DOUBLE) / 1000.0D)").alias("_u"),
+        F.expr("CAST(o_totalprice AS DOUBLE) / 7.0D - floor(CAST(o_totalprice AS DOUBLE) / 7.0D)").alias("_v"),
+    )
+    gpu = F.col("task_id") % 3 == 0
+    return o.withColumns({
+        "req_cpu_cores": F.expr("0.25D + 7.0D * _u"), "req_gpu_cores": F.when(gpu, F.expr("500.0D * _v")).otherwise(0.0),
+        "req_gpu_vram_gb": F.when(gpu, F.expr("15.0D * _u")).otherwise(0.0), "req_ram_gb": F.expr("0.5D + 20.0D * _v"),
+    }).drop("_u", "_v")
+
+
 def allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One allocation per line item: quantity hours from the ship date."""
     return allocations_of(table(spark, sf_dir, "lineitem"))

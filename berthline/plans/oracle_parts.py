@@ -41,6 +41,15 @@ TASKS_CTE = f"""tasks AS (
   FROM orders
 )"""
 
+FRACTIONAL_TASKS_CTE = """tasks AS (
+  SELECT o_orderkey AS task_id, CAST(0.25 AS DOUBLE) + CAST(7 AS DOUBLE) * u AS req_cpu_cores,
+    CASE WHEN o_orderkey % 3 = 0 THEN CAST(500 AS DOUBLE) * v ELSE CAST(0 AS DOUBLE) END AS req_gpu_cores,
+    CASE WHEN o_orderkey % 3 = 0 THEN CAST(15 AS DOUBLE) * u ELSE CAST(0 AS DOUBLE) END AS req_gpu_vram_gb,
+    CAST(0.5 AS DOUBLE) + CAST(20 AS DOUBLE) * v AS req_ram_gb
+  FROM (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) / CAST(1000 AS DOUBLE) - floor(CAST(o_totalprice AS DOUBLE) / CAST(1000 AS DOUBLE)) AS u,
+    CAST(o_totalprice AS DOUBLE) / CAST(7 AS DOUBLE) - floor(CAST(o_totalprice AS DOUBLE) / CAST(7 AS DOUBLE)) AS v FROM orders) x
+)"""
+
 ALLOCATIONS_CTE = f"""allocations AS (
   SELECT l_orderkey AS task_id, l_suppkey AS machine_id, {epoch('l_shipdate')} AS start_ms,
     {epoch('l_shipdate')} + CAST(l_quantity * 3600000 AS BIGINT) AS finish_ms, {requests('l_orderkey')}

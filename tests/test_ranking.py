@@ -4,7 +4,7 @@ import pytest
 
 from berthline.functions.scoring import PowerOverrides
 from berthline.operators import candidates as cd
-from berthline.operators import ranking
+from berthline.operators import pruning, ranking
 from berthline.schemas import FEATURE_COLUMNS, REQUEST_COLUMNS
 from tests.helpers import brute_rank, fleet, machine, task, workload
 
@@ -68,10 +68,12 @@ def test_missing_machine_columns_are_listed(spark):
         ranking.rank_placements(workload(spark, [task(1)]), bare)
 
 
+@pytest.mark.parametrize("prune", [False, True])
 @pytest.mark.parametrize("profile,alpha,overrides", [
     ("floored", 0.5, {}), ("floored", 0.3, {3: 0.2}), ("plain", 0.4, {}), ("plain", 0.7, {0: 2.0, 1: 0.01}),
+    ("floored", 0.0, {}), ("floored", 1.0, {}),
 ])
-def test_matches_one_by_one_scoring(spark, profile, alpha, overrides):
+def test_matches_one_by_one_scoring(spark, profile, alpha, overrides, prune):
     rng = random.Random(5)
     pool = [
         machine(i, i % 5, used=(rng.randrange(4), rng.choice([0, 128]) if i % 5 in (1, 2, 4) else 0, 0, rng.randrange(8)),
@@ -81,7 +83,7 @@ def test_matches_one_by_one_scoring(spark, profile, alpha, overrides):
     tasks = [task(i, rng.randrange(0, 9), rng.choice([0, 0, 100, 600.5]), rng.choice([0, 0, 7]), rng.randrange(1, 40))
              for i in range(60)]
     names = ["cpu_power_per_core", "gpu_power_per_core", "gpu_vram_power_per_gb", "ram_power_per_gb"]
-    got = ranked(spark, pool, tasks, profile=profile, alpha=alpha, k=4,
+    got = ranked(spark, pool, tasks, profile=profile, alpha=alpha, k=4, prune=prune,
                  overrides=PowerOverrides(**{names[i]: v for i, v in overrides.items()}))
     for t in tasks:
         want = brute_rank(pool, t[2:6], alpha, profile, overrides)[:4]
@@ -109,3 +111,49 @@ def test_features_come_in_order_with_power_from_snapshot_or_constants(spark):
 def test_null_requests_count_as_zero(spark):
     tasks = workload(spark, [(1, 0, None, None, None, None, 1.0)])
     assert cd.fill_requests(tasks).select(*REQUEST_COLUMNS).first() == (0.0, 0.0, 0.0, 0.0)
+
+
+def real_world(rng, n_machines, n_tasks):
+    """Machines of mixed makes and usage, and requests that hardly repeat."""
+    pool = []
+    for i in range(n_machines):
+        spec = dict(
+            cpu_cores_total=float(rng.randrange(4, 129)), ram_total_gb=float(rng.randrange(8, 513)),
+            cpu_watts=rng.uniform(40, 400), gpu_watts=rng.uniform(0, 600),
+            gpu_cores_total=float(rng.choice([0, 1024, 8192])), gpu_vram_total_gb=float(rng.choice([0, 16, 128])),
+        )
+        used = [spec[c] * rng.random() for c in ("cpu_cores_total", "gpu_cores_total", "gpu_vram_total_gb", "ram_total_gb")]
+        pool.append(machine(i, 0, used=used, **spec))
+    tasks = [task(i, rng.uniform(0.5, 16), rng.choice([0, 0, rng.uniform(1, 2000)]), rng.choice([0, 0, rng.uniform(1, 30)]),
+                  rng.uniform(0.5, 64)) for i in range(n_tasks)]
+    return pool, tasks
+
+
+@pytest.mark.parametrize("k,alpha,profile", [(1, 0.5, "floored"), (3, 0.2, "plain"), (5, 0.8, "floored")])
+def test_pruning_changes_no_rank(spark, k, alpha, profile):
+    pool, tasks = real_world(random.Random(k), 150, 300)
+    got = ranked(spark, pool, tasks, profile=profile, alpha=alpha, k=k, prune=True)
+    assert len(got) == sum(min(k, len(brute_rank(pool, t[2:6], alpha, profile))) for t in tasks)
+    for t in tasks:
+        for i, w in enumerate(brute_rank(pool, t[2:6], alpha, profile)[:k]):
+            row = got[(t[0], i + 1)]
+            assert row.machine_id == w[3] and row.final_score == pytest.approx(w[0], abs=1e-8)
+
+
+def test_real_valued_requests_form_few_pairs(spark):
+    pool, _ = real_world(random.Random(1), 400, 0)
+    rng = random.Random(2)
+    centres = [(rng.uniform(1, 16), rng.choice([0, rng.uniform(100, 2000)]), rng.choice([0, rng.uniform(1, 30)]), rng.uniform(1, 64))
+               for _ in range(25)]
+    tasks = [task(i, *[c * rng.uniform(0.99, 1.01) for c in rng.choice(centres)]) for i in range(5000)]
+    shapes = cd.request_shapes(workload(spark, tasks)).drop("n_tasks").cache()
+    classes = cd.machine_classes(fleet(spark, pool), False).cache()
+    placed, survivors = pruning.surviving_classes(shapes, classes, 0.5, k=1)
+    few, all_pairs = pruning.pruned_pairs(placed, survivors).count(), cd.capable_pairs(shapes, classes).count()
+    assert shapes.count() == 5000 and all_pairs > 200_000
+    assert few * 10 <= all_pairs
+
+
+def test_requests_that_are_no_numbers_find_no_machine(spark):
+    rows = ranked(spark, [machine(1, 0)], [task(1, cpu=float("nan")), task(2, cpu=float("inf")), task(3)], prune=True)
+    assert set(rows) == {(3, 1)}
