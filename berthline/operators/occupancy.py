@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from berthline.functions.numeric import coalesce_zero, ratio, rounded
 from berthline.operators.skew import integer_bucket, running_totals, salted_join
 from berthline.schemas import REQUESTS, RESOURCES, TOTALS, USED
+from berthline.session import store
 
 # Width of the time buckets in which running totals are formed: wide enough that a machine's
 # buckets stay far fewer than its changes, narrow enough that the busiest machine's bucket
@@ -226,6 +227,46 @@ def free_members(
     return _join_blocks(ticks, blocks, bits, asked).select("time_ms", *classes, "machine_id")
 
 
+def first_members(
+    asked: DataFrame, spans: DataFrame, quantum_ms: int = 1000, bits: int | None = None, digit: int = 8
+) -> DataFrame:
+    """The ``n`` smallest ids among the machines in a span at an instant, over the classes of a unit.
+
+    ``asked`` has a row (time_ms, unit, class_id, n) for each class of a unit. The cover blocks
+    count their members by leading digits of the id, so the ids are found like the n-th key of a search
+    tree: digit by digit, only where one of the n smallest can lie. Returns (time_ms, unit, slot, machine_id).
+    """
+    members = store(
+        cover_blocks(spans, quantum_ms, bits).select("class_id", "block_size", "block", "machine_id"), "block-members"
+    )
+    ends = members.agg(F.min("machine_id").alias("lo"), F.max("machine_id").alias("hi")).first()
+    empty = asked.select("time_ms", "unit", F.lit(0).cast("bigint").alias("slot"), F.lit(0).cast("bigint").alias("machine_id"))
+    if ends.lo is None:
+        return empty.limit(0)
+    width = clock_bits(quantum_ms, bits)
+    near = asked.withColumn("tick", instant_tick("time_ms", quantum_ms, bits)).withColumn(
+        "_up", F.lit(0).cast("bigint")  # digits of the id that are known
+    )
+    levels = max(1, -(-(int(ends.hi) - int(ends.lo)).bit_length() // digit))
+    offset = F.col("machine_id") - F.lit(int(ends.lo))
+    for level in range(levels - 1, -1, -1):
+        counts = members.groupBy(
+            "class_id", "block_size", "block", F.shiftright(offset, digit * level).alias("_at")
+        ).agg(F.count(F.lit(1)).alias("_n")).withColumn("_up", F.shiftright("_at", digit))
+        met = _join_blocks(near, counts, width, ["class_id", "_up"])
+        found = store(met.groupBy("time_ms", "unit", "class_id", "n", "_at").agg(F.sum("_n").alias("_n")), "tree-level")
+        nodes = found.groupBy("time_ms", "unit", "n", "_at").agg(F.sum("_n").alias("_n"))
+        totals = running_totals(nodes, ["time_ms", "unit"], "_at", {"_upto": "_n"}, integer_bucket(F.col("_at"), 4096))
+        needed = totals.filter(F.col("_upto") - F.col("_n") < F.col("n"))
+        if not level:
+            return needed.select(
+                "time_ms", "unit", F.col("_upto").alias("slot"), (F.col("_at") + F.lit(int(ends.lo))).alias("machine_id")
+            )
+        kept = found.drop("_n").join(needed.select("time_ms", "unit", "_at"), ["time_ms", "unit", "_at"])
+        near = store(kept.withColumn("tick", instant_tick("time_ms", quantum_ms, bits)).withColumnRenamed("_at", "_up"), "tree-nodes")
+    return empty
+
+
 def busy_counts(
     instants: DataFrame, allocations: DataFrame, machines: DataFrame, quantum_ms: int = 1000, bits: int | None = None
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from berthline.functions import scoring
 from berthline.functions.numeric import coalesce_zero
 from berthline.operators.candidates import assemble_features, capable_pairs, fill_requests, machine_classes
 from berthline.operators.candidates import request_shapes
-from berthline.operators.occupancy import free_by_class, free_members, idle_spans
+from berthline.operators.occupancy import first_members, free_by_class, free_members, idle_spans
 from berthline.operators.ranking import score_order, with_raw_scores, with_scores
 from berthline.operators.skew import integer_bucket, ordered_rank, salted_join
 from berthline.schemas import (
@@ -160,11 +160,13 @@ def batch_assign(
 ) -> DataFrame:
     """Conflict-free machines for tasks that arrive at the same instant, earlier task ids first.
 
-    Every task asks its best unit, a class or a stretch of one; a unit serves as many of the
-    earliest askers as it has free machines, and the others ask their next unit. All share one
-    priority, so each round settles at least one more unit: the rounds are bounded by the number
-    of units, not of tasks, and all instants run together. Scores stay those of the instant's
-    snapshot. Instants without refusals leave the loop after their round.
+    Every task asks its best unit; a unit serves as many of the earliest askers as it has free
+    machines, and the others ask their next unit. All share one priority, so each round settles
+    at least one more unit: the rounds are bounded by the number of units, not of tasks or
+    machines, and all instants run together. A unit is a class, or several that score
+    alike for every request of the instant; only where classes score alike for some of its
+    requests and not for others is a unit a stretch along the machine ids. Scores stay those of the
+    instant's snapshot. Instants without refusals leave the loop after their round.
     """
     safe = store(
         rank_candidates(class_candidates(tasks, machines, allocations, scorer, rules)[0], rules).filter("safe").select(
@@ -173,14 +175,19 @@ def batch_assign(
         ),
         "safe",
     )
-    _, spans = _idle_classes(machines, allocations, rules)
-    listed = _stretches(safe, spans, rules)
-    sizes = listed.groupBy("arrival_ms", "class_id", "stretch").agg(
+    _, idle = _idle_classes(machines, allocations, rules)
+    spans = store(idle, "idle-spans")
+    units = store(_units(safe), "units")
+    merged = safe.join(units, ["arrival_ms", "class_id"]).groupBy("arrival_ms", *REQUEST_COLUMNS, "unit").agg(
+        F.sum("n_free").alias("n_free"), F.min("first_free_id").alias("first_free_id"), F.first("score").alias("score")
+    )
+    listed = _stretches(merged, units, spans, rules)
+    sizes = listed.groupBy("arrival_ms", "unit", "stretch").agg(
         F.count(F.lit(1)).alias("_n"), F.min("machine_id").alias("_first")
     )
     order = W.partitionBy("arrival_ms", *REQUEST_COLUMNS).orderBy("score", "first_free_id")
     prefs = store(
-        safe.join(sizes, ["arrival_ms", "class_id"], "left").withColumns(
+        merged.join(sizes, ["arrival_ms", "unit"], "left").withColumns(
             {
                 "n_free": F.coalesce("_n", "n_free"), "first_free_id": F.coalesce("_first", "first_free_id"),
                 "stretch": F.coalesce("stretch", F.lit(0)),
@@ -196,7 +203,7 @@ def batch_assign(
         asking = state.join(prefs, ["arrival_ms", *REQUEST_COLUMNS, "pref"])
         placed = cut_lineage(
             ordered_rank(
-                asking, ["arrival_ms", "class_id", "stretch"], ["task_id"],
+                asking, ["arrival_ms", "unit", "stretch"], ["task_id"],
                 integer_bucket(F.col("task_id"), per_bucket), "slot",
             )
         )
@@ -214,51 +221,65 @@ def batch_assign(
     won = settled[0]
     for part in settled[1:]:
         won = won.unionByName(part)
-    return _name_machines(tasks, won, listed, spans, rules)
+    named = _name_machines(won, units, listed, spans, rules)
+    classes = spans.select("machine_id", "class_id").distinct()
+    facts = safe.select("arrival_ms", *REQUEST_COLUMNS, "class_id", F.col("p").alias("sla_probability"), "final_score")
+    scored = named.join(classes, "machine_id").join(facts, ["arrival_ms", *REQUEST_COLUMNS, "class_id"]).select(
+        "task_id", "machine_id", "sla_probability", "final_score"
+    )
+    return tasks.select("task_id", "arrival_ms").join(scored, "task_id", "left").withColumn(
+        "status", F.when(F.col("machine_id").isNotNull(), F.lit("assigned")).otherwise(F.lit("unassigned"))
+    )
 
 
-def _listed(asked: DataFrame, spans: DataFrame, rules: PlacementRules) -> DataFrame:
-    """The idle machines of the asked classes only (arrival_ms, class_id)."""
-    instants = asked.select(F.col("arrival_ms").alias("time_ms"), "class_id")
-    found = free_members(instants, spans, ["class_id"], rules.quantum_ms, rules.cover_bits)
-    return found.select(F.col("time_ms").alias("arrival_ms"), "class_id", "machine_id")
+def _units(safe: DataFrame) -> DataFrame:
+    """(arrival_ms, class_id, unit): classes that are safe for the same requests of an instant with equal scores share one.
+
+    Two classes are told apart by two 64-bit hashes over their (request, score) rows and the number of those.
+    """
+    row = [*[F.col(c) for c in REQUEST_COLUMNS], F.col("score")]
+    marks = safe.groupBy("arrival_ms", "class_id").agg(
+        *[F.bit_xor(F.xxhash64(F.lit(i), *row)).alias(f"_mark{i}") for i in range(2)], F.count(F.lit(1)).alias("_rows")
+    )
+    twins = W.partitionBy("arrival_ms", "_mark0", "_mark1", "_rows")
+    return marks.select("arrival_ms", "class_id", F.min("class_id").over(twins).alias("unit"))
 
 
-def _stretches(safe: DataFrame, spans: DataFrame, rules: PlacementRules) -> DataFrame:
-    """Idle machines of the classes that score alike for some request, cut where the class changes.
+def _stretches(merged: DataFrame, units: DataFrame, spans: DataFrame, rules: PlacementRules) -> DataFrame:
+    """Idle machines of the units that score alike for some request but not for all, cut where the unit changes.
 
-    Equal scores fall to the smaller machine id, so such classes take turns along the ids:
-    in the order of ids, neighbours of one class form a stretch (arrival_ms, class_id,
-    stretch, slot, machine_id), and stretches can be ranked like classes. A window holds the
-    idle machines of these classes at one instant.
+    Equal scores fall to the smaller machine id, so such units take turns along the ids:
+    in the order of ids, neighbours of one unit form a stretch (arrival_ms, unit,
+    stretch, slot, machine_id), and stretches can be ranked like units.
     """
     alike = W.partitionBy("arrival_ms", *REQUEST_COLUMNS, "score")
-    tied = safe.withColumn("_alike", F.count(F.lit(1)).over(alike)).filter("_alike > 1")
-    members = _listed(tied.select("arrival_ms", "class_id").distinct(), spans, rules)
+    tied = merged.withColumn("_alike", F.count(F.lit(1)).over(alike)).filter("_alike > 1")
+    asked = tied.select("arrival_ms", "unit").distinct().join(units, ["arrival_ms", "unit"])
+    instants = asked.select(F.col("arrival_ms").alias("time_ms"), "class_id")
+    found = free_members(instants, spans, ["class_id"], rules.quantum_ms, rules.cover_bits)
+    members = found.select(F.col("time_ms").alias("arrival_ms"), "class_id", "machine_id").join(asked, ["arrival_ms", "class_id"])
     along = W.partitionBy("arrival_ms").orderBy("machine_id")
-    turn = F.coalesce(F.lag("class_id").over(along) != F.col("class_id"), F.lit(True))
+    turn = F.coalesce(F.lag("unit").over(along) != F.col("unit"), F.lit(True))
     cut = members.withColumn("_turn", turn.cast("int")).withColumn("stretch", F.sum("_turn").over(along))
     nth = F.row_number().over(W.partitionBy("arrival_ms", "stretch").orderBy("machine_id"))
-    return store(cut.drop("_turn").withColumn("slot", nth), "stretches")
+    return store(cut.select("arrival_ms", "unit", "stretch", "machine_id", nth.alias("slot")), "stretches")
 
 
 def _name_machines(
-    tasks: DataFrame, won: DataFrame, stretches: DataFrame, spans: DataFrame, rules: PlacementRules
+    won: DataFrame, units: DataFrame, stretches: DataFrame, spans: DataFrame, rules: PlacementRules
 ) -> DataFrame:
-    """The n-th asker of a unit gets its n-th free machine; only units with several askers list theirs."""
-    unit = ["arrival_ms", "class_id", "stretch"]
+    """The n-th asker of a unit gets its n-th free machine; the first one's is known already."""
+    unit = ["arrival_ms", "unit", "stretch"]
     taken = store(won.groupBy(*unit).agg(F.max("slot").alias("n_taken")).filter("n_taken > 1"), "shared")
-    whole = taken.filter("stretch = 0")
-    nth = F.row_number().over(W.partitionBy("arrival_ms", "class_id").orderBy("machine_id"))
-    of_classes = _listed(whole, spans, rules).withColumns({"stretch": F.lit(0).cast("bigint"), "slot": nth})
-    slots = (
-        of_classes.select(*unit, "slot", "machine_id").unionByName(stretches.select(*unit, "slot", "machine_id"))
-        .join(taken, unit).filter("slot <= n_taken AND slot > 1").drop("n_taken")
+    asked = taken.filter("stretch = 0").join(units, ["arrival_ms", "unit"]).select(
+        F.col("arrival_ms").alias("time_ms"), "unit", "class_id", F.col("n_taken").alias("n")
     )
-    named = won.join(slots, [*unit, "slot"], "left").select(
-        "task_id", F.when(F.col("slot") == 1, F.col("first_free_id")).otherwise(F.col("machine_id")).alias("machine_id"),
-        F.col("p").alias("sla_probability"), "final_score",
+    of_units = first_members(asked, spans, rules.quantum_ms, rules.cover_bits).select(
+        F.col("time_ms").alias("arrival_ms"), "unit", F.lit(0).cast("bigint").alias("stretch"), "slot", "machine_id"
     )
-    return tasks.select("task_id", "arrival_ms").join(named, "task_id", "left").withColumn(
-        "status", F.when(F.col("machine_id").isNotNull(), F.lit("assigned")).otherwise(F.lit("unassigned"))
+    of_stretches = stretches.join(taken, unit).filter("slot <= n_taken").select(*unit, "slot", "machine_id")
+    slots = of_units.unionByName(of_stretches).filter("slot > 1")
+    return won.join(slots, [*unit, "slot"], "left").select(
+        "task_id", "arrival_ms", *REQUEST_COLUMNS,
+        F.when(F.col("slot") == 1, F.col("first_free_id")).otherwise(F.col("machine_id")).alias("machine_id"),
     )

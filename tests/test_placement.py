@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from berthline.ml.serving import external_scorer
 from berthline.plans.catalog import load_share
+from berthline.operators.occupancy import first_members
+from berthline.plans import placement
 from berthline.plans.placement import PlacementRules, batch_assign, place_snapshot
+from berthline.session import cut_lineage
 from tests.helpers import brute_rank, fleet, ledger, machine, random_ledger, task, workload
 
 RULES = PlacementRules()
@@ -109,3 +112,46 @@ def test_a_task_without_arrival_has_a_status_of_its_own(spark):
     none = ledger(spark, [(1, 99, 0, 1, 1.0, 0.0, 0.0, 1.0)])
     out = place_snapshot(tasks, fleet(spark, [machine(1, 0)]), none, load_share, RULES)
     assert [r.status for r in out.collect()] == ["no_arrival_time"]
+
+
+def test_ten_thousand_machines_of_two_alternating_specs(spark, monkeypatch):
+    """Specs that score alike form one unit: one round, however often they take turns along the ids."""
+    pool = [{**machine(i, 0), "cpu_cores_total": 8.0, "cpu_watts": 8.0 if i % 2 else 4.0} for i in range(10_000)]
+    tasks = [task(i, cpu=1, ram=1) for i in range(3000)] + [task(3000 + i, cpu=1, ram=1, arrival_ms=5000) for i in range(2)]
+    busy = ledger(spark, [(1, 7, 0, 4000, 1.0, 0.0, 0.0, 1.0), (2, 8, 0, 60_000, 1.0, 0.0, 0.0, 1.0)])
+    rounds = []
+    monkeypatch.setattr(placement, "cut_lineage", lambda df: rounds.append(1) or cut_lineage(df))
+    out = batch_assign(workload(spark, tasks), fleet(spark, pool), busy, load_share, RULES)
+    got = {r.task_id: r.machine_id for r in out.collect()}
+    free = [i for i in range(10_000) if i not in (7, 8)]
+    assert [got[i] for i in range(3000)] == free[:3000]
+    assert (got[3000], got[3001]) == (0, 1)
+    assert len(rounds) == 1
+
+
+def test_specs_that_tie_for_some_requests_only_take_turns(spark):
+    """Fits of equal totals tie without a gpu request; with one, only the machines with gpus compete."""
+    pool = [{**machine(i, 1 if i % 2 else 0), "cpu_cores_total": 8.0, "cpu_watts": 8.0, "ram_total_gb": 8.0,
+             "gpu_cores_total": 1000.0 if i % 2 else 0.0, "gpu_vram_total_gb": 0.0, "gpu_watts": 1.0 if i % 2 else 0.0}
+            for i in range(12)]
+    tasks = [task(i, cpu=1, gpu=1000 if i % 3 == 0 else 0, ram=1) for i in range(14)]
+    none = ledger(spark, [(1, 99, 0, 1, 1.0, 0.0, 0.0, 1.0)])
+    never = lambda df: df.withColumn("p", F.lit(0.0))
+    out = batch_assign(workload(spark, tasks), fleet(spark, pool), none, never, RULES)
+    got = {r.task_id: r.machine_id for r in out.collect()}
+    taken, want = set(), {}
+    for t in tasks:
+        choices = [r[3] for r in brute_rank(pool, t[2:6]) if r[3] not in taken]
+        want[t[0]] = choices[0] if choices else None
+        taken.add(want[t[0]])
+    assert got == want
+
+
+def test_first_members_follow_the_ids(spark):
+    ids = [3, -5, 70_000, 256, 257, 12, 1 << 40]
+    spans = spark.createDataFrame([(m, m % 2, 0, None if m != 256 else 2000) for m in ids],
+                                  "machine_id long, class_id long, from_ms long, to_ms long")
+    asked = spark.createDataFrame([(1000, 1, 0, 4), (1000, 1, 1, 4), (3000, 2, 0, 9)], "time_ms long, unit long, class_id long, n long")
+    got = {(r.time_ms, r.unit, r.slot): r.machine_id for r in first_members(asked, spans).collect()}
+    even = sorted(i for i in ids if i % 2 == 0 and i != 256)
+    assert got == {(1000, 1, i + 1): m for i, m in enumerate(sorted(ids)[:4])} | {(3000, 2, i + 1): m for i, m in enumerate(even)}
