@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from berthline.operators.skew import integer_bucket, ordered_rank
+from berthline.operators.skew import integer_bucket, ordered_rank, running_totals, spread
 from berthline.schemas import SPEC_COLUMNS, SPEC_RANGES, presets
 
+#: Machines of a request that one row lists.
+CHUNK = 4096
+
 
 def preset_lookup(requests: DataFrame) -> DataFrame:
     """Attach preset specs by preset name (the preset table has a fixed five rows)."""
@@ -22,13 +25,17 @@ def pool_sequence(machines: DataFrame, order: list[str], bucket) -> DataFrame:
 def build_pool(requests: DataFrame, order: str = "request_id", per_bucket: int = 4096) -> DataFrame:
     """One machine per requested unit, named ``preset-N`` with N counted over the pool.
 
-    ``requests`` has request_id (its order), preset and count.
+    ``requests`` has request_id (its order), preset and count. The units before a request are
+    added up over the requests, so no unit is ranked. A request becomes rows of at most CHUNK
+    units that are dealt out over the tasks before its machines are listed.
     """
-    units = preset_lookup(requests).filter("count >= 1").withColumn(
-        "unit", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))
+    asked = preset_lookup(requests).filter("count >= 1").withColumn("_n", F.col("count").cast("bigint"))
+    placed = running_totals(asked, [], order, {"_upto": "_n"}, integer_bucket(F.col(order), per_bucket))
+    chunks = placed.withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (_n - 1) div {CHUNK})")))
+    dealt = spread(chunks, [order, "_chunk"]).withColumn(
+        "_unit", F.explode(F.expr(f"sequence(_chunk * {CHUNK} + 1, least((_chunk + 1) * {CHUNK}, _n))"))
     )
-    bucket = integer_bucket(F.col(order), per_bucket)
-    numbered = pool_sequence(units, [order, "unit"], bucket)
+    numbered = dealt.withColumn("seq", F.col("_upto") - F.col("_n") + F.col("_unit"))
     return numbered.select(
         F.col("seq").cast("bigint").alias("machine_id"),
         F.format_string("%s-%d", F.col("preset"), F.col("seq")).alias("machine_name"),

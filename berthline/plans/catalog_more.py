@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from berthline.functions.numeric import lehmer_sql
-from berthline.ml.learners import train
-from berthline.ml.serving import external_scorer, load_model, model_status, save_model, score
+from berthline.ml.learners import search_forest, train, train_patiently
+from berthline.ml.serving import external_scorer, load_model, model_status, save_model, saved_metrics, score
+from berthline.ml.stumps import search_stumps
 from berthline.operators import intake, ledger as ld, metrics as mt, occupancy as oc, reports as rp, splits
 from berthline.plans import catalog as ct
 from berthline.plans import fixtures as fx
 from berthline.plans import oracle_parts as op
 from berthline.plans import reporting
 from berthline.plans.catalog import ORACLES, query, r6, with_ctes
+from berthline.plans.training import train_evaluate
 from berthline.schemas import FEATURE_COLUMNS, MODEL_META_SCHEMA, TOTALS, USED
 from berthline.session import scratch_path
 from berthline.sources import files
@@ -141,8 +143,8 @@ def read_tasks(spark, sf):
     + ", ".join(f"round({c}, 6) AS {c}" for c in FEATURE_COLUMNS) + ", sla_violation FROM features"
 )
 def read_features_and_labels(spark, sf):
-    """Features and labels written as files of their own and joined again by their order."""
-    rows = fx.features(spark, sf).orderBy("row_id").coalesce(1)
+    """Features and labels written as ordered files of their own and joined again by their order."""
+    rows = fx.features(spark, sf).orderBy("row_id")
     features = files.write_csv(rows.select(*FEATURE_COLUMNS), scratch_path(spark, "features"))
     labels = files.write_csv(rows.select("sla_violation"), scratch_path(spark, "labels"))
     joined = files.attach_labels(files.read_features(spark, features), files.read_labels(spark, labels))
@@ -221,13 +223,60 @@ def saved_model(spark, sf):
     """A trained model scores alike after it was saved and loaded."""
     rows = fx.features(spark, sf)
     root = scratch_path(spark, "models")
-    model = train("lr", rows, overrides={"maxIter": 20})
+    model = train("lr", rows)
     save_model(model, root, "first", spark, threshold=0.7)
     loaded, meta = load_model(root, "first", spark)
     both = score(loaded, score(model, rows.select("row_id", *FEATURE_COLUMNS)).withColumnRenamed("p", "p0"))
-    status = model_status(spark, root, ["first"]).select("available", "threshold")
-    counted = both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("p") - F.col("p0")) < 1e-12).alias("n_same"))
-    return counted.crossJoin(status) if meta["kind"] == "pipeline" else counted
+    status = model_status(spark, root, [meta["name"]]).first()
+    return both.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("p") - F.col("p0")) < 1e-12).alias("n_same"),
+        F.lit(status["available"]).alias("available"), F.lit(status["threshold"]).alias("threshold"),
+    )
+
+
+# ---- searches and training results without SQL ----------------------------------------------
+
+
+@query()
+def train_gb(spark, sf):
+    """The preset of 300 rounds, saved with its calibration and metrics, which are read back."""
+    trained = train_evaluate("gb", *ct._train_test(spark, sf))
+    root = scratch_path(spark, "models")
+    trained.save(root, "gb")
+    metrics = trained.metrics
+    return saved_metrics(spark, root, "gb", metrics.schema).select(*metrics.columns)
+
+
+@query()
+def early_stopping(spark, sf):
+    """Loss of every fitted round on held-out rows, and the round at which patience cuts the model; a tenth of the labels is wrong."""
+    rows = fx.features(spark, sf).withColumn(
+        "sla_violation", F.when(F.crc32(F.col("row_id").cast("string")) % 10 == 0, 1 - F.col("sla_violation")).otherwise(F.col("sla_violation"))
+    )
+    fitted = train_patiently("xgb", rows, overrides={"maxIter": 160, "stepSize": 0.3}, patience=10)
+    kept = fitted.model.stages[-1].getNumTrees
+    losses = [(i + 1, loss, i + 1 == fitted.best_round, kept) for i, loss in enumerate(fitted.losses)]
+    return spark.createDataFrame(losses, "round int, loss double, chosen boolean, rounds_kept int")
+
+
+@query()
+def search_ada(spark, sf):
+    """Cross-validated accuracy of every setting of the stump grid."""
+    _, results = search_stumps(fx.features(spark, sf))
+    return spark.createDataFrame(
+        [(r["n_estimators"], r["learning_rate"], r["accuracy"]) for r in results],
+        "n_estimators int, learning_rate double, accuracy double",
+    )
+
+
+@query()
+def search_rf(spark, sf):
+    """Cross-validated accuracy of the draws of the randomised forest search."""
+    _, results = search_forest(fx.features(spark, sf))
+    return spark.createDataFrame(
+        [(r["numTrees"], r["maxDepth"], r["minInstancesPerNode"], r["featureSubsetStrategy"], r["accuracy"]) for r in results],
+        "trees int, depth int, leaf int, features string, accuracy double",
+    )
 
 
 # ---- report bundles ------------------------------------------------------------------------

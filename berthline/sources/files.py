@@ -49,17 +49,19 @@ def read_model_meta(spark: SparkSession, path: str) -> DataFrame:
 def number_rows(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Row numbers in file order, for sources that offer nothing else to join on.
 
-    Only meaningful for one ordered file. Rows are numbered within their partition and
-    shifted by the sizes of the partitions before it; nothing but those sizes is shuffled.
+    The order is that of the file names, then of the places in a file. ``df`` comes from a file
+    reader. Rows are numbered within their block of a file and shifted by the sizes of the blocks
+    before it; only those sizes are ordered as a whole.
     """
-    marked = df.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_seq"))
-    sizes = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    # one row per partition of the scan: a list of sizes, safe to broadcast
-    inside = F.col("_seq") - F.shiftleft(F.col("_part").cast("bigint"), 33)
-    numbered = marked.join(F.broadcast(offsets), "_part")
-    return numbered.select((F.col("_before") + inside).alias(name), *df.columns)
+    at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    marked = df.select("*", *at, F.monotonically_increasing_id().alias("_seq"))
+    # a block is read by one task, row after row, whatever other blocks that task reads
+    blocks = marked.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
+    before = W.partitionBy(F.lit(0)).orderBy("_file", "_start").rowsBetween(W.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
+    shifts = blocks.select(F.col("_file").alias("_f"), F.col("_start").alias("_s"), shift.alias("_shift"))
+    numbered = marked.join(shifts, (F.col("_file") == F.col("_f")) & (F.col("_start") == F.col("_s")))
+    return numbered.select((F.col("_seq") + F.col("_shift")).alias(name), *df.columns)
 
 
 def attach_labels(features: DataFrame, labels: DataFrame, row_id: str = "row_id") -> DataFrame:

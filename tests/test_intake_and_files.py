@@ -87,3 +87,30 @@ def test_stamped_exports(spark, tmp_path):
     assert spark.read.parquet(files.write_results(df, str(tmp_path / "p"), "parquet")).count() == 2
     with pytest.raises(ValueError):
         files.write_results(df, str(tmp_path), "xlsx")
+
+
+def test_rows_are_numbered_across_many_files_and_blocks(spark, tmp_path):
+    rows = spark.range(5000).select((F.col("id") % 2).cast("int").alias("sla_violation"), F.col("id"))
+    rows.orderBy("id").select("sla_violation").write.option("header", True).csv(str(tmp_path / "labels"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        numbered = files.number_rows(files.read_labels(spark, str(tmp_path / "labels")))
+        got = numbered.select("row_id", "sla_violation").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(r.row_id for r in got) == list(range(5000))
+    assert all(r.sla_violation == r.row_id % 2 for r in got)
+
+
+def test_one_large_request_is_listed_by_many_tasks(spark):
+    asked = spark.createDataFrame([(1, "Beast", 3), (2, "Small VM", 10_000_000), (3, "GPU Node", 2)], "request_id long, preset string, count long")
+    built = pool.build_pool(asked).withColumn("_part", F.spark_partition_id())
+    got = built.agg(F.count(F.lit(1)).alias("n"), F.min("machine_id").alias("lo"), F.max("machine_id").alias("hi"),
+                    F.sum("machine_id").alias("s"), F.count_distinct("_part").alias("parts")).first()
+    n = 10_000_005
+    assert (got.n, got.lo, got.hi, got.s) == (n, 1, n, n * (n + 1) // 2)
+    assert got.parts > 1
+    assert [r.machine_name for r in built.filter(F.col("machine_id").isin(3, 4, n)).orderBy("machine_id").collect()] == [
+        "Beast-3", "Small VM-4", f"GPU Node-{n}"]
