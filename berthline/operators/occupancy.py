@@ -8,6 +8,8 @@ and an instant lies in one block per size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ CLOCK_SPAN_MS = 1000 << 32
 LARGE_BLOCK_BITS = 10
 BLOCK_SALTS = 16
 BEGINNING_MS = -(1 << 60)
+#: Machines that busy_counts tries first, how they multiply, and from where on all others are tried at once.
+FIRST_TRIED, WIDEN, LAST_TRIED = 64, 32, 1 << 20
 
 
 def clock_bits(quantum_ms: int, bits: int | None = None) -> int:
@@ -119,10 +123,28 @@ def usage_spans(allocations: DataFrame, machines: DataFrame, bucket_ms: int = BU
 
 
 def idle_spans(allocations: DataFrame, machines: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
-    """Stretches in which a machine has no active task."""
-    return usage_spans(allocations, machines, bucket_ms).filter("active_tasks = 0").select(
-        "machine_id", "from_ms", "to_ms"
+    """Stretches [from_ms, to_ms) in which a machine of the fleet has no active task, the last one without an end.
+
+    Along the starts of a machine, it is idle from the latest finish so far to the next start. The latest
+    finish is taken bucket by bucket, like a running total, so a busy machine is not one task's.
+    """
+    held = allocations.filter(F.col("finish_ms") > F.col("start_ms")).select(
+        "machine_id", "start_ms", "finish_ms", time_bucket("start_ms", bucket_ms).alias("_bucket")
     )
+    fleet = machines.select("machine_id").distinct()
+    latest = held.groupBy("machine_id", "_bucket").agg(F.max("finish_ms").alias("_latest")).join(fleet, "machine_id")
+    buckets = W.partitionBy("machine_id").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    before = latest.select("machine_id", "_bucket", F.max("_latest").over(buckets).alias("_before"))
+    inside = W.partitionBy("machine_id", "_bucket").orderBy("start_ms").rowsBetween(W.unboundedPreceding, -1)
+    along = held.withColumn("_inside", F.max("finish_ms").over(inside)).join(before, ["machine_id", "_bucket"])
+    beginning = F.lit(BEGINNING_MS)
+    gaps = along.select(
+        "machine_id", F.coalesce(F.greatest("_before", "_inside"), beginning).alias("from_ms"), F.col("start_ms").alias("to_ms")
+    ).filter("from_ms < to_ms")
+    last = fleet.join(latest.groupBy("machine_id").agg(F.max("_latest").alias("_end")), "machine_id", "left").select(
+        "machine_id", F.coalesce("_end", beginning).alias("from_ms"), F.lit(None).cast("bigint").alias("to_ms")
+    )
+    return gaps.unionByName(last)
 
 
 def instant_tick(time_ms: str, quantum_ms: int, bits: int | None = None) -> Column:
@@ -267,20 +289,55 @@ def first_members(
     return empty
 
 
+def free_counts(instants: DataFrame, spans: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Per instant (time_ms): how many machines are in a span.
+
+    Instants join the stream of spans that begin and end as rows without effect, and one running
+    total answers all of them.
+    """
+    edges = "explode(array(struct(from_ms AS time_ms, 1L AS step), struct(to_ms AS time_ms, -1L AS step))) AS edge"
+    steps = spans.select(F.expr(edges)).select("edge.time_ms", "edge.step", F.lit(0).alias("asked")).filter("time_ms IS NOT NULL")
+    asked = instants.filter("time_ms IS NOT NULL").select("time_ms", F.lit(0).cast("bigint").alias("step"), F.lit(1).alias("asked"))
+    events = steps.unionByName(asked).groupBy("time_ms").agg(F.sum("step").alias("step"), F.max("asked").alias("asked"))
+    totals = running_totals(
+        events, [], "time_ms", {"n_free": "step", "asked_so_far": "asked"}, time_bucket("time_ms", bucket_ms)
+    )
+    return totals.filter("asked = 1 AND asked_so_far > 0").select("time_ms", "n_free")
+
+
 def busy_counts(
-    instants: DataFrame, allocations: DataFrame, machines: DataFrame, quantum_ms: int = 1000, bits: int | None = None
+    instants: DataFrame, allocations: DataFrame, machines: DataFrame, quantum_ms: int = 1000, bits: int | None = None,
+    bucket_ms: int = BUCKET_MS,
 ) -> DataFrame:
-    """Per instant: machines busy and machines free."""
-    spans = idle_spans(allocations, machines).withColumn("fleet", F.lit(0))
-    free = free_by_class(instants, spans, ["fleet"], quantum_ms, bits)
-    size = machines.agg(F.count(F.lit(1))).scalar()
+    """Per instant: machines busy, machines free, and the smallest free id.
+
+    The counts need no cover blocks; those only find the smallest id. Machines are tried in the order of
+    their ids, FIRST_TRIED at first and then WIDEN times as many each time, for the instants
+    that have a free machine and have not found one yet.
+    """
+    spans = store(idle_spans(allocations, machines, bucket_ms), "idle-spans")
     times = instants.select("time_ms").distinct()
-    return times.join(free, "time_ms", "left").select(
-        "time_ms",
-        (size - F.coalesce("n_free", F.lit(0))).alias("n_busy"),
-        F.coalesce("n_free", F.lit(0)).cast("bigint").alias("n_free"),
-        "first_free_id",
+    answers = times.join(free_counts(times, spans, bucket_ms), "time_ms", "left").withColumn(
+        "n_free", F.coalesce("n_free", F.lit(0)).cast("bigint")
     )
+    size = machines.agg(F.count(F.lit(1))).scalar()
+    found, tried, above, ids = [], FIRST_TRIED, None, machines.select("machine_id").filter("machine_id IS NOT NULL")
+    while True:
+        later, within = (df if above is None else df.filter(F.col("machine_id") > above) for df in (ids, spans))
+        last = later.orderBy("machine_id").offset(tried - 1).limit(1).first() if tried < LAST_TRIED else None
+        within = within if last is None else within.filter(F.col("machine_id") <= last[0])
+        first = free_by_class(answers.select("time_ms"), within.withColumn("_any", F.lit(0)), ["_any"], quantum_ms, bits)
+        answers = answers.join(first.select("time_ms", "first_free_id"), "time_ms", "left")
+        if last is not None:
+            answers = store(answers, "first-free")
+        open_instants = F.col("first_free_id").isNull() & (F.col("n_free") > 0)
+        left = answers.filter(open_instants).drop("first_free_id")
+        if last is None or left.isEmpty():
+            found.append(answers)
+            break
+        found.append(answers.filter(~open_instants))
+        answers, tried, above = left, tried * WIDEN, last[0]
+    return reduce(DataFrame.unionByName, found).select("time_ms", (size - F.col("n_free")).alias("n_busy"), "n_free", "first_free_id")
 
 
 def free_pairs(pairs: DataFrame, allocations: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:

@@ -185,7 +185,9 @@ def _instants(spark: SparkSession, sf: str) -> DataFrame:
     min(f.machine_id) AS first_free_id FROM instants i LEFT JOIN free f USING (time_ms) GROUP BY i.time_ms"""
 )
 def busy_asof(spark, sf):
-    return oc.busy_counts(_instants(spark, sf), fx.allocations(spark, sf), fx.machines(spark, sf), **CLOCK)
+    return oc.busy_counts(
+        _instants(spark, sf), fx.allocations(spark, sf), fx.machines(spark, sf), **CLOCK, bucket_ms=MONTH_MS
+    )
 
 
 @query(

@@ -264,7 +264,7 @@ def search_ada(spark, sf):
     """Cross-validated accuracy of every setting of the stump grid."""
     _, results = search_stumps(fx.features(spark, sf))
     return spark.createDataFrame(
-        [(r["n_estimators"], r["learning_rate"], r["accuracy"]) for r in results],
+        [(r["n_estimators"], r["learning_rate"], float(r["accuracy"])) for r in results],
         "n_estimators int, learning_rate double, accuracy double",
     )
 
@@ -274,7 +274,7 @@ def search_rf(spark, sf):
     """Cross-validated accuracy of the draws of the randomised forest search."""
     _, results = search_forest(fx.features(spark, sf))
     return spark.createDataFrame(
-        [(r["numTrees"], r["maxDepth"], r["minInstancesPerNode"], r["featureSubsetStrategy"], r["accuracy"]) for r in results],
+        [(r["numTrees"], r["maxDepth"], r["minInstancesPerNode"], r["featureSubsetStrategy"], float(r["accuracy"])) for r in results],
         "trees int, depth int, leaf int, features string, accuracy double",
     )
 

@@ -112,3 +112,18 @@ def test_an_instant_beyond_the_clock_is_an_error(spark):
     late = spark.createDataFrame([(3_600_000 << 20,)], "time_ms long")
     with pytest.raises(Exception, match="is not a multiple of"):
         oc.busy_counts(late, empty, fleet(spark, [machine(1)]), quantum_ms=3_600_000, bits=20).collect()
+
+
+def test_the_first_free_machine_may_come_late(spark, monkeypatch):
+    """Machines are tried in small portions; all but a late one are busy at some instants, and none is free at others."""
+    monkeypatch.setattr(oc, "FIRST_TRIED", 2)
+    monkeypatch.setattr(oc, "WIDEN", 2)
+    pool = fleet(spark, [machine(i) for i in range(1, 31)])
+    rows = [(i, m, 0, 10_000 if m < 27 else 5000, 1.0, 0.0, 0.0, 1.0) for i, m in enumerate(range(1, 31))]
+    rows += [(100 + m, m, 20_000, 30_000, 1.0, 0.0, 0.0, 1.0) for m in range(1, 4)]
+    times = spark.createDataFrame([(t,) for t in (0, 4000, 5000, 9000, 10_000, 20_000, 30_000)], "time_ms long")
+    got = {r.time_ms: (r.n_busy, r.n_free, r.first_free_id) for r in oc.busy_counts(times, ledger(spark, rows), pool).collect()}
+    assert got == {
+        0: (30, 0, None), 4000: (30, 0, None), 5000: (26, 4, 27), 9000: (26, 4, 27), 10_000: (0, 30, 1), 20_000: (3, 27, 4),
+        30_000: (0, 30, 1),
+    }
