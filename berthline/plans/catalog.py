@@ -1013,10 +1013,11 @@ def _run(spark: SparkSession, name: str, result: DataFrame, mode: str = "append"
 @query(ORACLES["place_snapshot"])
 def stream_place(spark, sf):
     path = scratch_path(spark, "stream_place")
-    machines, ledger = fx.machines(spark, sf), fx.allocations(spark, sf)
+    ledger = st.write_ledger(fx.allocations(spark, sf), scratch_path(spark, "ledger"), 12 * MONTH_MS)
     st.place_stream(
-        fx.tasks_of(fx.table_stream(spark, sf, "orders")), machines, lambda: ledger, load_share, RULES, path,
-        scratch_path(spark, "stream_place-state"),
+        fx.tasks_of(fx.table_stream(spark, sf, "orders")), fx.machines(spark, sf),
+        lambda first, last: st.read_active(spark, ledger, first, last, 12 * MONTH_MS), load_share, RULES, path,
+        scratch_path(spark, "stream_place-state"), ranged=True,
     ).awaitTermination()
     placed = spark.read.parquet(path).drop("batch_id")
     return placed.withColumns({c: F.round(c, 6) for c in ("sla_probability", *_SCORES)})

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from berthline.functions import scoring
 from berthline.functions.numeric import coalesce_zero
 from berthline.operators.candidates import assemble_features, capable_pairs, fill_requests, machine_classes
-from berthline.operators.candidates import request_shapes
 from berthline.operators.occupancy import first_members, free_by_class, free_members, idle_spans
 from berthline.operators.ranking import score_order, with_raw_scores, with_scores
 from berthline.operators.skew import integer_bucket, ordered_rank, salted_join
@@ -56,9 +55,10 @@ def _idle_classes(machines: DataFrame, allocations: DataFrame, rules: PlacementR
 
 def class_candidates(
     tasks: DataFrame, machines: DataFrame, allocations: DataFrame, scorer: Scorer, rules: PlacementRules
-) -> tuple[DataFrame, DataFrame]:
-    """(candidates, free): per distinct (arrival, request) the classes with a free machine that can
-    hold it, and per arrival the free machines of every class.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, free, asked): per distinct (arrival, request) the classes with a free machine that can
+    hold it, per arrival the free machines of every class, and the distinct (arrival, request) rows.
+    The latter two are stored, as several branches of a placement read them.
 
     Carries the class's free count and smallest free id, its violation probability ``p``
     and raw scores. Feasibility, the model and the power estimate see each (request, class)
@@ -67,21 +67,21 @@ def class_candidates(
     """
     scoring.check_alpha(rules.alpha)
     classes, spans = _idle_classes(machines, allocations, rules)
-    free = free_by_class(
-        tasks.select(F.col("arrival_ms").alias("time_ms")), spans, ["class_id"], rules.quantum_ms, rules.cover_bits
-    ).withColumnRenamed("time_ms", "arrival_ms")
-    shapes = request_shapes(tasks).drop("n_tasks")
+    asked = store(fill_requests(tasks).select("arrival_ms", *REQUEST_COLUMNS).distinct(), "asked")
+    free = store(free_by_class(
+        asked.select(F.col("arrival_ms").alias("time_ms")), spans, ["class_id"], rules.quantum_ms, rules.cover_bits
+    ).withColumnRenamed("time_ms", "arrival_ms"), "free-classes")
+    shapes = asked.select(*REQUEST_COLUMNS).distinct()
     pairs = capable_pairs(shapes, classes, eps=0.0)
     # scores for the ranking come first: the model may be fed other power values than the snapshot's
     scored = with_raw_scores(pairs, rules.profile, rules.overrides)
     facts = scorer(assemble_features(scored, rules.constant_power)).select(
         *REQUEST_COLUMNS, "class_id", "fit_raw", "watts", "p"
     )
-    asked = fill_requests(tasks).select("arrival_ms", *REQUEST_COLUMNS).distinct()
     met = salted_join(asked, facts, REQUEST_COLUMNS, ["arrival_ms"])
     # both sides grow with the arrivals: copies for salting would outweigh the skew, which
     # adaptive execution splits at run time
-    return met.join(free, ["arrival_ms", "class_id"]), free
+    return met.join(free, ["arrival_ms", "class_id"]), free, asked
 
 
 def rank_candidates(candidates: DataFrame, rules: PlacementRules) -> DataFrame:
@@ -129,7 +129,7 @@ def place_snapshot(
 
     Tasks are judged against the given ledger; placements made here are not fed back.
     """
-    candidates, free = class_candidates(tasks, machines, allocations, scorer, rules)
+    candidates, free, asked = class_candidates(tasks, machines, allocations, scorer, rules)
     ranked = rank_candidates(candidates, rules)
     best = ranked.filter("pref = 1").withColumn("machine_id", F.when(F.col("safe"), F.col("first_free_id")))
     outcome = best.select(
@@ -138,7 +138,6 @@ def place_snapshot(
     )
     free_all = free.groupBy("arrival_ms").agg(F.sum("n_free").alias("n_free_all"))
     full = fill_requests(tasks)
-    asked = full.select("arrival_ms", *REQUEST_COLUMNS).distinct()
     answers = asked.join(free_all, "arrival_ms", "left").join(outcome, ["arrival_ms", *REQUEST_COLUMNS], "left")
     status = placement_status("n_free_all", "n_fit", "n_safe", "n_unscored", "machine_id")
     return full.join(answers, ["arrival_ms", *REQUEST_COLUMNS], "left").select(

@@ -13,9 +13,16 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from berthline.plans.placement import PlacementRules, place_snapshot
 from berthline.schemas import SCHEDULED
+from berthline.session import store
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_SHARDS = 16
+#: Finish times that share an entry of the release state.
+RELEASE_BUCKET_MS = 3_600_000
+#: Finish times that share a folder of a stored ledger.
+LEDGER_DAY_MS = 86_400_000
+#: Files of one such folder, at most for each write.
+LEDGER_FILES = 8
 
 RELEASE_SCHEMA = T.StructType(
     [
@@ -55,20 +62,43 @@ def read_newest(spark: SparkSession, path: str, schema: T.StructType, keys: list
     return rows.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in values])
 
 
+def write_ledger(allocations: DataFrame, path: str, part_ms: int = LEDGER_DAY_MS, mode: str = "errorifexists") -> str:
+    """Allocations in folders by the time at which they finish, so that what is over is never read again."""
+    parted = allocations.withColumn("finish_part", F.expr(f"finish_ms div {part_ms}"))
+    # a few files a folder, also where one period holds most rows
+    dealt = parted.repartition("finish_part", F.pmod(F.xxhash64("task_id"), F.lit(LEDGER_FILES)))
+    dealt.write.mode(mode).partitionBy("finish_part").parquet(path)
+    return path
+
+
+def read_active(spark: SparkSession, path: str, first_ms: int, last_ms: int, part_ms: int = LEDGER_DAY_MS) -> DataFrame:
+    """The allocations of a stored ledger that are active at some time from ``first_ms`` to ``last_ms``.
+
+    Folders of periods that end before are pruned, files that start after are skipped by their statistics.
+    """
+    rows = spark.read.parquet(path).filter(F.col("finish_part") >= F.lit(first_ms // part_ms))
+    return rows.filter((F.col("start_ms") <= F.lit(last_ms)) & (F.col("finish_ms") > F.lit(first_ms))).drop("finish_part")
+
+
 def place_stream(
-    tasks: DataFrame, machines: DataFrame, allocations: Callable[[], DataFrame], scorer, rules: PlacementRules,
-    path: str, checkpoint: str, available_now: bool = True,
+    tasks: DataFrame, machines: DataFrame, allocations: Callable[[], DataFrame] | Callable[[int, int], DataFrame], scorer,
+    rules: PlacementRules, path: str, checkpoint: str, available_now: bool = True, ranged: bool = False,
 ) -> StreamingQuery:
     """Place arriving tasks against the pool and the ledger as it is when their batch starts.
 
-    A batch reads the allocations that are active at some time between its first and its last
-    arrival; no others matter for it, and a ledger stored by time is pruned to them.
+    A batch is stored once and reads the allocations that are active at some time between its first
+    and its last arrival; no others matter for it. With ``ranged``, ``allocations`` is
+    called with these two times (see ``read_active``); otherwise it gives the whole ledger.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        first, last = df.agg(F.min("arrival_ms"), F.max("arrival_ms")).first()
-        active = allocations().filter((F.col("start_ms") <= F.lit(last)) & (F.col("finish_ms") > F.lit(first)))
-        placed = place_snapshot(df, machines, active, scorer, rules)
+        rows = store(df, "stream-batch")
+        first, last = rows.agg(F.min("arrival_ms"), F.max("arrival_ms")).first()
+        if first is None:  # no task, or none that tells when it arrives
+            first, last = 0, -1
+        known = allocations(first, last) if ranged else allocations()
+        active = known.filter((F.col("start_ms") <= F.lit(last)) & (F.col("finish_ms") > F.lit(first)))
+        placed = place_snapshot(rows, machines, active, scorer, rules)
         placed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return start(tasks, batch, checkpoint, available_now=available_now)
@@ -84,13 +114,20 @@ def live_kpis(placements: DataFrame) -> DataFrame:
 def utilization_windows(
     samples: DataFrame, time: str = "ts", width: str = "1 hour", slide: str | None = None, late: str = "10 minutes",
 ) -> DataFrame:
-    """Mean and peak utilisation per machine and time window; rows later than ``late`` are dropped."""
+    """Mean and peak utilisation per machine and time window, of every resource that the samples have.
+
+    Rows later than ``late`` are dropped.
+    """
     window = F.window(time, width, slide) if slide else F.window(time, width)
+    values = {
+        f"{how}_{r}": fn(f"{r}_util") for r in ("cpu", "gpu", "ram") if f"{r}_util" in samples.columns
+        for how, fn in (("avg", F.avg), ("max", F.max))
+    }
     return (
         samples.withWatermark(time, late)
         .groupBy(window.alias("w"), "machine_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.avg("cpu_util").alias("avg_cpu"), F.max("cpu_util").alias("max_cpu"))
-        .select("machine_id", F.col("w.start").alias("window_start"), "n", "avg_cpu", "max_cpu")
+        .agg(F.count(F.lit(1)).alias("n"), *[v.alias(n) for n, v in values.items()])
+        .select("machine_id", F.col("w.start").alias("window_start"), "n", *values)
     )
 
 
@@ -105,53 +142,63 @@ def live_latest(samples: DataFrame, time: str = "ts", values: tuple[str, ...] =
 class ReleaseProcessor(StatefulProcessor):
     """Holds active tasks and reports every one when its finish time has passed.
 
-    One list per group, and an event-time timer for the earliest finish in it: each wake-up
-    releases everything due and sets the next one. A task whose finish is already behind
-    the watermark is released at once.
+    Tasks lie in a map from buckets of finish times to the tasks that finish in them, with an
+    event-time timer for the earliest finish of each bucket. A wake-up reads and writes its own bucket
+    only, however many tasks are active. A task whose finish is already behind the
+    watermark is released at once.
     """
 
+    def __init__(self, bucket_ms: int = RELEASE_BUCKET_MS) -> None:
+        self.bucket_ms = bucket_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.active = handle.getListState("active", "finish_ms long, task_id long")
+        self.active = handle.getMapState("active", "bucket long", "finish_ms array<long>, task_id array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         arrived = pd.concat([batch[["finish_ms", "task_id"]] for batch in rows])
         over = arrived["finish_ms"] <= now
         if over.any():
-            yield self._released(key, arrived[over])
+            yield self._released(key, arrived["finish_ms"][over].tolist(), arrived["task_id"][over].tolist())
         held = arrived[~over]
-        if len(held):
-            self.active.appendList(list(zip(held["finish_ms"].tolist(), held["task_id"].tolist())))
-            self.handle.registerTimer(int(held["finish_ms"].min()))
+        for bucket, tasks in held.groupby(held["finish_ms"] // self.bucket_ms):
+            finishes, ids = self._held(int(bucket))
+            first = int(tasks["finish_ms"].min())
+            if not finishes or first < min(finishes):
+                self.handle.registerTimer(first)
+            self.active.updateValue((int(bucket),), (finishes + tasks["finish_ms"].tolist(), ids + tasks["task_id"].tolist()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        held = pd.DataFrame(list(self.active.get()), columns=["finish_ms", "task_id"])
-        due = held["finish_ms"] <= now
-        rest = held[~due]
-        if len(rest):
-            self.active.put(list(zip(rest["finish_ms"].tolist(), rest["task_id"].tolist())))
-            self.handle.registerTimer(int(rest["finish_ms"].min()))
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        now, bucket = max(timerValues.getCurrentWatermarkInMs(), due), due // self.bucket_ms
+        finishes, ids = self._held(bucket)
+        if not finishes:
+            return
+        rest = [(f, i) for f, i in zip(finishes, ids) if f > now]
+        gone = [(f, i) for f, i in zip(finishes, ids) if f <= now]
+        if rest:
+            self.active.updateValue((bucket,), ([f for f, _ in rest], [i for _, i in rest]))
+            self.handle.registerTimer(min(f for f, _ in rest))
         else:
-            self.active.clear()
-        if due.any():
-            yield self._released(key, held[due])
-
-    def _released(self, key, tasks: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "machine_id": [int(key[0])] * len(tasks),
-                "task_id": tasks["task_id"].astype("int64").tolist(),
-                "released_ms": tasks["finish_ms"].astype("int64").tolist(),
-            }
-        )
+            self.active.removeKey((bucket,))
+        if gone:
+            yield self._released(key, [f for f, _ in gone], [i for _, i in gone])
+
+    def _held(self, bucket: int) -> tuple[list[int], list[int]]:
+        found = self.active.getValue((bucket,)) if self.active.containsKey((bucket,)) else None
+        return ([int(f) for f in found[0]], [int(i) for i in found[1]]) if found is not None else ([], [])
+
+    def _released(self, key, finishes: list[int], ids: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"machine_id": [int(key[0])] * len(ids), "task_id": ids, "released_ms": finishes})
 
     def close(self) -> None:
         pass
 
 
-def occupancy_state(allocations: DataFrame, late: str = "10 minutes", shards: int = STATE_SHARDS) -> DataFrame:
+def occupancy_state(
+    allocations: DataFrame, late: str = "10 minutes", shards: int = STATE_SHARDS, bucket_ms: int = RELEASE_BUCKET_MS
+) -> DataFrame:
     """Release events of a stream of allocations (machine_id, task_id, start timestamp, finish_ms).
 
     Releases of one machine do not depend on each other, so its tasks are dealt out over
@@ -164,7 +211,7 @@ def occupancy_state(allocations: DataFrame, late: str = "10 minutes", shards: in
         .withWatermark("start", late)
         .groupBy("machine_id", "shard")
         .transformWithStateInPandas(
-            statefulProcessor=ReleaseProcessor(), outputStructType=RELEASE_SCHEMA, outputMode="Append",
+            statefulProcessor=ReleaseProcessor(bucket_ms), outputStructType=RELEASE_SCHEMA, outputMode="Append",
             timeMode="EventTime",
         )
     )

@@ -1,3 +1,4 @@
+import pandas as pd
 from pyspark.sql import functions as F
 
 from berthline.plans.catalog import load_share
@@ -43,6 +44,76 @@ def test_releases_follow_the_watermark(spark, tmp_path):
     assert got == {(10, 2 * day), (11, 3 * day), (12, day + 5)}
 
 
+class CountingState:
+    """Map state and timers in memory that count reads."""
+
+    def __init__(self):
+        self.rows, self.reads, self.timers = {}, 0, set()
+
+    def getMapState(self, *_):
+        return self
+
+    def containsKey(self, key):
+        return key in self.rows
+
+    def getValue(self, key):
+        self.reads += 1
+        return self.rows[key]
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        del self.rows[key]
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    def getExpiryTimeInMs(self):
+        return self.due
+
+
+def test_a_timer_reads_its_own_bucket_only():
+    state, day = CountingState(), 86_400_000
+    processor = st.ReleaseProcessor(day)
+    processor.init(state)
+    state.now = 0
+    finishes = [d * day + 1000 * i for d in range(1, 101) for i in range(50)]
+    batch = pd.DataFrame({"finish_ms": finishes, "task_id": range(len(finishes))})
+    assert list(processor.handleInputRows((1, 0), iter([batch]), state)) == []
+    assert state.timers == {d * day for d in range(1, 101)} and state.reads == 0
+    state.now = state.due = 3 * day + 10_000
+    state.due = 3 * day
+    released = pd.concat(processor.handleExpiredTimer((1, 0), state, state))
+    assert released["released_ms"].tolist() == [3 * day + 1000 * i for i in range(11)]
+    assert state.reads == 1 and len(state.rows[(3,)][0]) == 39 and 3 * day + 11_000 in state.timers
+    state.now = state.due = 4 * day - 1
+    state.due = 3 * day + 11_000
+    assert len(pd.concat(processor.handleExpiredTimer((1, 0), state, state))) == 39
+    assert (3,) not in state.rows and state.reads == 2
+    assert list(processor.handleExpiredTimer((1, 0), state, state)) == []
+
+
+def test_a_stored_ledger_is_pruned_to_the_batch(spark, tmp_path):
+    day = 86_400_000
+    rows = ledger(spark, [(i, i % 7, i * day, i * day + 3 * day // 2, 1.0, 0.0, 0.0, 1.0) for i in range(60)])
+    path = st.write_ledger(rows, str(tmp_path / "ledger"))
+    active = st.read_active(spark, path, 50 * day, 50 * day + 5)
+    assert sorted(r.task_id for r in active.collect()) == [49, 50]
+    plan = active._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(finish_part" in plan and "finish_part#" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_windows_of_all_resources(spark):
+    rows = spark.createDataFrame([(1, "2024-01-01 00:10:00", 0.2, 0.5, 0.1), (1, "2024-01-01 00:20:00", 0.4, 0.7, 0.3)],
+                                 "machine_id long, t string, cpu_util double, gpu_util double, ram_util double")
+    got = st.utilization_windows(rows.withColumn("ts", F.to_timestamp("t"))).first()
+    assert (got.n, round(got.avg_cpu, 9), got.max_gpu, round(got.avg_ram, 9)) == (2, 0.3, 0.7, 0.2)
+
+
 def test_batches_of_tasks_are_placed_like_all_at_once(spark, tmp_path):
     """Several files, one a batch, of which the last repeats nothing and lies far from the others."""
     pool = [machine(i, i % 5) for i in range(8)]
@@ -58,6 +129,10 @@ def test_batches_of_tasks_are_placed_like_all_at_once(spark, tmp_path):
     want = place_snapshot(everything, machines, rows, load_share, PlacementRules())
     got = st.read_appended(spark, out, want.schema)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    stored, ranged = st.write_ledger(rows, scratch_path(spark, "ledger"), 60_000), scratch_path(spark, "placed")
+    st.place_stream(stream, machines, lambda a, b: st.read_active(spark, stored, a, b, 60_000), load_share, PlacementRules(),
+                    ranged, scratch_path(spark, "placed-state"), ranged=True).awaitTermination()
+    assert sorted(map(repr, st.read_appended(spark, ranged, want.schema).collect())) == sorted(map(repr, want.collect()))
 
 
 def test_newest_row_of_each_key(spark, tmp_path):
