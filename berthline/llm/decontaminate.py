@@ -2,10 +2,10 @@
 
 A shard is a stretch of documents in one task. Its words become numbers (0 for a word that
 no benchmark item has, which also ends every match), and its suffixes are sorted by
-doubling ranks up to the longest item. Every suffix of every item is then looked up by
-binary search: neighbours in the array give its longest verbatim match in the shard, and
-the run of suffixes that share a whole window gives all places where the window occurs.
-The benchmark reaches the tasks in blocks of bounded size, one pass over a task's documents for each.
+doubling ranks to the depth of a window. Every suffix of an item that holds a whole window is
+looked up by binary search: the run of suffixes that share its window gives all places where the
+window occurs, and each match is followed to its end. Items of equal words are looked up once.
+The benchmark reaches the tasks in blocks of bounded size, one stored pass over the documents for each.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from berthline.llm.rows import packed
+from berthline.llm.rows import packed, store_text
 from berthline.llm.text import ALPHANUMERIC, LOWER, Slice, Words, slices, word_hashes, words
 
 WINDOW = 10
@@ -31,9 +31,9 @@ SHARD_BYTES = 8 << 20
 
 @dataclass
 class Benchmark:
-    """A block of items: their ids, and their words as numbers (1 upwards), one item after the other."""
+    """A block of items of different words: the ids of each, and its words as numbers (1 upwards), one item after the other."""
 
-    ids: list[str]
+    ids: list[list[str]]
     vocabulary: np.ndarray
     tokens: np.ndarray
     at: np.ndarray
@@ -57,21 +57,25 @@ def _number(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[near] == hashes, near + 1, 0).astype(np.int32)
 
 
-def benchmark_block(ids: list[str], texts: list[str], window: int = WINDOW) -> Benchmark | None:
-    """None if no item has a word."""
+def benchmark_block(ids: list[str | None], texts: list[str], window: int = WINDOW) -> Benchmark | None:
+    """None if no item has a word. A null id counts for matches and is not listed."""
     hashes: list[np.ndarray] = []
     for part in slices(pa.array(texts, pa.large_string())):
         data = LOWER[part.data]
         found = words(part, data, ALPHANUMERIC)
         own = word_hashes(data, found)
         hashes += [own[a:b] for a, b in zip(found.at[:-1], found.at[1:], strict=True)]
-    full = [(i, h) for i, h in zip(ids, hashes, strict=True) if len(h)]
-    if not full:
+    alike: dict[bytes, tuple[np.ndarray, list[str]]] = {}
+    for i, h in zip(ids, hashes, strict=True):
+        if len(h):
+            alike.setdefault(h.tobytes(), (h, []))[1].extend([] if i is None else [i])
+    if not alike:
         return None
-    joined = np.concatenate([h for _, h in full])
+    full = [h for h, _ in alike.values()]
+    joined = np.concatenate(full)
     vocabulary = np.unique(joined)
-    at = np.concatenate(([0], np.cumsum([len(h) for _, h in full])))
-    return Benchmark([i for i, _ in full], vocabulary, _number(joined, vocabulary), at, window)
+    at = np.concatenate(([0], np.cumsum([len(h) for h in full])))
+    return Benchmark([sorted(set(own)) for _, own in alike.values()], vocabulary, _number(joined, vocabulary), at, window)
 
 
 def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -212,11 +216,11 @@ def _pass(bench, first: bool):
                     if hits[i] is not None:
                         hit |= np.unpackbits(np.frombuffer(hits[i], dtype=np.uint8), count=n).astype(bool)
                     hits[i] = np.packbits(hit).tobytes()
-                    items[i] = sorted({*items[i], *(block.ids[k] for k in np.unique(match.item[own]))})
+                    items[i] = sorted({*items[i], *(name for k in np.unique(match.item[own]) for name in block.ids[k])})
                     best = own[np.lexsort((match.item_at[own], match.item[own], match.at[own], -match.length[own]))[0]]
                     if match.length[best] > longest[i]:
                         longest[i], longest_at[i] = int(match.length[best]), int(match.at[best])
-                        longest_item[i] = block.ids[match.item[best]]
+                        longest_item[i] = next(iter(block.ids[match.item[best]]), None)
             n_hit = [int(np.bitwise_count(np.frombuffer(h, dtype=np.uint8)).sum()) if h else 0 for h in hits]
             columns = [
                 pa.array(n_words, pa.int64()), pa.array(hits, pa.binary()), pa.array(n_hit, pa.int64()),
@@ -230,10 +234,10 @@ def _pass(bench, first: bool):
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> Iterator[Benchmark | None]:
-    """The benchmark in blocks of about BLOCK_BYTES; items with a null id or text are left out."""
+    """The benchmark in blocks of about BLOCK_BYTES; items without a text are left out."""
     ids, texts, size = [], [], 0
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).filter(
-        "i IS NOT NULL AND t IS NOT NULL"
+        "t IS NOT NULL"
     )
     for row in items.orderBy("i", "t").toLocalIterator():
         ids.append(row.i)
@@ -256,7 +260,8 @@ def match_benchmark(
     count; _items: ids of the items with such windows, sorted; _longest, _longest_at and
     _longest_item: words, start and item of the longest verbatim match. A window is
     ``window`` consecutive words of an item, or all of a shorter item. Null texts have no
-    words; items without words match nothing.
+    words; items without words match nothing; the windows of an item without an id count like others,
+    but the item is not listed.
     """
     schema = T.StructType([
         T.StructField("_doc", docs.schema), T.StructField("_text", T.StringType()), T.StructField("_n_words", T.LongType()),
@@ -265,12 +270,17 @@ def match_benchmark(
         T.StructField("_longest_at", T.LongType()), T.StructField("_longest_item", T.StringType()),
     ])
     context = docs.sparkSession.sparkContext
-    result, first = docs.select(packed(docs), F.col(text_col).alias("_text")), True
-    for block in _blocks(benchmark, item_col, item_text_col, window):
+    result, block = docs.select(packed(docs), F.col(text_col).alias("_text")), None
+    for following in _blocks(benchmark, item_col, item_text_col, window):
+        if following is None:
+            continue
         if block is not None:
             # at most a block of the benchmark at a time, BLOCK_BYTES and one item
-            result, first = result.mapInArrow(_pass(context.broadcast(block), first), schema), False
-    if first:
+            result = store_text(result, "decontamination")
+            block.unpersist()
+        first, block = block is None, context.broadcast(following)
+        result = result.mapInArrow(_pass(block, first), schema)
+    if block is None:
         result = result.mapInArrow(_pass(context.broadcast(None), True), schema)
     return result
 

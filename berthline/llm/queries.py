@@ -22,7 +22,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +87,42 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": run,
 }
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 LLM_ORACLES: dict[str, str] = {
+    "op2_decontaminate": rf"""
+        WITH items AS (
+            SELECT item_id::VARCHAR AS id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        windows AS (
+            SELECT DISTINCT id, size, array_to_string(w[i : i + size - 1], ' ') AS win
+            FROM (SELECT id, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0) x),
+        docs AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+        places AS (
+            SELECT r, size, i, array_to_string(w[i : i + size - 1], ' ') AS win
+            FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, (SELECT DISTINCT size FROM windows) s WHERE len(w) >= size) x),
+        met AS (SELECT r, p.size, i, win FROM places p WHERE EXISTS (SELECT 1 FROM windows v WHERE v.win = p.win AND v.size = p.size)),
+        hits AS (SELECT r, count(DISTINCT at_word) AS n FROM (SELECT r, unnest(range(i, i + size)) AS at_word FROM met) x GROUP BY r),
+        own AS (
+            SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+            FROM (SELECT DISTINCT r, id FROM met JOIN windows USING (win, size) WHERE id IS NOT NULL) x GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(o.n, 0) AS n_items,
+               sha256(coalesce(o.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+        FROM docs d LEFT JOIN hits h USING (r) LEFT JOIN own o USING (r)""",
+    "op8_near_dedup": rf"""
+        WITH RECURSIVE docs AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        shingles AS (
+            SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS s
+            FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0) x),
+        sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+        shared AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r),
+        links AS (SELECT x, y FROM shared JOIN sizes a ON a.r = x JOIN sizes b ON b.r = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+        reach(x, y) AS (SELECT r, r FROM docs UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+        least_id AS (SELECT reach.x AS r, min(doc_id) AS component_id FROM reach JOIN docs ON docs.r = reach.y GROUP BY reach.x)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM docs JOIN least_id USING (r) LEFT JOIN sizes USING (r)""",
     "op3_content_sort": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS t,

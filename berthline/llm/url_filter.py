@@ -18,11 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from berthline.operators.skew import salted_join
 from berthline.session import store
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Longest word of the unigram model, and longest stretch that is split as one piece.
-MAX_WORD, MAX_PIECE = 20, 63
 #: Words that a page must not be about; each counts as this many blocked occurrences.
 SEED_WORDS = (
     "adult", "porn", "xxx", "sex", "casino", "poker", "betting", "pills", "viagra", "cheap", "malware", "phishing",
@@ -71,27 +70,36 @@ def match_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Col
 
 
 def _pieces(text: Column) -> Column:
-    """Stretches of a-z of a text, longer ones cut at MAX_PIECE; digits and marks separate."""
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(f"([a-z]{{1,{MAX_PIECE}}})"), F.lit(1))
+    """Stretches of a-z of a text; digits and marks separate."""
+    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit("([a-z]+)"), F.lit(1))
 
 
 def word_counts(pages: DataFrame, html_col: str) -> DataFrame:
     """(word, n): a-z words of all page texts without tags."""
     plain = F.regexp_replace(F.col(html_col), "<[^<>]*+>", " ")
-    found = F.regexp_extract_all(F.lower(plain), F.lit(rf"\b([a-z]{{1,{MAX_WORD}}})\b"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(plain), F.lit(r"\b([a-z]++)\b"), F.lit(1))
     return pages.select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _viterbi(piece: str, score: dict[str, float], total: float) -> list[str]:
-    """Split with the highest sum of log probabilities; unknown stretches cost more with each letter."""
-    best, back = [0.0] + [-math.inf] * len(piece), [0] * (len(piece) + 1)
-    base = math.log(10.0 / total)
+    """Split with the highest sum of log probabilities; unknown stretches cost more with each letter.
+
+    Known words are tried at their lengths. The best start of an unknown stretch does not depend on
+    its end, as every letter costs the same, so it is carried along.
+    """
+    base, letter = math.log(10.0 / total), math.log(10.0)
+    sizes = sorted({len(w) for w in score}, reverse=True)
+    best, back = [0.0], [0]
+    open_value, open_start = 0.0, 0  # best start of an unknown stretch: its value plus the letters before it
     for end in range(1, len(piece) + 1):
-        for start in range(max(0, end - MAX_WORD), end):
-            part = piece[start:end]
-            value = best[start] + score.get(part, base - len(part) * math.log(10.0))
-            if value > best[end]:
-                best[end], back[end] = value, start
+        value, start = open_value + base - end * letter, open_start
+        for size in sizes:
+            if size <= end and (known := score.get(piece[end - size : end])) is not None and best[end - size] + known > value:
+                value, start = best[end - size] + known, end - size
+        best.append(value)
+        back.append(start)
+        if value + end * letter > open_value:
+            open_value, open_start = value + end * letter, end
     words, end = [], len(piece)
     while end:
         words.append(piece[back[end] : end])
@@ -100,12 +108,16 @@ def _viterbi(piece: str, score: dict[str, float], total: float) -> list[str]:
 
 
 def segment(pieces: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """(piece, words) for distinct pieces: every substring meets the word counts, then one search a piece."""
-    starts = F.sequence(F.lit(1), F.length("piece"))
-    sizes = F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.length("piece") - F.col("_start") + 1))
+    """(piece, words) for distinct pieces: their substrings meet the word counts, then one search a piece.
+
+    Only substrings as long as some known word are formed; a piece and a word may have any length.
+    """
+    lengths = sorted(r.n for r in counts.select(F.length("word").alias("n")).distinct().collect())
+    sizes = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    fitting = F.filter(sizes, lambda n: n <= F.length("piece") - F.col("_start") + 1)
     parts = (
-        pieces.select("piece", F.explode(starts).alias("_start"))
-        .select("piece", "_start", F.explode(sizes).alias("_size"))
+        pieces.select("piece", F.explode(F.sequence(F.lit(1), F.length("piece"))).alias("_start"))
+        .select("piece", "_start", F.explode(fitting).alias("_size"))
         .select("piece", F.col("piece").substr(F.col("_start"), F.col("_size")).alias("word")).distinct()
     )
     known = parts.join(counts, "word").groupBy("piece").agg(
@@ -181,7 +193,7 @@ def judge_urls(
         .groupBy("piece").agg(F.sum("_odds").alias("_odds"))
     )
     open_uses = uses.filter("_ruled IS NULL").select("_url", "piece")
-    judged = open_uses.join(scores, "piece").groupBy("_url").agg(
+    judged = salted_join(open_uses, scores, ["piece"], ["_url"]).groupBy("_url").agg(
         F.round(F.sum("_odds") + F.lit(start), 6).alias("log_odds")  # sums in any order agree in six decimals
     )
     return parsed.join(judged.withColumnRenamed("_url", "_jurl"), F.col("_url").eqNullSafe(F.col("_jurl")), "left").select(

@@ -33,6 +33,7 @@ def brute_force(docs, items):
                 if (own := windows.get(tuple(w[j : j + size]))) is not None:
                     hit.update(range(j, j + size))
                     found |= own
+        found.discard("None")
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         result.append((i, len(w), len(hit), len(found), digest, bool(hit)))
     return sorted(result, key=repr)
@@ -77,6 +78,24 @@ def test_blocks_of_the_benchmark_add_up(spark, monkeypatch):
     assert rows_of(decontaminate.contamination(docs, items)) == brute_force(DOCS, [(str(i), t) for i, t in ITEMS])
 
 
+def test_items_without_an_id_and_items_of_equal_words(spark):
+    items = [(None, "short item"), (1, "Plain words, here"), (2, "plain  words here"), (None, "plain words here")]
+    docs = [(1, "a short item here"), (2, "some plain words here"), (3, "nothing")]
+    got = decontaminate.contamination(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    )
+    assert rows_of(got) == brute_force(docs, [(str(i), t) for i, t in items])
+    assert {r.doc_id: (r.n_hit, r.n_items, r.contaminated, r.longest_item) for r in got.collect()} == {
+        1: (2, 0, True, None), 2: (3, 2, True, "1"), 3: (0, 0, False, None)}
+
+
+def test_many_items_of_one_text_cost_as_much_as_one():
+    text = "one passage of twelve words that many items of a benchmark share today"
+    block = decontaminate.benchmark_block([str(i) for i in range(1000)], [text] * 1000)
+    part = next(slices(pa.array([" ".join([text, "x"] * 4000)])))
+    assert len(decontaminate.find_matches(block, part)[0].row) == 4000 * 4 and len(block.ids[0]) == 1000
+
+
 def test_longest_match_and_its_place(spark):
     docs, items = tables(spark)
     row = decontaminate.contamination(docs, items).filter("doc_id = 1").first()

@@ -71,6 +71,24 @@ def test_segmentation(spark):
     assert got["cheappills"] == ["cheap", "pills"] and got["pillsqq"][0] == "pills" and got["x"] == ["x"]
 
 
+def test_words_and_stretches_of_any_length(spark):
+    word = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    counts = spark.createDataFrame([("garden", 50), ("casino", 40), (word, 3)], "word string, n bigint")
+    whole = ["garden" * 10 + "casino", "garden" + word + "casino", "q" * 200 + "casino" + "z" * 90]
+    got = {r.piece: r.words for r in url_filter.segment(spark.createDataFrame([(w,) for w in whole], "piece string"), counts, 93).collect()}
+    assert got[whole[0]] == ["garden"] * 10 + ["casino"] and got[whole[1]] == ["garden", word, "casino"]
+    assert got[whole[2]] == ["q" * 200, "casino", "z" * 90]
+
+
+def test_a_blocked_word_late_in_a_long_stretch_counts(spark):
+    text = "<p>" + "garden tools house flowers casino water " * 20 + "</p>"
+    urls = ["http://a.net/" + "garden" * 10 + "casino", "http://a.net/" + "garden" * 10 + "/casino", "http://a.net/" + "garden" * 10]
+    df = spark.createDataFrame([(i, u, text) for i, u in enumerate(urls)], "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in url_filter.filter_urls(df).collect()}
+    assert [got[i].verdict for i in range(3)] == ["block", "block", "allow"]
+    assert got[0].log_odds == got[1].log_odds
+
+
 def test_clashing_columns_and_empty_tables(pages):
     clash = pages.selectExpr("*", "url AS host", "url AS path", "url AS word", "url AS verdict", "page_id AS n", "url AS _url")
     assert url_filter.filter_urls(clash).count() == pages.count()
