@@ -3,9 +3,9 @@
 Strict patterns find e-mail addresses, IP addresses, card and phone numbers. These seeds
 have contexts, the words around them. Identifiers of a looser form that stand in the same
 contexts form a graph with them: a context is trusted as far as the identifiers in it are,
-an identifier as far as its contexts are. Some rounds of scoring over that graph find the
-contexts that announce a kind of data, and those add the looser identifiers they hold. What
-they add counts as seeds from then on and brings its own contexts, until nothing is added.
+an identifier as far as its contexts are. Rounds of scoring over that graph, until the scores
+settle, find the contexts that announce a kind of data, and those add the looser identifiers they hold.
+What they add counts as seeds from then on and brings its own contexts, until nothing is added.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from berthline.operators.skew import salted_join
 from berthline.session import store
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
-#: Times at most that found identifiers become seeds.
-HOPS = 10
+#: Scoring ends when no pattern's confidence moves by more than this.
+SETTLED = 0.01
+#: Longest word of a context; a longer one is no word that announces anything, and ends the search for one.
+LONGEST_WORD = 256
 #: A context adds identifiers from this confidence on, and with this many different seeds.
 CONFIDENCE, SEEDS = 0.8, 4
 
@@ -100,26 +102,61 @@ def _loose(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int,
         kinds = (2 if groups == 4 and digits <= 12 else 0) | (4 if 13 <= digits <= 19 else 0) | (8 if 7 <= digits <= 15 else 0)
         if kinds:
             found.append((m.start(), m.end(), kinds))
-    busy = sorted(taken)
+    strict: list[list[int]] = []  # disjoint, by start
+    for s, e in sorted(taken):
+        if strict and s < strict[-1][1]:
+            strict[-1][1] = max(strict[-1][1], e)
+        else:
+            strict.append([s, e])
+    at, free = 0, 0
     for a, b, kinds in sorted(found):
-        if not any(s < b and a < e for s, e in busy):
-            busy.append((a, b))
+        while at < len(strict) and strict[at][1] <= a:
+            at += 1
+        if a >= free and (at == len(strict) or strict[at][0] >= b):
+            free = b
             yield a, b, kinds
 
 
+def _words_before(text: str, line: int, a: int) -> list[str]:
+    """The two words that end before ``a`` on the line that starts at ``line``; <s> is the start of the line."""
+    words: list[str] = []
+    while len(words) < 2:
+        while a > line and text[a - 1].isspace():
+            a -= 1
+        if a == line:
+            return ["<s>", *words]
+        end = a
+        while a > line and not text[a - 1].isspace():
+            a -= 1
+            if end - a > LONGEST_WORD:
+                return words
+        if (word := _TRIM.sub("", text[a:end]).lower()):
+            words.insert(0, word)
+    return words
+
+
+def _word_behind(text: str, b: int) -> list[str]:
+    """The word that starts at or after ``b`` on its line; </s> is the end of the line."""
+    while True:
+        while b < len(text) and text[b] != "\n" and text[b].isspace():
+            b += 1
+        if b == len(text) or text[b] == "\n":
+            return ["</s>"]
+        start = b
+        while b < len(text) and not text[b].isspace():
+            b += 1
+            if b - start > LONGEST_WORD:
+                return []
+        if (word := _TRIM.sub("", text[start:b]).lower()):
+            return [word]
+
+
 def _contexts(text: str, a: int, b: int) -> list[str]:
     """Lexical patterns of a span on its line: the two words before it, the words on either side, and the word before alone.
 
     <s> and </s> stand for the start and the end of the line; punctuation is no word.
     """
-    line = text.rfind("\n", 0, a) + 1
-    left, right = max(line, a - 80), text[b : b + 40].split("\n", 1)
-    before = [w for w in (_TRIM.sub("", x).lower() for x in text[left:a].split()) if w][-2:]
-    behind = [w for w in (_TRIM.sub("", x).lower() for x in right[0].split()) if w][:1]
-    if len(before) < 2 and left == line:
-        before.insert(0, "<s>")
-    if not behind and (len(right) > 1 or b + 40 >= len(text)):
-        behind = ["</s>"]
+    before, behind = _words_before(text, text.rfind("\n", 0, a) + 1, a), _word_behind(text, b)
     found = []
     if len(before) == 2:
         found.append("2 " + " ".join(before))
@@ -160,67 +197,65 @@ _SLOTS = pa.list_(pa.struct([
 _SPAN_TYPE = "array<struct<k:int,s:bigint,e:bigint>>"
 
 
-def _scored(pairs: DataFrame, seeds: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+def _scored(pairs: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """edges (context, kind, instance, seed, open), and patterns (context, kind, p and n, its seeds)."""
     known = pairs.join(seeds, "instance").select("context", "kind").distinct()
     marked = seeds.select("instance", "kind", F.lit(True).alias("_seed"))
     # instances of every context that has a seed of a kind; a loose instance counts for that kind if its form fits
     edges = store(
-        pairs.join(known, "context").join(marked, ["instance", "kind"], "left").select(
+        salted_join(pairs, known, ["context"], ["instance"]).join(marked, ["instance", "kind"], "left").select(
             "context", "kind", "instance", F.coalesce("_seed", F.lit(False)).alias("seed"),
             (F.col("own").isNull() & (F.col("fits").bitwiseAND(F.expr("shiftleft(1, kind)")) != 0)).alias("open"),
         ),
         "edges",
     )
-    trust = None
-    patterns = None
-    for _ in range(rounds):
+    trust, patterns = None, None
+    while True:
         if trust is None:
             weighed = edges.withColumn("w", F.col("seed").cast("double"))
         else:
             weighed = edges.join(trust, ["instance", "kind"], "left").withColumn(
                 "w", F.when(F.col("seed"), 1.0).when(F.col("open"), F.coalesce("t", F.lit(0.0))).otherwise(0.0)
             )
+        before = patterns
         patterns = store(
             weighed.groupBy("context", "kind").agg(
                 (F.sum("w") / (F.count(F.lit(1)) + 0.5)).alias("p"), F.sum(F.col("seed").cast("int")).alias("n")
             ),
             "patterns",
         )
+        if before is not None:  # weights only rise, so the scores settle
+            moved = patterns.join(before.withColumnRenamed("p", "_p").drop("n"), ["context", "kind"])
+            if moved.filter(F.abs(F.col("p") - F.col("_p")) > SETTLED).isEmpty():
+                return edges, patterns
         doubt = F.sum(F.log(F.greatest(F.lit(1.0) - F.col("p"), F.lit(1e-6))))
         trust = (
             edges.filter("open").join(patterns.filter(F.col("n") >= 2), ["context", "kind"])
             .groupBy("instance", "kind").agg((F.lit(1.0) - F.exp(doubt)).alias("t"))
         )
-    return edges, patterns
 
 
-def trusted_contexts(
-    slots: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, seeds: int = SEEDS, hops: int = HOPS
-) -> DataFrame:
+def trusted_contexts(slots: DataFrame, confidence: float = CONFIDENCE, seeds: int = SEEDS) -> DataFrame:
     """(context, kind) pairs that announce a kind of data.
 
     ``slots`` has one row per identifier occurrence and context: context, instance, kind
     (null if no strict pattern matched) and fits (kinds its form allows, as bits). The loose
-    instances of trusted contexts are seeds of the next hop; the last one adds none, or is the
-    one after ``hops`` others.
+    instances of trusted contexts are seeds of the next hop; the last one adds none.
     """
     pairs = store(
         slots.groupBy("context", "instance").agg(F.max("kind").alias("own"), F.bit_or("fits").alias("fits")), "slots"
     )
     sure = store(pairs.filter("own IS NOT NULL").select("instance", F.col("own").alias("kind")).distinct(), "seeds")
-    for hop in range(hops + 1):
-        edges, patterns = _scored(pairs, sure, rounds)
+    while True:
+        edges, patterns = _scored(pairs, sure)
         trusted = patterns.filter((F.col("p") >= confidence) & (F.col("n") >= seeds)).select("context", "kind")
-        if hop < hops:
-            found = store(
-                edges.filter("open AND NOT seed").join(trusted, ["context", "kind"]).select("instance", "kind").distinct(),
-                "found",
-            )
-            if found.isEmpty():
-                break
-            sure = store(sure.unionByName(found), "seeds")
-    return trusted
+        found = store(
+            edges.filter("open AND NOT seed").join(trusted, ["context", "kind"]).select("instance", "kind").distinct(),
+            "found",
+        )
+        if found.isEmpty():
+            return trusted
+        sure = store(sure.unionByName(found), "seeds")
 
 
 def _format(spans: Column) -> Column:
@@ -258,7 +293,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     contexts = trusted_contexts(slots.select("context", "instance", "kind", "fits"))
     added = (
-        slots.filter("kind IS NULL").drop("kind").join(contexts, "context")
+        salted_join(slots.filter("kind IS NULL").drop("kind"), contexts, ["context"], ["instance", "_hash"])
         .filter(F.col("fits").bitwiseAND(F.expr("shiftleft(1, kind)")) != 0)
         .groupBy("_id", "_hash", "s", "e").agg(F.min("kind").alias("k"))
         .groupBy("_id", "_hash").agg(F.collect_list(F.struct("k", "s", "e")).alias("_added"))

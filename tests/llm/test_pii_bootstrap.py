@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -84,6 +85,51 @@ def test_long_runs_take_linear_time():
         list(pii_bootstrap._loose(text, []))
 
 
+def test_many_loose_numbers_take_linear_time():
+    text = " ".join(f"555 {i % 900 + 100} {i % 9000 + 1000}" + (" +1 555 123 4567," if i % 3 == 0 else ";") for i in range(60_000))
+    began = time.perf_counter()
+    strict = [(s, e) for _, s, e in pii_bootstrap.base_spans(text)]
+    loose = list(pii_bootstrap._loose(text, strict))
+    assert time.perf_counter() - began < 20
+    own = {(a, b) for a, b, _ in loose}
+    ends = sorted([*strict, *own])
+    assert len(own) > 10_000 and all(x[1] <= y[0] for x, y in zip(ends, ends[1:]) if x in own or y in own)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a@.+ ()0159,-", max_size=40))
+def test_loose_spans_are_the_first_that_touch_nothing(text):
+    taken = [(s, e) for _, s, e in pii_bootstrap.base_spans(text)]
+    busy, want = list(taken), []
+    for a, b, kinds in sorted(candidates(text)):
+        if not any(s < b and a < e for s, e in busy):
+            busy.append((a, b))
+            want.append((a, b, kinds))
+    assert list(pii_bootstrap._loose(text, taken)) == want
+
+
+def candidates(text):
+    """All looser identifiers of a text, also overlapping ones."""
+    found = [(m.start(), m.end(), 1) for m in pii_bootstrap._LOOSE_EMAIL.finditer(text)]
+    for m in pii_bootstrap._LOOSE_NUMBER.finditer(text):
+        digits, groups = sum(c.isdigit() for c in m[0]), len(re.findall(r"[0-9]+", m[0]))
+        kinds = (2 if groups == 4 and digits <= 12 else 0) | (4 if 13 <= digits <= 19 else 0) | (8 if 7 <= digits <= 15 else 0)
+        if kinds:
+            found.append((m.start(), m.end(), kinds))
+    return found
+
+
+def test_contexts_see_whole_words_at_any_distance():
+    long = "z" * 60
+    text = f"call {long}   \t{' ' * 90}555-1234 {' ' * 70} {long} x"
+    a = text.index("555")
+    assert pii_bootstrap._contexts(text, a, a + 8) == [f"2 call {long}", f"1 {long} _ {long}", f"b {long}"]
+    huge = "z" * 500
+    text = f"call {huge} 555-1234 {huge}"
+    a = text.index("555")
+    assert pii_bootstrap._contexts(text, a, a + 8) == []
+
+
 def test_contexts_at_the_ends_of_lines():
     def at(text, span):
         return pii_bootstrap._contexts(text, text.index(span), text.index(span) + len(span))
