@@ -7,7 +7,7 @@ from berthline.plans.catalog import ORACLES, QUERIES
 from check_oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-EAGER = {n for n in QUERIES if n.startswith(("stream_", "train_")) or n == "batch_assign"}
+EAGER = {n for n in QUERIES if n.startswith(("stream_", "train_", "search_")) or n in ("batch_assign", "early_stopping")}
 
 
 @pytest.fixture(scope="module")
