@@ -15,6 +15,8 @@ from berthline.session import store
 
 #: Pairs of request shapes and machine classes from which it pays to decide for boxes of requests first.
 PRUNE_FROM = 1 << 27
+#: Fewer shapes than this make too few boxes for it, however many classes there are.
+PRUNE_SHAPES = 1 << 12
 
 SCORE_COLUMNS = ["watts", "fit_raw", "energy_score", "fit_score", "final_score"]
 
@@ -75,10 +77,12 @@ def scored_candidates(
     second one scores them. ``prune`` first leaves out the classes that matter to no request of
     a box of requests (exact; see ``pruning``); unless given, it depends on the number of pairs.
     """
-    shapes, classes = store(shapes.select(*REQUEST_COLUMNS), "request-shapes"), store(classes, "machine-classes")
+    shapes = shapes.select(*REQUEST_COLUMNS)
     if prune is None:
-        prune = shapes.count() * classes.count() >= PRUNE_FROM
+        n = shapes.count()
+        prune = n >= PRUNE_SHAPES and n * classes.count() >= PRUNE_FROM
     if prune:
+        classes = store(classes, "machine-classes")
         shapes, classes = surviving_classes(shapes, classes, alpha, profile, overrides, k)
     pairs, keys = (pruned_pairs, [*REQUEST_COLUMNS, "_cell"]) if prune else (capable_pairs, REQUEST_COLUMNS)
     extrema = candidate_extrema(with_raw_scores(pairs(shapes, classes), profile, overrides), keys)
