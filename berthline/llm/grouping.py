@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from berthline.session import store
 
 #: Representatives of a bucket in the first round of link_apart, and how they multiply from round to round.
 REPRESENTATIVES, WIDEN = 1, 64
+#: Parts into which the members of every bucket are dealt, so that a crowded one is not joined in one task.
+PARTS = 64
 
 Near = Callable[[Column, Column], Column]
 
@@ -63,13 +66,29 @@ def connected(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int"))
+
+
+def with_ends(rows: DataFrame, value: str) -> DataFrame:
+    """``rows`` (key, node, ...; read twice) with _lo and _hi, the least and the greatest ``value`` of the key.
+
+    The ends of a key's parts are found first, so no task sees more than a part of a crowded key,
+    or the PARTS ends of one.
+    """
+    dealt, whole = _dealt(rows), W.partitionBy("key")
+    parts = dealt.groupBy("key", "_part").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    ends = parts.select("key", "_part", F.min("_lo").over(whole).alias("_lo"), F.max("_hi").over(whole).alias("_hi"))
+    return dealt.join(ends, ["key", "_part"]).drop("_part")
+
+
 def first_links(
     buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Near = _any
 ) -> DataFrame:
     """(node, comp) after comparing every node with one other, the smallest head of its buckets that is near."""
-    smallest = buckets.groupBy("key").agg(F.min("node").alias("rep"))
+    headed = with_ends(buckets, "node").withColumnRenamed("_lo", "rep")
     pairs = store(
-        buckets.join(smallest, "key").filter((F.col("node") != F.col("rep")) & near(F.col("node"), F.col("rep")))
+        headed.filter((F.col("node") != F.col("rep")) & near(F.col("node"), F.col("rep")))
         .groupBy("node").agg(F.min("rep").alias("rep")),
         "pairs",
     )
@@ -82,11 +101,7 @@ def first_links(
 def apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, node, comp) of the buckets that hold more than one component."""
     known = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    keys = (
-        known.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
-        .filter(F.col("_lo") != F.col("_hi")).select("key")
-    )
-    return known.join(keys, "key")
+    return with_ends(known, "comp").filter(F.col("_lo") != F.col("_hi")).select("key", "node", "comp")
 
 
 def join_links(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -123,8 +138,12 @@ def link_apart(
             .select("key", F.col("_r.node").alias("rep"), F.col("_r.comp").alias("_rep_comp")),
             "reps",
         )
+        # representatives go to the parts that their bucket has, so that its members meet them part by part
+        dealt = _dealt(live)
+        sent = dealt.select("key", "_part").distinct().join(reps, "key")
         fresh = (
-            live.join(reps, "key").filter((F.col("comp") != F.col("_rep_comp")) & near(F.col("node"), F.col("rep")))
+            dealt.join(sent, ["key", "_part"])
+            .filter((F.col("comp") != F.col("_rep_comp")) & near(F.col("node"), F.col("rep")))
             .select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")).distinct()
         )
         for old in tried:

@@ -24,8 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from berthline.llm.grouping import apart, connected, first_links, join_links
-from berthline.llm.rows import packed, probably_in, small_batches, store_text
+from berthline.llm.grouping import apart, connected, first_links, join_links, with_ends
+from berthline.llm.rows import keep_marked, packed, probably_in, small_batches, store_text
 from berthline.llm.text import LOWER, NON_SPACE, mix, slices, word_hashes, words
 from berthline.session import store
 
@@ -196,9 +196,13 @@ def rare_shingles(texts: DataFrame, shingle: int, similarity: tuple[int, int]) -
 
 
 def _several(buckets: DataFrame) -> DataFrame:
-    """Rows (key, node) of the keys that more than one node has."""
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("key")
-    return buckets.join(shared, "key").select("key", "node")
+    """Rows (key, node; distinct) of the keys that more than one node has.
+
+    Most keys have one node: those are ruled out where they are made, and only the rest is shuffled with its nodes.
+    """
+    shared = store(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("key"), "shared")
+    kept = store(keep_marked(buckets, "key", shared, "key"), "kept")
+    return with_ends(kept, "node").filter(F.col("_lo") != F.col("_hi")).select("key", "node")
 
 
 def _forest(sets: list[np.ndarray], similarity: tuple[int, int]) -> list[tuple[int, int]]:
@@ -263,8 +267,7 @@ def _link_clusters(
     the links it takes to join the similar ones: no pair is ever a row.
     """
     members = apart(buckets, labels).select("key", "node")
-    first = members.groupBy("key").agg(F.min("node").alias("b"))
-    clusters = connected(members.join(first, "key").select(F.col("node").alias("a"), "b"))
+    clusters = connected(with_ends(members, "node").select(F.col("node").alias("a"), F.col("_lo").alias("b")))
     weight = F.conv(F.substring("node", 33, 8), 16, 10).cast("bigint")
     sizes = clusters.groupBy("comp").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum(weight) / BLOCK_ELEMENTS)).cast("int").alias("_blocks")
