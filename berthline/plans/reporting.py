@@ -7,11 +7,15 @@ from pyspark.sql import DataFrame
 from berthline.operators import ledger as ld
 from berthline.operators import reports as rp
 from berthline.operators.occupancy import BUCKET_MS, utilization_timeline
+from berthline.session import store
 
 
 def ledger_report(allocations: DataFrame, machines: DataFrame, bucket_ms: int = BUCKET_MS) -> dict[str, DataFrame]:
-    """Cost and energy, the utilisation timeline (wide and long) and the latest sample per machine."""
-    timeline = utilization_timeline(allocations, machines, bucket_ms)
+    """Cost and energy, the utilisation timeline (wide and long) and the latest sample per machine.
+
+    The timeline is stored, as three of the frames read it.
+    """
+    timeline = store(utilization_timeline(allocations, machines, bucket_ms), "timeline")
     return {
         "machine_ledger": ld.machine_ledger(allocations, machines),
         "utilization_timeline": timeline,

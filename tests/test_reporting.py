@@ -38,3 +38,11 @@ def test_used_from_free(spark):
     row = ld.used_from_free(spark.createDataFrame([(8.0, 3.0)], "cpu_cores_total double, cpu_free double"),
                             {"cpu": "cpu_free"}).first()
     assert row.cpu_cores_used == 5.0
+
+
+def test_the_frames_of_a_ledger_share_one_timeline(spark):
+    allocations, machines = fx.allocations(spark, SF), fx.machines(spark, SF)
+    report = ledger_report(allocations, machines)
+    for name in ("utilization_timeline", "utilization_long", "latest_sample"):
+        plan = report[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Join" not in plan and "timeline-" in " ".join(report[name].inputFiles())
