@@ -42,11 +42,13 @@ def time_bucket(name: str, width_ms: int = BUCKET_MS) -> Column:
 
 
 def allocation_events(
-    allocations: DataFrame, machines: DataFrame | None = None, points: DataFrame | None = None
+    allocations: DataFrame, machines: DataFrame | None = None, points: DataFrame | None = None,
+    bucket_ms: int = BUCKET_MS,
 ) -> DataFrame:
     """One row per (machine, instant): tasks and resources taken at, and given back at, that instant.
 
-    With ``machines``, each of them also gets an empty row at the beginning of time. With
+    The rows lie together by machine and time bucket (column ``bucket``) before they are grouped, so neither the grouping
+    nor running totals over these buckets send them again. With ``machines``, each of them also gets an empty row at the beginning of time. With
     ``points`` (machine_id, time_ms), their instants get a row too, marked ``asked``.
     """
     held = allocations.filter(F.col("finish_ms") > F.col("start_ms")).select(
@@ -63,7 +65,8 @@ def allocation_events(
     if points is not None:
         edges = edges.unionByName(points.select("machine_id", "time_ms", *nothing, F.lit(1).alias("asked")))
     taken = {r: f"sum(CASE WHEN sign > 0 THEN {r} ELSE 0.0D END)" for r in RESOURCES}
-    return edges.groupBy("machine_id", "time_ms").agg(
+    dealt = edges.withColumn("bucket", time_bucket("time_ms", bucket_ms)).repartition("machine_id", "bucket")
+    return dealt.groupBy("machine_id", "bucket", "time_ms").agg(
         F.max("asked").alias("asked"),
         F.sum("sign").alias("d_active"),
         F.expr("sum(CASE WHEN sign > 0 THEN 1L ELSE 0L END)").alias("s_active"),
@@ -80,8 +83,8 @@ def usage_steps(
 ) -> DataFrame:
     """Usage of each machine from every instant at which it changes until the next one."""
     steps = running_totals(
-        allocation_events(allocations, machines), ["machine_id"], "time_ms", _TOTALS,
-        time_bucket("time_ms", bucket_ms), following="until_ms",
+        allocation_events(allocations, machines, bucket_ms=bucket_ms), ["machine_id"], "time_ms", _TOTALS,
+        F.col("bucket"), following="until_ms",
     )
     return steps.select(
         "machine_id", "time_ms", "until_ms", "active_tasks", *[rounded(USED[r]).alias(USED[r]) for r in RESOURCES]
@@ -100,8 +103,8 @@ def usage_at(
     # counting the questions as well keeps their flag in both uses of the events inside the
     # running totals, which can then share one exchange
     totals = running_totals(
-        allocation_events(allocations, points=points), ["machine_id"], "time_ms",
-        {**_TOTALS, "asked_so_far": "asked"}, time_bucket("time_ms", bucket_ms),
+        allocation_events(allocations, points=points, bucket_ms=bucket_ms), ["machine_id"], "time_ms",
+        {**_TOTALS, "asked_so_far": "asked"}, F.col("bucket"),
     ).filter("asked = 1 AND asked_so_far > 0")
 
     def before_starts(total: str, started: str):

@@ -127,3 +127,15 @@ def test_the_first_free_machine_may_come_late(spark, monkeypatch):
         0: (30, 0, None), 4000: (30, 0, None), 5000: (26, 4, 27), 9000: (26, 4, 27), 10_000: (0, 30, 1), 20_000: (3, 27, 4),
         30_000: (0, 30, 1),
     }
+
+
+def test_events_are_dealt_out_once_a_use(spark, world):
+    """Neither the grouping by instant nor the running totals send the events again."""
+    points = spark.createDataFrame([(m, t) for m in range(6) for t in (0, 7000, 41_000)], "machine_id long, time_ms long")
+    for out in (oc.usage_at(points, world[0], True, 20_000), oc.usage_steps(world[0], 20_000)):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        moved = [line for line in plan.splitlines() if " Exchange hashpartitioning(" in line and "ReusedExchange" not in line]
+        assert not any("time_ms" in line for line in moved)
+        # the rows themselves, the sums of buckets, and those along a machine
+        assert sum("REPARTITION_BY_COL" in line for line in moved) <= 2 and len(moved) <= 3
