@@ -16,9 +16,12 @@ from berthline.schemas import SCHEDULED
 from berthline.session import store
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE_SHARDS = 16
+#: State groups of the release state, each with tasks of all machines.
+STATE_SHARDS = 64
 #: Finish times that share an entry of the release state.
-RELEASE_BUCKET_MS = 3_600_000
+RELEASE_BUCKET_MS = 7 * 86_400_000
+#: Arriving rows of a group that are filed at a time, or up to a batch more.
+RELEASE_ROWS = 1_000_000
 #: Finish times that share a folder of a stored ledger.
 LEDGER_DAY_MS = 86_400_000
 #: Files of one such folder, at most for each write.
@@ -145,7 +148,8 @@ class ReleaseProcessor(StatefulProcessor):
     Tasks lie in a map from buckets of finish times to the tasks that finish in them, with an
     event-time timer for the earliest finish of each bucket. A wake-up reads and writes its own bucket
     only, however many tasks are active. A task whose finish is already behind the
-    watermark is released at once.
+    watermark is released at once. A group may hold tasks of many machines; rows that do
+    not name theirs belong to the machine that is the group's key.
     """
 
     def __init__(self, bucket_ms: int = RELEASE_BUCKET_MS) -> None:
@@ -153,44 +157,63 @@ class ReleaseProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.active = handle.getMapState("active", "bucket long", "finish_ms array<long>, task_id array<long>")
+        self.active = handle.getMapState(
+            "active", "bucket long", "finish_ms array<long>, task_id array<long>, machine_id array<long>"
+        )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        arrived = pd.concat([batch[["finish_ms", "task_id"]] for batch in rows])
-        over = arrived["finish_ms"] <= now
-        if over.any():
-            yield self._released(key, arrived["finish_ms"][over].tolist(), arrived["task_id"][over].tolist())
-        held = arrived[~over]
-        for bucket, tasks in held.groupby(held["finish_ms"] // self.bucket_ms):
-            finishes, ids = self._held(int(bucket))
-            first = int(tasks["finish_ms"].min())
-            if not finishes or first < min(finishes):
-                self.handle.registerTimer(first)
-            self.active.updateValue((int(bucket),), (finishes + tasks["finish_ms"].tolist(), ids + tasks["task_id"].tolist()))
+        for arrived in self._gathered(key, rows):
+            over = arrived["finish_ms"] <= now
+            if over.any():
+                gone = arrived[over]
+                yield self._released(gone["finish_ms"].tolist(), gone["task_id"].tolist(), gone["machine_id"].tolist())
+            held = arrived[~over]
+            for bucket, tasks in held.groupby(held["finish_ms"] // self.bucket_ms):
+                finishes, ids, machines = self._held(int(bucket))
+                first = int(tasks["finish_ms"].min())
+                if not finishes or first < min(finishes):
+                    self.handle.registerTimer(first)
+                self.active.updateValue((int(bucket),), (
+                    finishes + tasks["finish_ms"].tolist(), ids + tasks["task_id"].tolist(), machines + tasks["machine_id"].tolist(),
+                ))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = expiredTimerInfo.getExpiryTimeInMs()
         now, bucket = max(timerValues.getCurrentWatermarkInMs(), due), due // self.bucket_ms
-        finishes, ids = self._held(bucket)
-        if not finishes:
+        held = list(zip(*self._held(bucket)))
+        if not held:
             return
-        rest = [(f, i) for f, i in zip(finishes, ids) if f > now]
-        gone = [(f, i) for f, i in zip(finishes, ids) if f <= now]
+        rest = [task for task in held if task[0] > now]
+        gone = [task for task in held if task[0] <= now]
         if rest:
-            self.active.updateValue((bucket,), ([f for f, _ in rest], [i for _, i in rest]))
-            self.handle.registerTimer(min(f for f, _ in rest))
+            self.active.updateValue((bucket,), tuple(map(list, zip(*rest))))
+            self.handle.registerTimer(min(rest)[0])
         else:
             self.active.removeKey((bucket,))
         if gone:
-            yield self._released(key, [f for f, _ in gone], [i for _, i in gone])
-
-    def _held(self, bucket: int) -> tuple[list[int], list[int]]:
+            yield self._released(*zip(*gone))
+
+    def _gathered(self, key, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The batches in portions, so that a bucket is not rewritten for every batch."""
+        waiting, n = [], 0
+        for batch in rows:
+            if "machine_id" not in batch.columns:
+                batch = batch.assign(machine_id=int(key[0]))
+            waiting.append(batch[["finish_ms", "task_id", "machine_id"]])
+            n += len(batch)
+            if n >= RELEASE_ROWS:
+                yield pd.concat(waiting, ignore_index=True)
+                waiting, n = [], 0
+        if waiting:
+            yield pd.concat(waiting, ignore_index=True)
+
+    def _held(self, bucket: int) -> tuple[list[int], list[int], list[int]]:
         found = self.active.getValue((bucket,)) if self.active.containsKey((bucket,)) else None
-        return ([int(f) for f in found[0]], [int(i) for i in found[1]]) if found is not None else ([], [])
+        return tuple([int(v) for v in values] for values in found) if found is not None else ([], [], [])
 
-    def _released(self, key, finishes: list[int], ids: list[int]) -> pd.DataFrame:
-        return pd.DataFrame({"machine_id": [int(key[0])] * len(ids), "task_id": ids, "released_ms": finishes})
+    def _released(self, finishes: list[int], ids: list[int], machines: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"machine_id": machines, "task_id": ids, "released_ms": finishes})
 
     def close(self) -> None:
         pass
@@ -201,15 +224,16 @@ def occupancy_state(
 ) -> DataFrame:
     """Release events of a stream of allocations (machine_id, task_id, start timestamp, finish_ms).
 
-    Releases of one machine do not depend on each other, so its tasks are dealt out over
-    ``shards`` state groups and a busy machine does not hold up one task. Allocations that
+    Releases do not depend on each other, so tasks are dealt out over ``shards`` state groups
+    by a hash. A group holds tasks of all machines: its entries and timers are as many as its buckets
+    of time, however many tasks and machines there are. Allocations that
     start more than ``late`` before the newest one seen are dropped. Needs the RocksDB
     state store: ``spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)``.
     """
     return (
-        allocations.withColumn("shard", F.pmod(F.xxhash64("task_id"), F.lit(shards)).cast("int"))
+        allocations.withColumn("shard", F.pmod(F.xxhash64("machine_id", "task_id"), F.lit(shards)).cast("int"))
         .withWatermark("start", late)
-        .groupBy("machine_id", "shard")
+        .groupBy("shard")
         .transformWithStateInPandas(
             statefulProcessor=ReleaseProcessor(bucket_ms), outputStructType=RELEASE_SCHEMA, outputMode="Append",
             timeMode="EventTime",

@@ -97,6 +97,40 @@ def test_a_timer_reads_its_own_bucket_only():
     assert list(processor.handleExpiredTimer((1, 0), state, state)) == []
 
 
+def test_a_group_holds_many_machines_in_one_entry_per_bucket():
+    state, day = CountingState(), 86_400_000
+    processor = st.ReleaseProcessor(day)
+    processor.init(state)
+    state.now = 0
+    rows = pd.DataFrame({"finish_ms": [d * day + m for d in range(1, 4) for m in range(200)], "task_id": range(600),
+                         "machine_id": [m for _ in range(3) for m in range(200)]})
+    assert list(processor.handleInputRows((5,), iter([rows[:350], rows[350:]]), state)) == []
+    assert len(state.rows) == 3 and state.timers == {d * day for d in range(1, 4)} and state.reads == 0
+    state.now, state.due = day + 149, day
+    gone = pd.concat(processor.handleExpiredTimer((5,), state, state))
+    assert gone["machine_id"].tolist() == list(range(150)) == gone["task_id"].tolist()
+    assert state.rows[(1,)][2] == list(range(150, 200)) and day + 150 in state.timers
+
+
+def test_state_groups_do_not_grow_with_the_machines(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", st.ROCKSDB)
+    source, day = tmp_path / "in", 86_400_000
+    batches = [[(m, m, 1, 2 * day + m) for m in range(300)], [(1, 1000, 9 * day, 10 * day)]]
+    for part in batches:
+        spark.createDataFrame(part, "machine_id long, task_id long, s long, finish_ms long").select(
+            "machine_id", "task_id", F.timestamp_millis("s").alias("start"), "finish_ms"
+        ).coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema("machine_id long, task_id long, start timestamp, finish_ms long").option(
+        "maxFilesPerTrigger", 1).parquet(str(source))
+    out = scratch_path(spark, "release")
+    run = st.start(st.occupancy_state(stream, shards=4), st.append_to(out), scratch_path(spark, "release-state"))
+    run.awaitTermination()
+    # an entry and two of its timer for each shard and bucket
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress) <= 3 * 4 * 2
+    got = {(r.machine_id, r.task_id, r.released_ms) for r in st.read_appended(spark, out, st.RELEASE_SCHEMA).collect()}
+    assert got == {(m, m, 2 * day + m) for m in range(300)}
+
+
 def test_a_stored_ledger_is_pruned_to_the_batch(spark, tmp_path):
     day = 86_400_000
     rows = ledger(spark, [(i, i % 7, i * day, i * day + 3 * day // 2, 1.0, 0.0, 0.0, 1.0) for i in range(60)])
