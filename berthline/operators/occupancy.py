@@ -27,6 +27,8 @@ BUCKET_MS = 86_400_000
 CLOCK_SPAN_MS = 1000 << 32
 LARGE_BLOCK_BITS = 10
 BLOCK_SALTS = 16
+#: Cells of the clock, in bits, by which blocks without an instant are told.
+CELL_BITS = 18
 BEGINNING_MS = -(1 << 60)
 #: Machines that busy_counts tries first, how they multiply, and from where on all others are tried at once.
 FIRST_TRIED, WIDEN, LAST_TRIED = 64, 32, 1 << 20
@@ -203,6 +205,21 @@ def enclosing_blocks(instants: DataFrame, tick: str, bits: int) -> DataFrame:
     )
 
 
+def asked_only(blocks: DataFrame, ticks: DataFrame, bits: int) -> DataFrame:
+    """The blocks around which an instant's tick may lie; no others can answer one.
+
+    The clock is divided into at most 2^CELL_BITS cells, whatever the number of instants, so the blocks
+    around the cells in use are few enough to broadcast. A block smaller than a cell goes by its cell.
+    """
+    fine = max(0, bits - CELL_BITS)
+    cells = ticks.select(F.shiftright("tick", fine).alias("_cell")).distinct()
+    used = cells.select(F.explode(F.sequence(F.lit(0), F.lit(bits - fine))).alias("_size"), "_cell").select(
+        "_size", F.expr("shiftright(_cell, _size)").alias("_around")
+    ).distinct()
+    size, above = F.greatest(F.col("block_size") - fine, F.lit(0)), F.expr(f"shiftright(block, greatest({fine} - block_size, 0))")
+    return blocks.join(F.broadcast(used), (size == F.col("_size")) & (above == F.col("_around")), "left_semi")
+
+
 def _join_blocks(ticks: DataFrame, blocks: DataFrame, bits: int, also: list[str] = ()) -> DataFrame:
     """Match ticks with the blocks around them.
 
@@ -228,7 +245,7 @@ def free_by_class(
     """
     ticks = instants.select("time_ms").distinct().withColumn("tick", instant_tick("time_ms", quantum_ms, bits))
     bits = clock_bits(quantum_ms, bits)
-    blocks = cover_blocks(spans, quantum_ms, bits).groupBy(*classes, "block_size", "block").agg(
+    blocks = asked_only(cover_blocks(spans, quantum_ms, bits), ticks, bits).groupBy(*classes, "block_size", "block").agg(
         F.count(F.lit(1)).alias("n"), F.min("machine_id").alias("first_id")
     )
     return (
@@ -248,7 +265,7 @@ def free_members(
     asked = [c for c in classes if c in instants.columns]
     ticks = instants.select("time_ms", *asked).distinct().withColumn("tick", instant_tick("time_ms", quantum_ms, bits))
     bits = clock_bits(quantum_ms, bits)
-    blocks = cover_blocks(spans, quantum_ms, bits).select(*classes, "machine_id", "block_size", "block")
+    blocks = asked_only(cover_blocks(spans, quantum_ms, bits), ticks, bits).select(*classes, "machine_id", "block_size", "block")
     return _join_blocks(ticks, blocks, bits, asked).select("time_ms", *classes, "machine_id")
 
 
@@ -261,17 +278,18 @@ def first_members(
     count their members by leading digits of the id, so the ids are found like the n-th key of a search
     tree: digit by digit, only where one of the n smallest can lie. Returns (time_ms, unit, slot, machine_id).
     """
+    width = clock_bits(quantum_ms, bits)
+    near = asked.withColumn("tick", instant_tick("time_ms", quantum_ms, bits)).withColumn(
+        "_up", F.lit(0).cast("bigint")  # digits of the id that are known
+    )
     members = store(
-        cover_blocks(spans, quantum_ms, bits).select("class_id", "block_size", "block", "machine_id"), "block-members"
+        asked_only(cover_blocks(spans, quantum_ms, bits), near, width).select("class_id", "block_size", "block", "machine_id"),
+        "block-members",
     )
     ends = members.agg(F.min("machine_id").alias("lo"), F.max("machine_id").alias("hi")).first()
     empty = asked.select("time_ms", "unit", F.lit(0).cast("bigint").alias("slot"), F.lit(0).cast("bigint").alias("machine_id"))
     if ends.lo is None:
         return empty.limit(0)
-    width = clock_bits(quantum_ms, bits)
-    near = asked.withColumn("tick", instant_tick("time_ms", quantum_ms, bits)).withColumn(
-        "_up", F.lit(0).cast("bigint")  # digits of the id that are known
-    )
     levels = max(1, -(-(int(ends.hi) - int(ends.lo)).bit_length() // digit))
     offset = F.col("machine_id") - F.lit(int(ends.lo))
     for level in range(levels - 1, -1, -1):

@@ -54,7 +54,8 @@ def _idle_classes(machines: DataFrame, allocations: DataFrame, rules: PlacementR
 
 
 def class_candidates(
-    tasks: DataFrame, machines: DataFrame, allocations: DataFrame, scorer: Scorer, rules: PlacementRules
+    tasks: DataFrame, machines: DataFrame, allocations: DataFrame, scorer: Scorer, rules: PlacementRules,
+    idle: tuple[DataFrame, DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(candidates, free, asked): per distinct (arrival, request) the classes with a free machine that can
     hold it, per arrival the free machines of every class, and the distinct (arrival, request) rows.
@@ -63,10 +64,11 @@ def class_candidates(
     Carries the class's free count and smallest free id, its violation probability ``p``
     and raw scores. Feasibility, the model and the power estimate see each (request, class)
     pair once, whatever the number of tasks; the model runs after the feasibility test. The
-    scorer adds ``p`` and keeps the other columns.
+    scorer adds ``p`` and keeps the other columns. ``idle`` gives the classes and idle spans where
+    they are known already.
     """
     scoring.check_alpha(rules.alpha)
-    classes, spans = _idle_classes(machines, allocations, rules)
+    classes, spans = idle or _idle_classes(machines, allocations, rules)
     asked = store(fill_requests(tasks).select("arrival_ms", *REQUEST_COLUMNS).distinct(), "asked")
     free = store(free_by_class(
         asked.select(F.col("arrival_ms").alias("time_ms")), spans, ["class_id"], rules.quantum_ms, rules.cover_bits
@@ -167,15 +169,15 @@ def batch_assign(
     requests and not for others is a unit a stretch along the machine ids. Scores stay those of the
     instant's snapshot. Instants without refusals leave the loop after their round.
     """
+    classes, idle = _idle_classes(machines, allocations, rules)
+    spans = store(idle, "idle-spans")
     safe = store(
-        rank_candidates(class_candidates(tasks, machines, allocations, scorer, rules)[0], rules).filter("safe").select(
+        rank_candidates(class_candidates(tasks, machines, allocations, scorer, rules, (classes, spans))[0], rules).filter("safe").select(
             "arrival_ms", *REQUEST_COLUMNS, "class_id", "n_free", "first_free_id", "p", "final_score",
             F.array(*score_order("first_free_id")[:-1]).alias("score"),
         ),
         "safe",
     )
-    _, idle = _idle_classes(machines, allocations, rules)
-    spans = store(idle, "idle-spans")
     units = store(_units(safe), "units")
     merged = safe.join(units, ["arrival_ms", "class_id"]).groupBy("arrival_ms", *REQUEST_COLUMNS, "unit").agg(
         F.sum("n_free").alias("n_free"), F.min("first_free_id").alias("first_free_id"), F.first("score").alias("score")
@@ -221,9 +223,9 @@ def batch_assign(
     for part in settled[1:]:
         won = won.unionByName(part)
     named = _name_machines(won, units, listed, spans, rules)
-    classes = spans.select("machine_id", "class_id").distinct()
+    members = spans.select("machine_id", "class_id").distinct()
     facts = safe.select("arrival_ms", *REQUEST_COLUMNS, "class_id", F.col("p").alias("sla_probability"), "final_score")
-    scored = named.join(classes, "machine_id").join(facts, ["arrival_ms", *REQUEST_COLUMNS, "class_id"]).select(
+    scored = named.join(members, "machine_id").join(facts, ["arrival_ms", *REQUEST_COLUMNS, "class_id"]).select(
         "task_id", "machine_id", "sla_probability", "final_score"
     )
     return tasks.select("task_id", "arrival_ms").join(scored, "task_id", "left").withColumn(

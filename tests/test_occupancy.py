@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -139,3 +141,30 @@ def test_events_are_dealt_out_once_a_use(spark, world):
         assert not any("time_ms" in line for line in moved)
         # the rows themselves, the sums of buckets, and those along a machine
         assert sum("REPARTITION_BY_COL" in line for line in moved) <= 2 and len(moved) <= 3
+
+
+@pytest.mark.parametrize("quantum, bits", [(1, 32), (60_000, 20), (3_600_000, 12)])
+def test_blocks_without_an_instant_are_left_out(spark, quantum, bits):
+    """Only blocks near an instant are kept, also where blocks are smaller than a cell, and the answers are those of the spans."""
+    random.seed(bits)
+    starts = [random.randrange(0, 90 * 3_600_000) for _ in range(400)]
+    rows = [(i % 40, i % 3, s, s + random.randrange(1, 9 * 3_600_000) if i % 7 else None) for i, s in enumerate(starts)]
+    instants = [h * 24 * 3_600_000 for h in range(5)]
+    spans = spark.createDataFrame(rows, "machine_id long, kind long, from_ms long, to_ms long")
+    asked = spark.createDataFrame([(t,) for t in instants], "time_ms long")
+    blocks = oc.cover_blocks(spans, quantum, bits)
+    kept = oc.asked_only(blocks, asked.withColumn("tick", oc.instant_tick("time_ms", quantum, bits)), bits)
+    fine = max(0, bits - oc.CELL_BITS)
+    around = {t // quantum >> fine for t in instants}
+
+    def near(size, block):
+        return any((c >> max(size - fine, 0)) == (block >> max(fine - size, 0)) for c in around)
+
+    found = [(r.block_size, r.block) for r in blocks.collect()]
+    left = [(r.block_size, r.block) for r in kept.collect()]
+    assert sorted(left) == sorted(b for b in found if near(*b)) and len(left) < len(found) / 2
+    inside = {(t, k): [m for m, c, a, b in rows if c == k and a <= t and (b is None or t < b)] for t in instants for k in range(3)}
+    got = {(r.time_ms, r.kind): (r.n_free, r.first_free_id) for r in oc.free_by_class(asked, spans, ["kind"], quantum, bits).collect()}
+    assert got == {k: (len(v), min(v)) for k, v in inside.items() if v}
+    listed = oc.free_members(asked, spans, ["kind"], quantum, bits).collect()
+    assert sorted((r.time_ms, r.kind, r.machine_id) for r in listed) == sorted((*k, m) for k, v in inside.items() for m in v)

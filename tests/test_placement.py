@@ -155,3 +155,11 @@ def test_first_members_follow_the_ids(spark):
     got = {(r.time_ms, r.unit, r.slot): r.machine_id for r in first_members(asked, spans).collect()}
     even = sorted(i for i in ids if i % 2 == 0 and i != 256)
     assert got == {(1000, 1, i + 1): m for i, m in enumerate(sorted(ids)[:4])} | {(3000, 2, i + 1): m for i, m in enumerate(even)}
+
+
+def test_batch_assign_finds_idle_spans_once(spark, monkeypatch):
+    calls, idle = [], placement.idle_spans
+    monkeypatch.setattr(placement, "idle_spans", lambda *a: calls.append(1) or idle(*a))
+    none = ledger(spark, [])
+    out = batch_assign(workload(spark, [task(1, cpu=1, ram=1)]), fleet(spark, [machine(1, 0)]), none, load_share, RULES)
+    assert out.count() == 1 and len(calls) == 1
