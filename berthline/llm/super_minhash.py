@@ -9,7 +9,8 @@ estimate below that of independent hashes.
 
 Documents that share a band are compared on their full sets. Where one comparison each does
 not join a band's documents, which is so where many share a long passage, the rest are
-compared if they share one of their rarest shingles, as similar sets must.
+compared if they share one of their rarest shingles, as similar sets must, and if bitmaps of
+their sets leave it open whether they are similar.
 """
 
 from __future__ import annotations
@@ -34,7 +35,12 @@ SHINGLE = 5
 BANDS, ROWS = 24, 6
 
 #: Sets and elements in one block of a cluster.
-BLOCK_SETS, BLOCK_ELEMENTS = 256, 1_000_000
+BLOCK_SETS, BLOCK_ELEMENTS = 2048, 1_000_000
+#: Members of a key that one task compares (of a crowded one, two blocks of them), bits of a set's bitmap at least
+#: and at most (as powers of two).
+KEY_MEMBERS, LEAST_BITS, MOST_BITS = 4096, 6, 16
+#: Rows of keys and bytes of them that are looked at together, pairs that are listed together and bytes of their bitmaps.
+KEY_ROWS, KEY_BYTES, PAIRS, PAIR_BYTES = 1 << 15, 1 << 25, 1 << 18, 1 << 24
 #: Slots in which the frequency of shingles is counted for the texts that need a second look.
 COUNTERS = 1 << 18
 
@@ -257,17 +263,165 @@ def _compare_block(shingle: int, similarity: tuple[int, int]):
     return run
 
 
+def set_bitmap(own: np.ndarray) -> bytes:
+    """Slots that a set's elements fall into, by their low bits: two slots or more an element, up to MOST_BITS."""
+    bits = min(max((2 * len(own) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    used = np.zeros(1 << bits, dtype=bool)
+    used[(own & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
+    return np.packbits(used, bitorder="little").tobytes()
+
+
+def _bitmaps(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(batch.column("_text"), shingle))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_bitmap(s) for s in sets], pa.binary())],
+                ["node", "_n", "_bits"],
+            )
+
+    return run
+
+
+def may_be_similar(
+    group: np.ndarray, n: np.ndarray, bitmaps: list[bytes], similarity: tuple[int, int], wanted=lambda i, j: np.ones(len(i), dtype=bool)
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a group that may be similar by size and bitmap; no similar pair is left out.
+
+    A slot that only one of two sets uses holds an element that the other lacks, which bounds what they share.
+    Of bitmaps of two lengths the longer is folded. ``wanted`` tells which pairs are looked at.
+    """
+    level = np.array([len(b) for b in bitmaps], dtype=np.int64)
+    order = np.lexsort((n, group))
+    sized, owner = n[order], np.cumsum(np.diff(group[order], prepend=group[order[:1]]) != 0)
+    reach = int(n.max(initial=0)) + 1
+    # sizes ascend in a group, so the sets that one is to be compared with are a stretch after it
+    until = np.searchsorted(owner * reach + sized, owner * reach + np.minimum(sized * similarity[1] // similarity[0], reach - 1), side="right")
+    ahead = np.cumsum(until - np.arange(len(order)) - 1)
+    tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def folded(size: int) -> tuple[np.ndarray, np.ndarray]:
+        if size not in tables:
+            at, rows = np.full(len(level), -1), []
+            for longer in np.unique(level[level >= size]):
+                mine = np.flatnonzero(level == longer)
+                at[mine] = np.arange(len(mine)) + sum(len(r) for r in rows)
+                words = np.frombuffer(b"".join(bitmaps[i] for i in mine), dtype=np.uint64)
+                rows.append(np.bitwise_or.reduce(words.reshape(len(mine), -1, size // 8), axis=1))
+            tables[size] = at, np.concatenate(rows)
+        return tables[size]
+
+    first = 0
+    while first < len(order):
+        done = int(ahead[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ahead, done + PAIRS, side="right")))
+        count = np.diff(ahead[first:last], prepend=done)
+        i = np.repeat(np.arange(first, last), count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        first, i, j = last, order[i], order[j]
+        keep = wanted(i, j)
+        i, j = i[keep], j[keep]
+        for size in np.unique(np.minimum(level[i], level[j])):
+            own = np.flatnonzero(np.minimum(level[i], level[j]) == size)
+            at, table = folded(int(size))
+            step = max(1, PAIR_BYTES // int(size))
+            for part in range(0, len(own), step):
+                a, b = i[own[part : part + step]], j[own[part : part + step]]
+                x, y = table[at[a]], table[at[b]]
+                lacking = [np.bitwise_count(u & ~v).sum(axis=1, dtype=np.int64) for u, v in ((x, y), (y, x))]
+                both = np.minimum(n[a] - lacking[0], n[b] - lacking[1])
+                near = similarity[1] * both >= similarity[0] * (n[a] + n[b] - both)
+                yield a[near], b[near]
+
+
+def join_ends(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label``, the least item of each item's component so far, after links between the items a and b."""
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        apart_still = low != high
+        if not apart_still.any():
+            return label
+        a, b = a[apart_still], b[apart_still]
+        np.minimum.at(label, high[apart_still], low[apart_still])
+        while not np.array_equal(label, further := label[label]):
+            label = further
+
+
+def _near_members(similarity: tuple[int, int]):
+    def compare(rows: pa.RecordBatch) -> pa.RecordBatch:
+        named, comps = rows.column("node").dictionary_encode(), rows.column("comp").dictionary_encode()
+        node, comp = (c.indices.to_numpy().astype(np.int64) for c in (named, comps))
+        key, own, low, high, n = (rows.column(c).to_numpy() for c in ("key", "_own", "_i", "_j", "_n"))
+        new = np.zeros(len(node), dtype=bool)
+        for c in (key, low, high):
+            new[1:] |= c[1:] != c[:-1]
+        label = np.arange(len(named.dictionary))
+
+        def wanted(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            # two blocks meet, or one with itself
+            return (comp[i] != comp[j]) & ((low[i] == high[i]) | (own[i] != own[j])) & (label[node[i]] != label[node[j]])
+
+        for i, j in may_be_similar(np.cumsum(new), n, rows.column("_bits").to_pylist(), similarity, wanted):
+            label = join_ends(label, node[i], node[j])
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        ends = [named.dictionary.take(pa.array(p)) for p in (linked, label[linked])]
+        return pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come sorted by key and block pair; a key's rows are looked at together
+        held = None
+        for batch in batches:
+            held = pa.concat_batches([held, batch]) if held is not None else batch
+            if held.num_rows >= KEY_ROWS or held.nbytes >= KEY_BYTES:
+                same = np.ones(held.num_rows, dtype=bool)
+                for c in ("key", "_i", "_j"):
+                    values = held.column(c).to_numpy()
+                    same &= values == values[-1]
+                cut = int(np.argmax(same))  # a key's rows are in one stretch
+                if cut:
+                    yield compare(held.slice(0, cut))
+                    held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield compare(held)
+
+    return run
+
+
+def near_members(members: DataFrame, texts: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b): links that join all ``members`` (key, node, comp) of one key and different components that may be similar.
+
+    A task returns no more of them than it takes. Texts stay where they are: bitmaps of their sets go to the keys, a fraction of a text's size. Keys of more than KEY_MEMBERS
+    members are dealt into blocks, each two of which meet in one task.
+    """
+    bitmaps = texts.select("node", "_text").mapInArrow(_bitmaps(shingle), "node string, _n bigint, _bits binary")
+    whole = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / KEY_MEMBERS).cast("int").alias("_blocks"))
+    crowded = whole.filter("_blocks > 1")
+    blocks = F.coalesce("_blocks", F.lit(1))
+    dealt = members.join(crowded, "key", "left").select(
+        "key", "node", "comp", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("_own"),
+        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"),
+    )
+    met = dealt.join(bitmaps, "node").select(
+        "key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own",
+        *[F.unhex(c).alias(c) for c in ("node", "comp")], "_n", "_bits",
+    )
+    pairs = met.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j").mapInArrow(
+        _near_members(similarity), "a binary, b binary"
+    )
+    return pairs.select(*[F.lower(F.hex(c)).alias(c) for c in "ab"])
+
+
 def _link_clusters(
     buckets: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, similarity: tuple[int, int]
 ) -> DataFrame:
-    """``labels`` after comparing all sets that buckets connect.
+    """``labels`` after comparing all sets that share a bucket and may be similar.
 
-    Nodes that buckets connect form a cluster. A cluster is dealt into blocks of bounded
+    Nodes that such pairs connect form a cluster. A cluster is dealt into blocks of bounded
     size, and each two of its blocks are compared in one task, which counts shared elements and returns
-    the links it takes to join the similar ones: no pair is ever a row.
+    the links it takes to join the similar ones. Buckets alone connect more and more of a growing table,
+    and the texts of a cluster are sent once for each of its blocks; so pairs are ruled out by bitmaps first.
     """
-    members = apart(buckets, labels).select("key", "node")
-    clusters = connected(with_ends(members, "node").select(F.col("node").alias("a"), F.col("_lo").alias("b")))
+    clusters = connected(near_members(store(apart(buckets, labels), "apart"), texts, shingle, similarity))
     weight = F.conv(F.substring("node", 33, 8), 16, 10).cast("bigint")
     sizes = clusters.groupBy("comp").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum(weight) / BLOCK_ELEMENTS)).cast("int").alias("_blocks")
