@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from berthline.functions.numeric import coalesce_zero, ratio, rounded
 from berthline.operators.skew import integer_bucket, running_totals, salted_join
 from berthline.schemas import REQUESTS, RESOURCES, TOTALS, USED
-from berthline.session import store
+from berthline.session import never_broadcast, store
 
 # Width of the time buckets in which running totals are formed: wide enough that a machine's
 # buckets stay far fewer than its changes, narrow enough that the busiest machine's bucket
@@ -231,7 +231,8 @@ def _join_blocks(ticks: DataFrame, blocks: DataFrame, bits: int, also: list[str]
         "_salt", F.when(large, F.pmod(F.xxhash64("tick"), F.lit(BLOCK_SALTS)).cast("int")).otherwise(0)
     )
     copies = F.when(large, F.sequence(F.lit(0), F.lit(BLOCK_SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return asked.join(blocks.withColumn("_salt", F.explode(copies)), ["block_size", "block", "_salt", *also])
+    # an instant has a row for every size, so a few instants are many rows
+    return never_broadcast(asked).join(blocks.withColumn("_salt", F.explode(copies)), ["block_size", "block", "_salt", *also])
 
 
 def free_by_class(
@@ -298,14 +299,14 @@ def first_members(
         ).agg(F.count(F.lit(1)).alias("_n")).withColumn("_up", F.shiftright("_at", digit))
         met = _join_blocks(near, counts, width, ["class_id", "_up"])
         found = store(met.groupBy("time_ms", "unit", "class_id", "n", "_at").agg(F.sum("_n").alias("_n")), "tree-level")
-        nodes = found.groupBy("time_ms", "unit", "n", "_at").agg(F.sum("_n").alias("_n"))
+        nodes = never_broadcast(found.groupBy("time_ms", "unit", "n", "_at").agg(F.sum("_n").alias("_n")))
         totals = running_totals(nodes, ["time_ms", "unit"], "_at", {"_upto": "_n"}, integer_bucket(F.col("_at"), 4096))
         needed = totals.filter(F.col("_upto") - F.col("_n") < F.col("n"))
         if not level:
             return needed.select(
                 "time_ms", "unit", F.col("_upto").alias("slot"), (F.col("_at") + F.lit(int(ends.lo))).alias("machine_id")
             )
-        kept = found.drop("_n").join(needed.select("time_ms", "unit", "_at"), ["time_ms", "unit", "_at"])
+        kept = never_broadcast(found.drop("_n")).join(needed.select("time_ms", "unit", "_at"), ["time_ms", "unit", "_at"])
         near = store(kept.withColumn("tick", instant_tick("time_ms", quantum_ms, bits)).withColumnRenamed("_at", "_up"), "tree-nodes")
     return empty
 

@@ -19,7 +19,7 @@ from berthline.schemas import (
     ALL_VIOLATE, FAILED, MACHINE_COLUMNS, NO_ARRIVAL, NO_FREE, NO_SUITABLE, REQUEST_COLUMNS, SCHEDULED, SCORE_ERROR,
     SPEC_COLUMNS,
 )
-from berthline.session import cut_lineage, store
+from berthline.session import cut_lineage, never_broadcast, store
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -50,7 +50,7 @@ def _idle_classes(machines: DataFrame, allocations: DataFrame, rules: PlacementR
     classes = machine_classes(idle)
     members = idle.join(classes.select(*MACHINE_COLUMNS, "class_id"), MACHINE_COLUMNS).select("machine_id", "class_id")
     spans = idle_spans(allocations, machines, rules.bucket_ms)
-    return classes, salted_join(spans, members, ["machine_id"], ["from_ms"])
+    return classes, salted_join(never_broadcast(spans), members, ["machine_id"], ["from_ms"])
 
 
 def class_candidates(
@@ -69,10 +69,10 @@ def class_candidates(
     """
     scoring.check_alpha(rules.alpha)
     classes, spans = idle or _idle_classes(machines, allocations, rules)
-    asked = store(fill_requests(tasks).select("arrival_ms", *REQUEST_COLUMNS).distinct(), "asked")
-    free = store(free_by_class(
+    asked = never_broadcast(store(fill_requests(tasks).select("arrival_ms", *REQUEST_COLUMNS).distinct(), "asked"))
+    free = never_broadcast(store(free_by_class(
         asked.select(F.col("arrival_ms").alias("time_ms")), spans, ["class_id"], rules.quantum_ms, rules.cover_bits
-    ).withColumnRenamed("time_ms", "arrival_ms"), "free-classes")
+    ).withColumnRenamed("time_ms", "arrival_ms"), "free-classes"))
     shapes = asked.select(*REQUEST_COLUMNS).distinct()
     pairs = capable_pairs(shapes, classes, eps=0.0)
     # scores for the ranking come first: the model may be fed other power values than the snapshot's
@@ -170,15 +170,15 @@ def batch_assign(
     instant's snapshot. Instants without refusals leave the loop after their round.
     """
     classes, idle = _idle_classes(machines, allocations, rules)
-    spans = store(idle, "idle-spans")
-    safe = store(
+    spans = never_broadcast(store(idle, "idle-spans"))
+    safe = never_broadcast(store(
         rank_candidates(class_candidates(tasks, machines, allocations, scorer, rules, (classes, spans))[0], rules).filter("safe").select(
             "arrival_ms", *REQUEST_COLUMNS, "class_id", "n_free", "first_free_id", "p", "final_score",
             F.array(*score_order("first_free_id")[:-1]).alias("score"),
         ),
         "safe",
-    )
-    units = store(_units(safe), "units")
+    ))
+    units = never_broadcast(store(_units(safe), "units"))
     merged = safe.join(units, ["arrival_ms", "class_id"]).groupBy("arrival_ms", *REQUEST_COLUMNS, "unit").agg(
         F.sum("n_free").alias("n_free"), F.min("first_free_id").alias("first_free_id"), F.first("score").alias("score")
     )
@@ -187,7 +187,7 @@ def batch_assign(
         F.count(F.lit(1)).alias("_n"), F.min("machine_id").alias("_first")
     )
     order = W.partitionBy("arrival_ms", *REQUEST_COLUMNS).orderBy("score", "first_free_id")
-    prefs = store(
+    prefs = never_broadcast(store(
         merged.join(sizes, ["arrival_ms", "unit"], "left").withColumns(
             {
                 "n_free": F.coalesce("_n", "n_free"), "first_free_id": F.coalesce("_first", "first_free_id"),
@@ -195,7 +195,7 @@ def batch_assign(
             }
         ).withColumn("pref", F.row_number().over(order)).drop("_n", "_first", "score"),
         "prefs",
-    )
+    ))
     state = fill_requests(tasks).select(
         "task_id", "arrival_ms", *REQUEST_COLUMNS, F.lit(1).alias("pref")
     )
@@ -225,7 +225,7 @@ def batch_assign(
     named = _name_machines(won, units, listed, spans, rules)
     members = spans.select("machine_id", "class_id").distinct()
     facts = safe.select("arrival_ms", *REQUEST_COLUMNS, "class_id", F.col("p").alias("sla_probability"), "final_score")
-    scored = named.join(members, "machine_id").join(facts, ["arrival_ms", *REQUEST_COLUMNS, "class_id"]).select(
+    scored = never_broadcast(named).join(members, "machine_id").join(facts, ["arrival_ms", *REQUEST_COLUMNS, "class_id"]).select(
         "task_id", "machine_id", "sla_probability", "final_score"
     )
     return tasks.select("task_id", "arrival_ms").join(scored, "task_id", "left").withColumn(
@@ -263,7 +263,7 @@ def _stretches(merged: DataFrame, units: DataFrame, spans: DataFrame, rules: Pla
     turn = F.coalesce(F.lag("unit").over(along) != F.col("unit"), F.lit(True))
     cut = members.withColumn("_turn", turn.cast("int")).withColumn("stretch", F.sum("_turn").over(along))
     nth = F.row_number().over(W.partitionBy("arrival_ms", "stretch").orderBy("machine_id"))
-    return store(cut.select("arrival_ms", "unit", "stretch", "machine_id", nth.alias("slot")), "stretches")
+    return never_broadcast(store(cut.select("arrival_ms", "unit", "stretch", "machine_id", nth.alias("slot")), "stretches"))
 
 
 def _name_machines(
@@ -271,7 +271,7 @@ def _name_machines(
 ) -> DataFrame:
     """The n-th asker of a unit gets its n-th free machine; the first one's is known already."""
     unit = ["arrival_ms", "unit", "stretch"]
-    taken = store(won.groupBy(*unit).agg(F.max("slot").alias("n_taken")).filter("n_taken > 1"), "shared")
+    taken = never_broadcast(store(won.groupBy(*unit).agg(F.max("slot").alias("n_taken")).filter("n_taken > 1"), "shared"))
     asked = taken.filter("stretch = 0").join(units, ["arrival_ms", "unit"]).select(
         F.col("arrival_ms").alias("time_ms"), "unit", "class_id", F.col("n_taken").alias("n")
     )
@@ -280,7 +280,7 @@ def _name_machines(
     )
     of_stretches = stretches.join(taken, unit).filter("slot <= n_taken").select(*unit, "slot", "machine_id")
     slots = of_units.unionByName(of_stretches).filter("slot > 1")
-    return won.join(slots, [*unit, "slot"], "left").select(
+    return never_broadcast(won).join(slots, [*unit, "slot"], "left").select(
         "task_id", "arrival_ms", *REQUEST_COLUMNS,
         F.when(F.col("slot") == 1, F.col("first_free_id")).otherwise(F.col("machine_id")).alias("machine_id"),
     )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from berthline.ml.serving import external_scorer
 from berthline.plans.catalog import load_share
+from berthline.operators import occupancy
 from berthline.operators.occupancy import first_members
 from berthline.plans import placement
 from berthline.plans.placement import PlacementRules, batch_assign, place_snapshot
@@ -163,3 +164,17 @@ def test_batch_assign_finds_idle_spans_once(spark, monkeypatch):
     none = ledger(spark, [])
     out = batch_assign(workload(spark, [task(1, cpu=1, ram=1)]), fleet(spark, [machine(1, 0)]), none, load_share, RULES)
     assert out.count() == 1 and len(calls) == 1
+
+
+def test_batch_assign_sends_no_growing_table_through_the_driver(spark, world):
+    pool, rows, tasks = world
+    out = batch_assign(workload(spark, tasks), fleet(spark, pool), ledger(spark, rows), load_share, RULES)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_around_instants_are_not_broadcast(spark):
+    ticks = spark.range(3).selectExpr("id * 1000 AS time_ms", "id AS tick")
+    blocks = spark.range(3).selectExpr("0 AS block_size", "id AS block", "id AS machine_id")
+    joined = occupancy._join_blocks(ticks, blocks, 32)
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.machine_id for r in joined.collect()) == [0, 1, 2]
